@@ -55,5 +55,5 @@ def read(spark: SparkSession, sf_dir: str, table: str, schema: str | None = None
 
 def small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     """Mark df for broadcast only if the optimizer's size statistics, which for files are their sizes, are below the limit."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit_bytes else df
