@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import leaks
+from pairloom.llm import leaks, spans
 from pairloom.session import read
 
 
@@ -16,5 +16,13 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, sf_dir), read(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(read(spark, sf_dir, "documents"))
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 SQL: dict[str, str] = {}
