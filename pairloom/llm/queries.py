@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import leaks, spans
+from pairloom.llm import leaks, similar, spans
 from pairloom.session import read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar.near_pairs(read(spark, sf_dir, "test_cases"))
+    return found.select(found.rid_a.alias("case_key_a"), found.rid_b.alias("case_key_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.near_groups(read(spark, sf_dir, "test_cases"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
@@ -24,5 +33,5 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 SQL: dict[str, str] = {}

@@ -32,7 +32,7 @@ def folded_words(text: str | None) -> list[str]:
 def word_pairs(turns: list[str | None] | None) -> set[tuple[str, str]]:
     """The adjacent word pairs inside each turn."""
     out: set[tuple[str, str]] = set()
-    for t in turns or ():
+    for t in () if turns is None else turns:
         w = words(t)
         out.update(zip(w, w[1:]))
     return out
