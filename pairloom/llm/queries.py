@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import leaks, similar, spans
+from pairloom.llm import leaks, quantiles, ranking, similar, spans
 from pairloom.session import read
 
 
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.whole(quantiles.daily(read(spark, sf_dir, "results", quantiles.ANSWERS)))
+
+
+def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = quantiles.daily(read(spark, sf_dir, "results", quantiles.ANSWERS))
+    return quantiles.quantiles(days, ["model_name", "capability", "metric", "day"], quantiles.PERCENTILES)
+
+
+def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = read(spark, sf_dir, "model_catalog").selectExpr("model_name as item")
+    met = ranking.matches(read(spark, sf_dir, "results", ranking.VERDICTS), read(spark, sf_dir, "bench_runs"))
+    return ranking.ranking(met, catalog).withColumnRenamed("item", "model_name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar.near_pairs(read(spark, sf_dir, "test_cases"))
     return found.select(found.rid_a.alias("case_key_a"), found.rid_b.alias("case_key_b"))
@@ -33,5 +48,5 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p5_ranking": p5_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 SQL: dict[str, str] = {}
