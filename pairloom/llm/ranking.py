@@ -21,30 +21,42 @@ from pyspark.sql.window import Window
 from pairloom.session import materialize, small
 
 
-def strengths(wins: DataFrame, alpha: float = 0.1, tolerance: float = 1e-9, rounds: int = 500) -> DataFrame:
-    """item, strength of every item in `wins` (i, j, w)."""
+def strengths(wins: DataFrame, alpha: float = 0.1, tolerance: float = 1e-12, rounds: int = 500, restarts: int = 20) -> DataFrame:
+    """item, strength of every item in `wins` (i, j, w).
+
+    The sums of a step give the next residual's norm by a difference, which is exact to about eight digits of a drop; so
+    the residual is computed afresh after each such drop, and the solution stands when that one is small enough."""
     both = wins.select("i", "j", "w", F.col("w").alias("b")).union(wins.select("j", "i", "w", -F.col("w")))
     matrix = materialize(both.groupBy("i", "j").agg(F.sum("w").alias("w"), F.sum("b").alias("b")), "springs")
-    start = matrix.groupBy("i").agg((F.sum("w") + alpha).alias("d"), F.sum("b").alias("r"))
-    state = materialize(start.select("i", "d", F.lit(0.0).alias("s"), "r", (F.col("r") / F.col("d")).alias("p")), "state")
-    rz = first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
     edges = matrix.select("i", "j", "w")
-    for _ in range(rounds):
-        if rz <= tolerance * tolerance * first or not rz:
-            return state.select(F.col("i").alias("item"), F.col("s").alias("strength"))
-        pull = edges.join(state.select(F.col("i").alias("j"), F.col("p").alias("pj")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("pj")).alias("wp"))
+    fixed = materialize(matrix.groupBy("i").agg((F.sum("w") + alpha).alias("d"), F.sum("b").alias("b")), "fixed")
+    solution = fixed.select("i", F.lit(0.0).alias("s"))
+    q, r, d, p = (F.col(c) for c in "qrdp")
+
+    def pulled(vector: DataFrame, column: str) -> DataFrame:
+        return edges.join(vector.select(F.col("i").alias("j"), F.col(column).alias("x")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("wx"))
+
+    first = None
+    for _ in range(restarts):
         seen = Observation()
-        q = F.col("q")
-        step = state.join(pull, "i").withColumn("q", F.col("d") * F.col("p") - F.col("wp")).drop("wp")
-        step = step.observe(seen, F.sum(F.col("p") * q).alias("pq"), F.sum(F.col("r") * q / F.col("d")).alias("rq"), F.sum(q * q / F.col("d")).alias("qq"))
-        step = materialize(step, "state")
-        sums = seen.get
-        a = rz / sums["pq"]
-        now = max(0.0, rz - 2 * a * sums["rq"] + a * a * sums["qq"])
-        r = F.col("r") - a * q
-        state = step.select("i", "d", (F.col("s") + a * F.col("p")).alias("s"), r.alias("r"), (r / F.col("d") + now / rz * F.col("p")).alias("p"))
-        rz = now
-    raise RuntimeError(f"no solution within {rounds} rounds")
+        state = fixed.join(solution, "i").join(pulled(solution, "s"), "i").select("i", "d", "s", (F.col("b") - d * F.col("s") + F.col("wx")).alias("r"))
+        state = materialize(state.select("*", (r / d).alias("p")).observe(seen, F.sum(r * r / d).alias("rz")), "state")
+        rz = begun = seen.get["rz"] or 0.0
+        first = rz if first is None else first
+        if rz <= tolerance * tolerance * first:
+            return state.select(F.col("i").alias("item"), F.col("s").alias("strength"))
+        while rz > max(1e-8 * begun, tolerance * tolerance * first) and rounds:
+            rounds -= 1
+            seen = Observation()
+            step = state.join(pulled(state, "p"), "i").withColumn("q", d * p - F.col("wx")).drop("wx")
+            step = materialize(step.observe(seen, F.sum(p * q).alias("pq"), F.sum(r * q / d).alias("rq"), F.sum(q * q / d).alias("qq")), "state")
+            sums = seen.get
+            a = rz / sums["pq"]
+            now = max(0.0, rz - 2 * a * sums["rq"] + a * a * sums["qq"])
+            state = step.select("i", "d", (F.col("s") + a * p).alias("s"), (r - a * q).alias("r"), ((r - a * q) / d + now / rz * p).alias("p"))
+            rz = now
+        solution = state.select("i", "s")
+    raise RuntimeError("no solution within the rounds allowed")
 
 
 def ranking(matches: DataFrame, items: DataFrame | None = None, alpha: float = 0.1) -> DataFrame:
