@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import leaks, packing, quantiles, ranking, similar, spans, truncation
+from pairloom.llm import defects, leaks, packing, quantiles, ranking, similar, spans, truncation
 from pairloom.session import read
 
 
@@ -32,6 +32,15 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.near_groups(read(spark, sf_dir, "test_cases"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defects(read(spark, sf_dir, "results", defects.RESULTS), read(spark, sf_dir, "test_cases"))
+
+
+def p3_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers per model and kind."""
+    return p3_found(spark, sf_dir).groupBy("model_name", "defect").count().withColumnRenamed("count", "n")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(read(spark, sf_dir, "results", truncation.RESPONSES))
 
@@ -72,5 +81,5 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p5_ranking": p5_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_models": p4_models, "p4_hazards": p4_hazards, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p5_ranking": p5_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_models": p3_models, "p4_found": p4_found, "p4_models": p4_models, "p4_hazards": p4_hazards, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 SQL: dict[str, str] = {}
