@@ -1,0 +1 @@
+"""Readers and writers: JSON lines, result documents, domains and configurations."""
