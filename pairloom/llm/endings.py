@@ -101,17 +101,17 @@ class Endings:
         end = visible_end(text)
         if not end:
             return COMPLETE
-        if MARKS.search(end):
+        tail = end[-64:]
+        if MARKS.search(tail):
             return INCOMPLETE
-        if TERMINAL.search(end) and not DOTS.search(end):
-            m = NUMBER_END.search(end[-80:])
-            if m is None or not end[-1:] == ".":
-                return COMPLETE
-            return COMPLETE if (m[1].lower(), mask(m[2])) in self.numbers or "." in m[2] or ":" in m[2] or "," in m[2] else INCOMPLETE
-        if CLOSED.search(end):
+        dotted = DOTS.search(tail)
+        if not dotted and TERMINAL.search(tail):
+            m = NUMBER_END.search(tail) if tail[-1] == "." and tail[-2:-1].isdigit() else None
+            return COMPLETE if m is None or (m[1].lower(), mask(m[2])) in self.numbers or "." in m[2] or ":" in m[2] or "," in m[2] else INCOMPLETE
+        if CLOSED.search(tail):
             return COMPLETE
         final = end[-1]
-        if not final.isalnum() and final not in ",;:-–—(/…." and not DOTS.search(end):
+        if not final.isalnum() and final not in ",;:-–—(/…." and not dotted:
             return COMPLETE  # an emoji, a currency sign
         parts = segments(end)
         if mask(parts[-1]) in self.whole:
