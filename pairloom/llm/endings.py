@@ -23,6 +23,8 @@ CLOSED = re.compile(r"[)\]”»\"`>*_]$")
 DOTS = re.compile(r"(?:\.{2,}|…)[\s.…]*$")
 MARKS = re.compile(r"(?:�|\s*[\[(<](?:\.{3}|…|cut|truncated|snip)[\])>])+$", re.IGNORECASE)
 NUMBER_END = re.compile(r"(\S+)\s+[^\s\d]*(\d[\d.,:]*)\.$")
+PAID = re.compile(r"\d\s*[€$£]$")
+LAST_NUMBER = re.compile(r"[#PT]$")  # masked; a number may itself be cut
 PRICE, TIME, DIGITS = re.compile(r"\d+[.,]\d\d(?!\d)"), re.compile(r"\d{1,2}:\d\d(?!\d)"), re.compile(r"\d+")
 
 
@@ -89,7 +91,7 @@ class Endings:
 
         out = Endings()
         for s, n in last.items():
-            if n >= least and len(s.split()) > 1 and longer(DOTS.sub("", s), s) <= share * n:
+            if n >= least and len(s.split()) > 1 and longer(LAST_NUMBER.sub("", DOTS.sub("", s)), s) <= share * n:
                 out.whole.add(s)
         out.words = {w for w, n in end.items() if isinstance(w, str) and n >= 2 and n >= rare * anywhere[w]}
         out.pairs = {w: end[w] > 0 and end[w] >= rare * n for w, n in anywhere.items() if isinstance(w, tuple) and n >= 8}
@@ -111,6 +113,8 @@ class Endings:
         if CLOSED.search(tail):
             return COMPLETE
         final = end[-1]
+        if final in "€$£" and not PAID.search(tail):
+            return INCOMPLETE
         if not final.isalnum() and final not in ",;:-–—(/…." and not dotted:
             return COMPLETE  # an emoji, a currency sign
         parts = segments(end)
