@@ -82,4 +82,26 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p5_ranking": p5_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_models": p3_models, "p4_found": p4_found, "p4_models": p4_models, "p4_hazards": p4_hazards, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
-SQL: dict[str, str] = {}
+_ONCE = "once as (select * from (select *, row_number() over (partition by result_id order by received_at) as rn from results) where rn = 1)"
+_MEASURES = (
+    f"with {_ONCE}, e as (select capability, cast(finished_at as date) as day, unnest(map_keys(responses)) as model_name, unnest(map_values(responses)) as a from once), "
+    "v as (select model_name, capability, day, 'latency_ms' as metric, a.latency_ms as value from e union all select model_name, capability, day, 'tokens', cast(a.tokens as double) from e)"
+)
+_READ = "count(*) as n, " + ", ".join(f"quantile_disc(value, {q}) as p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", cast(0 as bigint) as rank_error from v where value > 0 group by all"
+
+#: For the percentiles: exact where no group has more values than a sketch keeps whole, as at sf0.01.
+SQL = {
+    "p1_percentiles": f"{_MEASURES} select model_name, capability, metric, {_READ}",
+    "p1_daily": f"{_MEASURES} select model_name, capability, metric, day, {_READ}",
+    "p2_found": """
+        with t as (select case_key, unnest(turns) as turn from test_cases),
+        w as (select case_key, regexp_extract_all(lower(turn), '[\\p{L}\\p{N}]+') as w from t where turn is not null),
+        p as (select distinct case_key, w[i] || ' ' || w[i + 1] as pair from (select case_key, w, unnest(range(1, len(w))) as i from w)),
+        n as (select case_key, count(*) as n from p group by 1 having count(*) >= 10),
+        b as (select x.case_key as a, y.case_key as b, count(*) as c from p x join p y on x.pair = y.pair and x.case_key < y.case_key group by all)
+        select a as case_key_a, b as case_key_b from b join n na on na.case_key = a join n nb on nb.case_key = b where c >= 0.6 * (na.n + nb.n - c) - 1e-9""",
+    "p9_found": """
+        with w as (select distinct doc_id, md5(substr(text, i, 360)) as h from (select doc_id, text, unnest(range(1, length(text) - 358)) as i from documents where length(text) >= 360)),
+        s as (select h from w group by h having count(*) > 1), k as (select doc_id, h from w semi join s using (h))
+        select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from k x join k y on x.h = y.h and x.doc_id < y.doc_id""",
+}

@@ -20,7 +20,7 @@ def docs(spark, n=400, seed=4):
 @needs_tokenizer
 def test_containers_are_full_and_whole(spark):
     df = docs(spark)
-    got = packing.pack(df, capacity=128, containers=8).collect()
+    got = packing.pack(df, capacity=128, containers=64).collect()
     enc = packing.encoding(packing.TOKENIZER)
     size = {r.doc_id: len(enc.encode_ordinary(r.text or "")) for r in df.collect()}
     sums, pieces = collections.Counter(), collections.defaultdict(list)
