@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.words import digest64, mix, word_pairs
+from pairloom.llm.words import digest64, mix, word_pairs, words
 from pairloom.session import materialize, small
 
 DEPTH = 12
@@ -43,22 +43,39 @@ def forest_depth(trees: int, threshold: float, recall: float, deepest: int = DEP
     return d
 
 
+class Codes(dict):
+    """64-bit codes of words, kept by each worker for as many as 2^16 words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        self[word] = code = digest64(word.encode("utf-8", "surrogatepass")) & (1 << 64) - 1
+        return code
+
+
+CODES = Codes()
+
+
 def pair_codes(turns: list[str | None] | None) -> np.ndarray:
     """The word pairs of a record as sorted 64-bit codes."""
-    return np.array(sorted({digest64(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in word_pairs(turns)}), dtype=np.int64)
+    parts = []
+    for t in () if turns is None else turns:
+        w = words(t)
+        if len(w) > 1:
+            c = np.fromiter(map(CODES.__getitem__, w), np.uint64, len(w))
+            parts.append(mix(c[:-1] + mix(c[1:])))
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    draw = rng.integers(0, 1 << 63, size=(2, n), dtype=np.uint64)
-    return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
+    return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def minhashes(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least value of each of the multiply-add hashes (their upper halves) over a set."""
-    x = mix(codes.view(np.uint64))
-    values = (x[:, None] * a[None, :] + b[None, :]) >> np.uint64(32)
-    return values.min(axis=0)
+    """The least value of each of the multiply-add hashes over a set, mixed so that all bits serve."""
+    x = (codes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    return mix((x[:, None] * a[None, :] + b[None, :]).min(axis=0))
 
 
 def set_digest(codes: np.ndarray) -> int:
@@ -69,18 +86,19 @@ def sets(records: DataFrame, record_id: str, turns: str) -> DataFrame:
     return records.select(F.col(record_id).cast("bigint").alias("rid"), F.col(turns).alias("turns")).filter("turns is not null")
 
 
-def members(held: DataFrame, min_pairs: int) -> DataFrame:
-    """set digest, rid of every record with enough pairs."""
+def members(held: DataFrame, min_pairs: int, bits: int) -> DataFrame:
+    """set digest, rid, sketch (the lowest bits of further MinHash values) of every record with enough pairs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = coefficients(bits, 2)
         for batch in batches:
             out = []
             for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(codes := pair_codes(t)) >= min_pairs:
-                    out.append((set_digest(codes), rid))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["h", "rid"])
+                    out.append((set_digest(codes), rid, np.packbits((minhashes(codes, a, b) & np.uint64(1)).astype(np.uint8)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h", "rid", "bits"])
 
-    return held.mapInArrow(scan, "h bigint, rid bigint")
+    return held.mapInArrow(scan, "h bigint, rid bigint, bits binary")
 
 
 def postings(held: DataFrame, min_pairs: int, trees: int, depth: int) -> DataFrame:
@@ -89,7 +107,7 @@ def postings(held: DataFrame, min_pairs: int, trees: int, depth: int) -> DataFra
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(trees * depth, 1)
         tree = mix(np.arange(1, trees + 1))
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):  # small results, as each row gives one a tree
             keys, digests = [], []
             for t in batch.column(1).to_pylist():
                 if len(codes := pair_codes(t)) < min_pairs:
@@ -106,21 +124,6 @@ def postings(held: DataFrame, min_pairs: int, trees: int, depth: int) -> DataFra
     return held.mapInArrow(scan, "key bigint, h bigint")
 
 
-def sketches(held: DataFrame, min_pairs: int, bits: int) -> DataFrame:
-    """set digest, the lowest bits of further MinHash values."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = coefficients(bits, 2)
-        for batch in batches:
-            out = {}
-            for t in batch.column(1).to_pylist():
-                if len(codes := pair_codes(t)) >= min_pairs:
-                    out[set_digest(codes)] = np.packbits((minhashes(codes, a, b) & np.uint64(1)).astype(np.uint8)).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["h", "bits"])
-
-    return held.mapInArrow(scan, "h bigint, bits binary")
-
-
 def split_hot(held: DataFrame, hot: DataFrame, min_pairs: int, threshold: float) -> DataFrame:
     """Candidate pairs inside hot prefixes: sets that share one of their rarest word pairs there."""
 
@@ -154,13 +157,13 @@ def candidates(held: DataFrame, min_pairs: int, threshold: float, trees: int, re
     return pairs.distinct()
 
 
-def near_sets(held: DataFrame, min_pairs: int, threshold: float, trees: int, recall: float, hot: int, bits: int) -> DataFrame:
-    """Verified pairs a < b of set digests with the sizes of their intersection and union."""
+def near_sets(held: DataFrame, by: DataFrame, min_pairs: int, threshold: float, trees: int, recall: float, hot: int, bits: int) -> DataFrame:
+    """Verified pairs a < b of set digests with the sizes of their intersection and union; `by` has the members."""
     pairs = candidates(held, min_pairs, threshold, trees, recall, hot)
     agree = (1 + threshold) / 2
     least = math.floor(bits * agree - 4 * math.sqrt(bits * agree * (1 - agree)))
-    sketch = sketches(held, min_pairs, bits).dropDuplicates(["h"])
-    both = pairs.join(sketch.select(F.col("h").alias("a"), F.col("bits").alias("x")), "a").join(sketch.select(F.col("h").alias("b"), F.col("bits").alias("y")), "b")
+    one = by.groupBy("h").agg(F.min_by("bits", "rid").alias("bits"))
+    both = pairs.join(one.select(F.col("h").alias("a"), F.col("bits").alias("x")), "a").join(one.select(F.col("h").alias("b"), F.col("bits").alias("y")), "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +174,7 @@ def near_sets(held: DataFrame, min_pairs: int, threshold: float, trees: int, rec
 
     kept = materialize(both.select("a", "b", "x", "y").mapInArrow(close, "a bigint, b bigint"), "near")
     wanted = small(materialize(kept.select(F.col("a").alias("h")).union(kept.select("b")).distinct(), "wanted"))
-    texts = materialize(representatives(held, wanted, min_pairs), "texts")
+    texts = materialize(representatives(held, by, wanted), "texts")
     left = texts.select(F.col("h").alias("a"), F.col("turns").alias("ta"))
     right = texts.select(F.col("h").alias("b"), F.col("turns").alias("tb"))
 
@@ -188,17 +191,17 @@ def near_sets(held: DataFrame, min_pairs: int, threshold: float, trees: int, rec
     return kept.join(left, "a").join(right, "b").mapInPandas(compare, "a bigint, b bigint, both int, either int")
 
 
-def representatives(held: DataFrame, wanted: DataFrame, min_pairs: int) -> DataFrame:
+def representatives(held: DataFrame, by: DataFrame, wanted: DataFrame) -> DataFrame:
     """The turns of one record for each wanted set."""
-    ids = members(held, min_pairs).join(wanted, "h").groupBy("h").agg(F.min("rid").alias("rid"))
+    ids = by.join(wanted, "h").groupBy("h").agg(F.min("rid").alias("rid"))
     return held.join(small(materialize(ids, "reps")), "rid").select("h", "turns")
 
 
 def near_pairs(records: DataFrame, record_id: str = "case_key", turns: str = "turns", threshold: float = 0.6, min_pairs: int = 10, trees: int = 100, recall: float = 0.99, hot: int = 128, bits: int = 256) -> DataFrame:
     """rid_a < rid_b, similarity of every near-duplicate pair of records, equal sets included."""
     held = sets(records, record_id, turns)
-    found = near_sets(held, min_pairs, threshold, trees, recall, hot, bits)
-    by = materialize(members(held, min_pairs), "members")
+    by = materialize(members(held, min_pairs, bits), "members")
+    found = near_sets(held, by, min_pairs, threshold, trees, recall, hot, bits)
     left, right = by.select(F.col("h").alias("a"), F.col("rid").alias("x")), by.select(F.col("h").alias("b"), F.col("rid").alias("y"))
     wide = small(materialize(found, "pairs")).join(left, "a").join(right, "b").select("x", "y", (F.col("both") / F.col("either")).alias("similarity"))
     more = by.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
