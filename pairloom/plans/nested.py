@@ -34,4 +34,34 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_responses": p6_responses, "p6_verdicts": p6_verdicts, "p6_links": p6_links}
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": r"""
+        with v as (select line_id, payload::json as j from result_lines where json_valid(payload)),
+        t as (select line_id, j, case when json_type(j, '$.data') = 'OBJECT' then json_extract(j, '$.data') else j end as d from v where json_type(j) = 'OBJECT' and json_extract_string(j, '$.type') = 'result'),
+        b as (select line_id, coalesce(json_extract(d, '$.responses'), json_extract(j, '$.responses')) as r, coalesce(json_extract(d, '$.judge_reasons'), json_extract(j, '$.judge_reasons')) as q,
+          coalesce(json_extract(d, '$.raw_ab'), json_extract(j, '$.raw_ab')) as ab, coalesce(json_extract(d, '$.raw_ba'), json_extract(j, '$.raw_ba')) as ba from t),
+        k0 as (select line_id, 'raw_ab' as k, ab as x from b union all select line_id, 'raw_ba', ba from b),
+        k1 as (select line_id, k, case when json_type(x) = 'OBJECT' then x when json_type(x) = 'VARCHAR' then try_cast(regexp_replace(x ->> '$', '^\s*```[^\n`{\[]*\s*|\s*```\s*$', '', 'g') as json) end as x from k0),
+        k as (select line_id, k, x from k1 where json_type(x) = 'OBJECT' and len(json_keys(x)) > 0),
+        many as (
+          select line_id, 'judge_reasons' as child, -1 as parent_pos, q as x from b
+          union all select line_id, k || '.reasons', -1, json_extract(x, '$.reasons') from k
+          union all select line_id, k || '.attempts', -1, json_extract(x, '$.attempts') from k),
+        e as (select line_id, child, parent_pos, x, json_type(x) as ty from many where x is not null),
+        el as (
+          select line_id, child, parent_pos, i as pos, json_extract(x, '$[' || i || ']') as y from (select *, unnest(range(json_array_length(x)::bigint)) as i from e where ty = 'ARRAY')
+          union all select line_id, child, parent_pos, 0, x from e where ty not in ('ARRAY', 'NULL') and x::varchar not in ('""', '{}')),
+        rs as (
+          select line_id, i as pos, json_extract(r, '$[' || i || ']') as y from (select *, unnest(range(json_array_length(r)::bigint)) as i from b where json_type(r) = 'ARRAY')
+          union all select line_id, i - 1, json_extract(r, '$."' || n || '"') from (select line_id, r, unnest(json_keys(r)) as n, unnest(range(1, len(json_keys(r))::bigint + 1)) as i from b where json_type(r) = 'OBJECT')),
+        deep as (
+          select line_id, 'responses.tool_calls' as child, pos as parent_pos, json_extract(y, '$.tool_calls') as x from rs where json_type(y) = 'OBJECT'
+          union all select line_id, child || '.issues', pos, json_extract(y, '$.issues') from el where child like '%.attempts' and json_type(y) = 'OBJECT'),
+        de as (
+          select line_id, child, parent_pos, i as pos, json_extract(x, '$[' || i || ']') as y from (select *, unnest(range(json_array_length(x)::bigint)) as i from deep where json_type(x) = 'ARRAY')
+          union all select line_id, child, parent_pos, 0, x from deep where json_type(x) not in ('ARRAY', 'NULL') and x::varchar not in ('""', '{}')),
+        allof as (
+          select line_id, child, parent_pos, pos, y from el union all select line_id, child, parent_pos, pos, y from de
+          union all select line_id, 'responses', -1, pos, y from rs union all select line_id, k, -1, 0, x from k)
+        select line_id, child, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from allof where json_type(y) <> 'NULL'""",
+}
