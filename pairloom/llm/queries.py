@@ -104,4 +104,17 @@ SQL = {
         with w as (select distinct doc_id, md5(substr(text, i, 360)) as h from (select doc_id, text, unnest(range(1, length(text) - 358)) as i from documents where length(text) >= 360)),
         s as (select h from w group by h having count(*) > 1), k as (select doc_id, h from w semi join s using (h))
         select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from k x join k y on x.h = y.h and x.doc_id < y.doc_id""",
+    # Jacobi iteration with the mean taken off, which converges where all models are connected
+    "p5_ranking": """
+        with recursive once as (select * from (select *, row_number() over (partition by result_id order by received_at) as rn from results) where rn = 1),
+        runs as (select benchmark_id, coalesce(nullif(models[1].alias, ''), models[1].provider || '/' || models[1].model) as a, coalesce(nullif(models[2].alias, ''), models[2].provider || '/' || models[2].model) as b from bench_runs),
+        m as (select a, b, winner from once join runs using (benchmark_id) where winner is not null),
+        one as (select a as i, b as j, case winner when 'A' then 1.0 when 'B' then 0.0 else 0.5 end as w, winner = 'A' as won, winner = 'B' as lost from m
+          union all select b, a, case winner when 'B' then 1.0 when 'A' then 0.0 else 0.5 end, winner = 'B', winner = 'A' from m),
+        e as (select i, j, count(*)::double as w from one group by all),
+        d as (select i, count(*) + 0.1 as d, sum(w - (1 - w))::double as b, count(*) filter (won) as wins, count(*) filter (lost) as losses, count(*) filter (not won and not lost) as ties from one group by 1),
+        it as (select 0 as k, i as item, 0.0::double as s from d
+          union all select k + 1, item, s - avg(s) over () from (select it.k, d.i as item, (d.b + sum(e.w * it.s)) / d.d as s from it join e on e.j = it.item join d on d.i = e.i where it.k < 150 group by it.k, d.i, d.b, d.d)),
+        f as (select c.model_name, coalesce(round(it.s, 6), 0.0) + 0.0 as strength, coalesce(wins, 0) as wins, coalesce(losses, 0) as losses, coalesce(ties, 0) as ties from (select model_name from model_catalog union select i from d) c left join it on it.item = c.model_name and it.k = 150 left join d on d.i = c.model_name)
+        select model_name, strength, rank() over (order by strength desc) as rank, wins, losses, ties from f""",
 }
