@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.words import folded_words
+from pairloom.llm.words import blocks, folded_words
 
 BLOCK = 2
 
@@ -85,7 +85,7 @@ class Tables:
         return (np.concatenate([x for x, _ in hits]), np.concatenate([x for _, x in hits])) if hits else (nothing, nothing)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 12, block_words: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 12, block_words: int = 1_000_000, block_chars: int = 1 << 22) -> DataFrame:
     """doc_id, item_id of each document that contains at least `min_words` consecutive words of an item."""
     held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     total = held.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -98,8 +98,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             tables = sent.value
             for batch in batches:
-                where, pattern = tables.search(batch.column(1).to_pylist())
-                rows = sorted({(w, i) for w, p in zip(where.tolist(), pattern.tolist()) for i in tables.items[p]})
+                texts = batch.column(1).to_pylist()
+                rows: list[tuple[int, int]] = []
+                for lo, hi in blocks(texts, block_chars):
+                    where, pattern = tables.search(texts[lo:hi])
+                    rows += sorted({(lo + w, i) for w, p in zip(where.tolist(), pattern.tolist()) for i in tables.items[p]})
                 ids = batch.column(0).take(pa.array([w for w, _ in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in rows], pa.int64())], ["doc_id", "item_id"])
 

@@ -6,13 +6,14 @@ import hashlib
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
 WORD = re.compile(r"[^\W_]+")
 
 #: Characters that show nothing and only steer layout: category Cf, the grapheme joiner and the variation selectors.
-INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" or c == 0x34F or 0xFE00 <= c <= 0xFE0F) + "]")
+INVISIBLE = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" or c == 0x34F or 0xFE00 <= c <= 0xFE0F)
 
 
 def words(text: str | None) -> list[str]:
@@ -20,12 +21,28 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.casefold()) if text else []
 
 
+def shown(text: str) -> str:
+    return text if INVISIBLE.isdisjoint(text) else "".join(c for c in text if c not in INVISIBLE)
+
+
+def blocks(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Slices of a list of texts with about `chars` characters each, at least one text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def folded_words(text: str | None) -> list[str]:
     """Words after compatibility folding and removal of invisible format characters."""
     if not text:
         return []
     if not text.isascii():
-        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", INVISIBLE.sub("", text)))
+        text = shown(unicodedata.normalize("NFKC", shown(text)))
     return WORD.findall(text.casefold())
 
 
