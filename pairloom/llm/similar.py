@@ -124,18 +124,16 @@ def postings(held: DataFrame, min_pairs: int, trees: int, depth: int) -> DataFra
     return held.mapInArrow(scan, "key bigint, h bigint")
 
 
-def split_hot(held: DataFrame, hot: DataFrame, min_pairs: int, threshold: float) -> DataFrame:
+def split_hot(held: DataFrame, by: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs inside hot prefixes: sets that share one of their rarest word pairs there."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {}
-            for t in batch.column(1).to_pylist():
-                if len(codes := pair_codes(t)) >= min_pairs:
-                    out[set_digest(codes)] = codes
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x.tolist() for x in out.values()], pa.list_(pa.int64()))], ["h", "codes"])
+            codes = [pair_codes(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], ["h", "codes"])
 
-    codes = held.mapInArrow(scan, "h bigint, codes array<bigint>").join(hot.select("h").distinct(), "h").groupBy("h").agg(F.first("codes").alias("codes"))
+    wanted = small(materialize(hot.select("h").distinct(), "hot"))
+    codes = materialize(representatives(held, by, wanted).mapInArrow(scan, "h bigint, codes array<bigint>"), "codes")
     one = hot.join(codes, "h").select("key", "h", F.size("codes").alias("n"), F.explode("codes").alias("code"))
     ranked = one.withColumn("df", F.count("*").over(Window.partitionBy("key", "code"))).withColumn("place", F.row_number().over(Window.partitionBy("key", "h").orderBy("df", "code")))
     kept = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("key", "code", "h", "n")
@@ -144,22 +142,22 @@ def split_hot(held: DataFrame, hot: DataFrame, min_pairs: int, threshold: float)
     return close.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"))
 
 
-def candidates(held: DataFrame, min_pairs: int, threshold: float, trees: int, recall: float, hot: int) -> DataFrame:
+def candidates(held: DataFrame, by: DataFrame, min_pairs: int, threshold: float, trees: int, recall: float, hot: int) -> DataFrame:
     """Distinct pairs a < b of set digests that lie together in some tree."""
     depth = forest_depth(trees, threshold, recall)
-    by = postings(held, min_pairs, trees, depth).repartition("key").distinct()
-    common = materialize(by.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "postings")
+    keyed = postings(held, min_pairs, trees, depth).repartition("key").distinct()
+    common = materialize(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "postings")
     few = common.filter(F.col("n") <= hot)
     pairs = few.alias("p").join(few.alias("q"), "key").filter("p.h < q.h").select(F.col("p.h").alias("a"), F.col("q.h").alias("b"))
     many = common.filter(F.col("n") > hot).select("key", "h")
     if not many.isEmpty():
-        pairs = pairs.union(split_hot(held, many, min_pairs, threshold))
+        pairs = pairs.union(split_hot(held, by, many, threshold))
     return pairs.distinct()
 
 
 def near_sets(held: DataFrame, by: DataFrame, min_pairs: int, threshold: float, trees: int, recall: float, hot: int, bits: int) -> DataFrame:
     """Verified pairs a < b of set digests with the sizes of their intersection and union; `by` has the members."""
-    pairs = candidates(held, min_pairs, threshold, trees, recall, hot)
+    pairs = candidates(held, by, min_pairs, threshold, trees, recall, hot)
     agree = (1 + threshold) / 2
     least = math.floor(bits * agree - 4 * math.sqrt(bits * agree * (1 - agree)))
     one = by.groupBy("h").agg(F.min_by("bits", "rid").alias("bits"))
