@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.words import mix
+from pairloom.llm.words import blocks, mix
 from pairloom.session import materialize, small
 
 WINDOW, SPREAD = 8, 32
@@ -104,19 +104,16 @@ def fingerprints(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np
 def runs(docs: DataFrame, run: int, block_chars: int = 1 << 20) -> DataFrame:
     """One row per run of chunks and text: digest, th (digest of the whole text), doc, pos."""
 
+    over = run + 4 * SPREAD + WINDOW  # a run begins and ends well inside some piece of a long text
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            cuts, size = [0], 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= block_chars:
-                    cuts, size = [*cuts, i + 1], 0
-            for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):
-                if lo < hi:
-                    text, pos, digest = fingerprints(texts[lo:hi], run)
-                    at = pa.array(text + lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(1).take(at), batch.column(0).take(at), pa.array(pos.astype(np.int32))], ["digest", "th", "doc", "pos"])
+            pieces = [(i, at, t[at : at + block_chars + over]) for i, t in enumerate(batch.column(2).to_pylist()) for at in range(0, max(1, len(t) - over), block_chars)]
+            for lo, hi in blocks([p[2] for p in pieces], block_chars):
+                number, pos, digest = fingerprints([p[2] for p in pieces[lo:hi]], run)
+                of = np.array([p[:2] for p in pieces[lo:hi]])[number].reshape(-1, 2)
+                at = pa.array(of[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(1).take(at), batch.column(0).take(at), pa.array((pos + of[:, 1]).astype(np.int32))], ["digest", "th", "doc", "pos"])
 
     return docs.select("doc", "th", "text").mapInArrow(scan, "digest bigint, th binary, doc bigint, pos int")
 

@@ -99,3 +99,16 @@ def test_boundaries_follow_the_content():
             first = inner
         assert inner == first
     assert np.diff(sorted(first)).max() <= spans.SPREAD
+
+
+def test_long_texts_are_cut_into_pieces_without_loss(spark):
+    rng = random.Random(4)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(9000)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (2, b[:700] + a[3300:3660] + b[700:]), (3, b[2000:2360])], "doc bigint, text string").selectExpr("*", "unhex(md5(text)) as th")
+    run = spans.run_length(360)
+    for size in (1 << 20, 1000):
+        found = spans.runs(df, run, size).collect()
+        by = {}
+        for r in found:
+            by.setdefault(r.digest, set()).add(r.doc)
+        assert {tuple(sorted(s)) for s in by.values() if len(s) > 1} == {(1, 2), (2, 3)}
