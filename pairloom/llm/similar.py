@@ -102,22 +102,26 @@ def members(held: DataFrame, min_pairs: int, bits: int) -> DataFrame:
 
 
 def postings(held: DataFrame, min_pairs: int, trees: int, depth: int) -> DataFrame:
-    """key of the prefix in each tree, set digest."""
+    """key of the prefix in each tree, set digest; a task sends a set it has seen lately only once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(trees * depth, 1)
         tree = mix(np.arange(1, trees + 1))
+        seen: set[int] = set()
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):  # small results, as each row gives one a tree
             keys, digests = [], []
             for t in batch.column(1).to_pylist():
-                if len(codes := pair_codes(t)) < min_pairs:
+                if len(codes := pair_codes(t)) < min_pairs or (digest := set_digest(codes)) in seen:
                     continue
+                if len(seen) >= 1 << 17:
+                    seen.clear()
+                seen.add(digest)
                 values = minhashes(codes, a, b).reshape(trees, depth)
                 key = tree.copy()
                 for j in range(depth):
                     key = mix(key ^ values[:, j])
                 keys.append(key.view(np.int64))
-                digests.append(np.full(trees, set_digest(codes), np.int64))
+                digests.append(np.full(trees, digest, np.int64))
             flat = (np.concatenate(keys), np.concatenate(digests)) if keys else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["key", "h"])
 
@@ -233,9 +237,15 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("group")).union(e.select("v", "v").distinct())
 
 
-def near_groups(records: DataFrame, record_id: str = "case_key", turns: str = "turns", **options) -> DataFrame:
-    """One row per record that is near another: record, group, links (how many records it is near)."""
-    pairs = materialize(near_pairs(records, record_id, turns, **options), "links")
-    ends = pairs.select(F.col("rid_a").alias("node")).union(pairs.select("rid_b"))
-    links = ends.groupBy("node").agg(F.count("*").alias("links"))
-    return components(pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))).join(links, "node").select(F.col("node").alias(record_id), F.col("group").alias("group_key"), "links")
+def near_groups(records: DataFrame, record_id: str = "case_key", turns: str = "turns", threshold: float = 0.6, min_pairs: int = 10, trees: int = 100, recall: float = 0.99, hot: int = 128, bits: int = 256) -> DataFrame:
+    """One row per record that is near another: record, group (the least record of the component), links (how many
+    records it is near). Groups are made of sets, so copies are counted but never paired."""
+    held = sets(records, record_id, turns)
+    by = materialize(members(held, min_pairs, bits), "members")
+    found = materialize(near_sets(held, by, min_pairs, threshold, trees, recall, hot, bits).select("a", "b"), "pairs")
+    sizes = by.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("least"))
+    beside = found.union(found.select("b", "a")).toDF("h", "other").join(sizes.select(F.col("h").alias("other"), "n"), "other").groupBy("h").agg(F.sum("n").alias("others"))
+    known = sizes.join(beside, "h", "left").join(components(found).withColumnsRenamed({"node": "h", "group": "g"}), "h", "left")
+    known = materialize(known.select("h", "least", F.coalesce("g", "h").alias("g"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")).filter("links > 0"), "known")
+    first = known.groupBy("g").agg(F.min("least").alias("group_key"))
+    return by.select("h", "rid").join(known.join(first, "g").select("h", "group_key", "links"), "h").select(F.col("rid").alias(record_id), "group_key", "links")

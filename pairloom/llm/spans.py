@@ -102,12 +102,22 @@ def fingerprints(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def runs(docs: DataFrame, run: int, block_chars: int = 1 << 20) -> DataFrame:
-    """One row per run of chunks and text: digest, th (digest of the whole text), doc, pos."""
+    """One row per run of chunks and text: digest, th (digest of the whole text), doc, pos; a task sends a text it has seen
+    lately only once."""
 
     over = run + 4 * SPREAD + WINDOW  # a run begins and ends well inside some piece of a long text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
+            fresh = []
+            for i, h in enumerate(batch.column(1).to_pylist()):
+                if h not in seen:
+                    fresh.append(i)
+                    if len(seen) >= 1 << 17:
+                        seen.clear()
+                    seen.add(h)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             pieces = [(i, at, t[at : at + block_chars + over]) for i, t in enumerate(batch.column(2).to_pylist()) for at in range(0, max(1, len(t) - over), block_chars)]
             for lo, hi in blocks([p[2] for p in pieces], block_chars):
                 number, pos, digest = fingerprints([p[2] for p in pieces[lo:hi]], run)
@@ -152,8 +162,15 @@ def classes(long: DataFrame) -> DataFrame:
     return ids.join(groups, "th").select("doc", "rep")
 
 
+def named(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs with each text named by the least doc that has it."""
+    for c in "ab":
+        pairs = pairs.join(copies.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}__")), c, "left").withColumn(c, F.coalesce(f"{c}__", c)).drop(f"{c}__")
+    return pairs
+
+
 def candidates(long: DataFrame, least: int, hot: int) -> DataFrame:
-    """Pairs (a < b) of texts, each by its least doc, that share a run, or a whole window where the run is hot."""
+    """Pairs (a < b) of texts, each by one doc that has it, that share a run, or a whole window where the run is hot."""
     found = runs(long, run_length(least)).repartition("digest")
     by = Window.partitionBy("digest")
     one = found.groupBy("digest", "th").agg(F.min(F.struct("doc", "pos")).alias("x")).select("digest", "x.doc", "x.pos")
@@ -204,8 +221,8 @@ def verified(long: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
 def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 360, hot: int = 64) -> DataFrame:
     """doc_id_a < doc_id_b of every two documents that share a stretch of at least `least` characters, copies included."""
     long = prepare(docs, doc_id, text, least)
-    pairs = verified(long, candidates(long, least, hot), least).select("a", "b")
     copies = materialize(classes(long), "copies")
+    pairs = named(verified(long, candidates(long, least, hot), least).select("a", "b"), small(copies))
     # a text without copies stands for itself
     members = small(copies.select(F.col("rep").alias("r"), F.col("doc").alias("m")))
     wide = pairs.join(members.withColumnsRenamed({"r": "a", "m": "ma"}), "a", "left").join(members.withColumnsRenamed({"r": "b", "m": "mb"}), "b", "left")
@@ -218,14 +235,15 @@ def shared_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """Per document with a shared stretch: its characters, how many lie in shared stretches, their share, and rep, the
     least document with the same text. Copies share all of their text and are not compared with each other."""
     long = prepare(docs, doc_id, text, least)
-    found = verified(long, candidates(long, least, hot), least)
+    copies = materialize(classes(long), "copies")
+    found = named(verified(long, candidates(long, least, hot), least), small(copies))
     either = found.select(F.col("a").alias("rep"), F.col("in_a").alias("spans")).union(found.select("b", "in_b"))
     spans = either.select("rep", F.explode("spans").alias("s")).select("rep", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
     order = Window.partitionBy("rep").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     beyond = F.greatest("lo", F.coalesce(F.max("hi").over(order), F.lit(0)))
     parts = spans.distinct().select("rep", F.greatest(F.lit(0), F.col("hi") - beyond).alias("n"))
     per = parts.groupBy("rep").agg(F.sum("n").alias("n_shared"))
-    ids = long.select("doc", F.length("text").cast("bigint").alias("n_chars")).join(classes(long), "doc", "left")
+    ids = long.select("doc", F.length("text").cast("bigint").alias("n_chars")).join(copies, "doc", "left")
     ids = ids.withColumn("copied", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", "doc"))
     out = ids.join(per, "rep", "left").filter("copied or n_shared is not null")
     n = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("n_shared"))

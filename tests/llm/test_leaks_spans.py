@@ -112,3 +112,14 @@ def test_long_texts_are_cut_into_pieces_without_loss(spark):
         for r in found:
             by.setdefault(r.digest, set()).add(r.doc)
         assert {tuple(sorted(s)) for s in by.values() if len(s) > 1} == {(1, 2), (2, 3)}
+
+
+def test_many_copies(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh") for _ in range(700))
+    docs = [(k, text) for k in range(40)] + [(90, "x" + text[100:500]), (91, "y" * 400)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    pairs = {tuple(r) for r in spans.shared_pairs(df).collect()}
+    assert pairs == {*itertools.combinations(range(40), 2), *((k, 90) for k in range(40))}
+    share = {r.doc_id: (r.rep, r.n_shared) for r in spans.shared_share(df).collect()}
+    assert share == {k: (0, 700) for k in range(40)} | {90: (90, 400)}

@@ -83,3 +83,11 @@ def test_defined_cases(spark):
 def test_depth_meets_the_target():
     d = similar.forest_depth(100, 0.6, 0.99)
     assert d == 6 and 1 - (1 - 0.6**d) ** 100 >= 0.99 > 1 - (1 - 0.6 ** (d + 1)) ** 100
+
+
+def test_copies_are_counted_but_not_paired_in_groups(spark):
+    turns = [" ".join(f"a{i}" for i in range(30))]
+    near = [turns[0] + " more"]
+    data = [(k, turns) for k in range(300)] + [(500, near), (501, [" ".join(f"b{i}" for i in range(30))])]
+    got = {r.case_key: (r.group_key, r.links) for r in similar.near_groups(frame(spark, data).repartition(5)).collect()}
+    assert got == {k: (0, 300) for k in [*range(300), 500]}
