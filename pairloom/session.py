@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,15 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pairloom-")
+        made = tempfile.mkdtemp(prefix="pairloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = "file://" + made
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pairloom/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables this application has written to the shared folder; call it when no result is still to be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
