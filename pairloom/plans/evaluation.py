@@ -155,6 +155,12 @@ def generate_cases(spark, sf_dir):
     return made.select("id", "category", F.size("turns").cast("bigint").alias("n_turns"), F.array_join("turns", " ").alias("said"), "meta.meal_time", "meta.party_size")
 
 
+def generate_draws(spark, sf_dir):
+    """The digests behind the generated cases."""
+    draws = generate.Draws(42, F.col("id"))
+    return spark.range(1, 1001).select(text.case_id("dn", F.col("id")).alias("id"), draws.number("keep").alias("keep"), draws.pick(generate.POOLS["drink"], "drink").alias("drink"), draws.chance(0.25, "pressure").alias("pressure"))
+
+
 def category_balance(spark, sf_dir):
     return generate.generate(spark, 1000, 42).groupBy("category").agg(F.count("*").alias("n"))
 
@@ -180,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         summary_levels, test_case_scan, case_messages, validate_cases, max_items, display_names, model_specs, case_capability_grid, pair_responses, swap_reconcile, reason_dedupe, judge_parse, judge_parse_native,
-        win_loss_by_model, win_loss_by_capability, win_loss_by_category, overall_winner, compare_runs, case_counts, rule_exact_match, rule_keywords, token_totals, generate_cases, category_balance, jsonl_render, simulated_run,
+        win_loss_by_model, win_loss_by_capability, win_loss_by_category, overall_winner, compare_runs, case_counts, rule_exact_match, rule_keywords, token_totals, generate_cases, generate_draws, category_balance, jsonl_render, simulated_run,
     )
 }
 
@@ -218,3 +224,9 @@ SQL["overall_winner"] = f"with {_PAIRS}, won as ({_WON}) select benchmark_id, wi
 SQL["compare_runs"] = f"with {_PAIRS}, won as ({_WON}) select benchmark_name, {_WINNER} as winner, model_a, wins_a, model_b, wins_b, ties from won"
 SQL["rule_exact_match"] = f"with {_PAIRS}, s as (select case when length(b.response) > 0 and regexp_replace(a.response, '^\\s+|\\s+$', '', 'g') = regexp_replace(b.response, '^\\s+|\\s+$', '', 'g') then 1.0 else 0.0 end as score from pairs) select score::double as score, count(*) as n from s group by 1"
 SQL["reason_dedupe"] = f"with {_ONCE}, r as (select result_id, list_concat(coalesce(raw_ab.reasons, []), coalesce(raw_ba.reasons, [])) as x from once) select result_id, coalesce(array_to_string(list_filter(x, lambda v, i: v is not null and list_position(x, v) = i)[:6], '|'), '') as reasons from r"
+SQL["generate_draws"] = "with d as (select i, ('0x' || substr(md5('42|' || i || '|keep'), 1, 8))::bigint as keep, ('0x' || substr(md5('42|' || i || '|drink'), 1, 8))::bigint as a, ('0x' || substr(md5('42|' || i || '|pressure'), 1, 8))::bigint as b from range(1, 1001) r(i)) select 'dn_' || lpad(i::varchar, 4, '0') as id, keep, (['pear cider', 'amber ale', 'mint infusion', 'dry vermouth'])[a % 4 + 1] as drink, b < 1073741824 as pressure from d"
+_SAID = r"""with v as (select line_id, payload::json as j from result_lines where json_valid(payload)), x as (select line_id, coalesce(json_extract(j, '$.raw_ab'), json_extract(j, '$.data.raw_ab')) as x from v),
+o as (select line_id, try_cast(regexp_replace(x ->> '$', '^\s*```(json)?\s*|\s*```\s*$', '', 'g') as json) as o from x where json_type(x) = 'VARCHAR'),
+p as (select line_id, o, case when o ->> '$.winner' in ('A', 'B', 'tie') then o ->> '$.winner' else 'tie' end as winner, coalesce(least(greatest(try_cast(o ->> '$.score_A' as double), 0.0), 10.0), 0.0) as score_a, coalesce(least(greatest(try_cast(o ->> '$.score_B' as double), 0.0), 10.0), 0.0) as score_b from o)"""
+SQL["judge_parse_native"] = f"{_SAID} select line_id, winner, score_a, score_b from p"
+SQL["judge_parse"] = f"{_SAID} select line_id, winner, score_a, score_b, cast(case when o is null then 1 when json_type(o, '$.reasons') is null then 0 when json_type(o, '$.reasons') = 'ARRAY' then least(8, json_array_length(o, '$.reasons')) else 1 end as bigint) as n_reasons from p"
