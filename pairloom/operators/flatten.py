@@ -266,10 +266,24 @@ def columns(graph: Node, own: dict[str, str], table: str) -> list[str]:
     return list(out)
 
 
+def distinct_names(members: list[str]) -> dict[str, str]:
+    """Member path -> column name; Spark holds names that differ only in case for one, so those get a number."""
+    out: dict[str, str] = {}
+    used: set[str] = set()
+    for m in members:
+        name, k = f"c_{m}", 1
+        while name.lower() in used:
+            k += 1
+            name = f"c_{m}_{k}"
+        used.add(name.lower())
+        out[m] = name
+    return out
+
+
 def tables(shredded: DataFrame, graph: Node, own: dict[str, str]) -> dict[str, DataFrame]:
     """A DataFrame per table. Inlined columns are named c_<member path>, so that they clash with none of the keys."""
     keys: list[str | Column] = ["id", "child", "key", "parent_key", "parent_pos", "pos", "member"]
-    return {t: shredded.filter(F.col("table") == t).select(*keys, *(F.col("fields")[c].alias(f"c_{c}") for c in columns(graph, own, t))) for t in dict.fromkeys(own.values())}
+    return {t: shredded.filter(F.col("table") == t).select(*keys, *(F.col("fields")[c].alias(name) for c, name in distinct_names(columns(graph, own, t)).items())) for t in dict.fromkeys(own.values())}
 
 
 def flatten(df: DataFrame, id_col: str, payload: str, shapes: Shapes, with_fields: bool = True) -> tuple[DataFrame, Node, dict[str, str]]:

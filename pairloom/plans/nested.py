@@ -13,16 +13,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.children_found(read(spark, sf_dir, "result_lines"))
 
 
-def p6_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The responses table: one row per answer with its inlined columns."""
-    shredded, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES)
-    return flatten.tables(shredded, graph, own)["responses"]
+def table(name: str):
+    """A query for one of the flat tables: keys, places and inlined columns."""
 
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shredded, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES)
+        return flatten.tables(shredded, graph, own)[name]
 
-def p6_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table that raw_ab and raw_ba share."""
-    shredded, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES)
-    return flatten.tables(shredded, graph, own)["verdict"]
+    return rows
 
 
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +31,18 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.groupBy("child").agg(F.count("*").alias("n_rows"), F.countDistinct("parent_key").alias("n_parents"), F.count_if(F.col("has").isNull()).alias("n_orphans"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_responses": p6_responses, "p6_verdicts": p6_verdicts, "p6_links": p6_links}
+#: Query name -> table; raw_ab and raw_ba share the tables of verdicts, their column `child` tells them apart.
+TABLES = {
+    "p6_responses": "responses",
+    "p6_tool_calls": "responses_tool_calls",
+    "p6_judge_reasons": "judge_reasons",
+    "p6_verdicts": "verdict",
+    "p6_verdict_reasons": "verdict_reasons",
+    "p6_verdict_attempts": "verdict_attempts",
+    "p6_verdict_issues": "verdict_attempts_issues",
+}
+
+QUERIES = {"p6_found": p6_found, **{q: table(t) for q, t in TABLES.items()}, "p6_links": p6_links}
 SQL = {
     "p6_found": r"""
         with v as (select line_id, payload::json as j from result_lines where json_valid(payload)),

@@ -60,3 +60,11 @@ def test_schema_graph_is_found_in_the_data(spark):
     rows, graph, own = flatten.flatten(df, "id", "doc", flatten.Shapes())
     assert own == {"c": "c"}
     assert sorted((r.id, r.pos) for r in rows.collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_members_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, json.dumps({"c": [{"score": 1, "Score": 2, "id": 3, "key": 4}]}))], "id bigint, doc string")
+    rows, graph, own = flatten.flatten(df, "id", "doc", flatten.Shapes())
+    row = flatten.tables(rows, graph, own)["c"].first().asDict()
+    assert {row.get("c_score"), row.get("c_Score_2")} == {"1", "2"} or {row.get("c_Score"), row.get("c_score_2")} == {"1", "2"}
+    assert row["id"] == 1 and row["c_id"] == "3" and row["c_key"] == "4"
