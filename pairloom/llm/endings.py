@@ -103,6 +103,8 @@ class Endings:
         end = visible_end(text)
         if not end:
             return COMPLETE
+        if end[-1] in ".!?" and end[-2:-1].isalpha():
+            return COMPLETE
         tail = end[-64:]
         if MARKS.search(tail):
             return INCOMPLETE
