@@ -8,8 +8,9 @@ ends agree, and with run = least - WINDOW - 4 * (SPREAD - 1) the stretch holds a
 stretch share a digest, always. Digests are deduplicated by one shuffle; runs found in one text only end there.
 
 Candidates are pairs of different texts with a common digest. A digest in more than `hot` texts gives no pairs: its
-texts send every window of `least` characters that holds the run instead, and only texts with a common window are
-paired. Candidates are verified on their texts. Equal texts are one record throughout and are expanded at the end.
+texts send every window of `least` characters that holds the run instead, at each of its places in a text, and only
+texts with a common window are paired. Candidates are verified on their texts. Equal texts are one record throughout and
+are expanded at the end.
 
 Defined cases: null, empty and short texts share nothing. Repetition inside one text does not count. Equal texts of
 at least `least` characters share all of it. Ids must be unique; other columns are ignored.
@@ -102,8 +103,8 @@ def fingerprints(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def runs(docs: DataFrame, run: int, block_chars: int = 1 << 20) -> DataFrame:
-    """One row per run of chunks and text: digest, th (digest of the whole text), doc, pos; a task sends a text it has seen
-    lately only once."""
+    """One row per run of chunks and text: digest, th (digest of the whole text), doc; a task sends a text it has seen lately
+    only once."""
 
     over = run + 4 * SPREAD + WINDOW  # a run begins and ends well inside some piece of a long text
 
@@ -118,14 +119,13 @@ def runs(docs: DataFrame, run: int, block_chars: int = 1 << 20) -> DataFrame:
                         seen.clear()
                     seen.add(h)
             batch = batch.take(pa.array(fresh, pa.int64()))
-            pieces = [(i, at, t[at : at + block_chars + over]) for i, t in enumerate(batch.column(2).to_pylist()) for at in range(0, max(1, len(t) - over), block_chars)]
-            for lo, hi in blocks([p[2] for p in pieces], block_chars):
-                number, pos, digest = fingerprints([p[2] for p in pieces[lo:hi]], run)
-                of = np.array([p[:2] for p in pieces[lo:hi]])[number].reshape(-1, 2)
-                at = pa.array(of[:, 0])
-                yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(1).take(at), batch.column(0).take(at), pa.array((pos + of[:, 1]).astype(np.int32))], ["digest", "th", "doc", "pos"])
+            pieces = [(i, t[at : at + block_chars + over]) for i, t in enumerate(batch.column(2).to_pylist()) for at in range(0, max(1, len(t) - over), block_chars)]
+            for lo, hi in blocks([p[1] for p in pieces], block_chars):
+                number, _, digest = fingerprints([p[1] for p in pieces[lo:hi]], run)
+                at = pa.array(np.array([p[0] for p in pieces[lo:hi]], np.int64)[number])
+                yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(1).take(at), batch.column(0).take(at)], ["digest", "th", "doc"])
 
-    return docs.select("doc", "th", "text").mapInArrow(scan, "digest bigint, th binary, doc bigint, pos int")
+    return docs.select("doc", "th", "text").mapInArrow(scan, "digest bigint, th binary, doc bigint")
 
 
 def window_hashes(text: str, least: int) -> np.ndarray:
@@ -171,20 +171,25 @@ def named(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 
 def candidates(long: DataFrame, least: int, hot: int) -> DataFrame:
     """Pairs (a < b) of texts, each by one doc that has it, that share a run, or a whole window where the run is hot."""
-    found = runs(long, run_length(least)).repartition("digest")
+    run = run_length(least)
+    found = runs(long, run).repartition("digest")
     by = Window.partitionBy("digest")
-    one = found.groupBy("digest", "th").agg(F.min(F.struct("doc", "pos")).alias("x")).select("digest", "x.doc", "x.pos")
+    one = found.groupBy("digest", "th").agg(F.min("doc").alias("doc")).select("digest", "doc")
     common = materialize(one.withColumn("n", F.count("*").over(by)).filter("n > 1"), "runs")
     few = common.filter(F.col("n") <= hot).select("digest", "doc")
     pairs = few.alias("p").join(few.alias("q"), "digest").filter("p.doc < q.doc").select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"))
-    many = common.filter(F.col("n") > hot).groupBy("doc").agg(F.collect_set("pos").alias("at"))
-    run = run_length(least)
+    many = common.filter(F.col("n") > hot).groupBy("doc").agg(F.collect_set("digest").alias("hot"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, text, at in zip(pdf["doc"], pdf["text"], pdf["at"]):
+            for doc, text, digests in zip(pdf["doc"], pdf["text"], pdf["hot"]):
                 hashes = window_hashes(text, least)
-                starts = np.unique(np.concatenate([np.arange(max(0, p + run - least), min(p + 1, len(hashes) - 1) + 1) for p in at]))
+                _, pos, digest = fingerprints([text], run)
+                at = pos[np.isin(digest, digests)]  # all places of a run, as any may lie in a shared stretch
+                edges = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(edges, np.clip(at + run - least, 0, len(hashes)), 1)
+                np.add.at(edges, np.minimum(at + 2, len(hashes)), -1)
+                starts = np.flatnonzero(np.cumsum(edges)[:-1])
                 if len(starts):
                     yield pd.DataFrame({"w": np.unique(hashes[starts]).astype(np.int64), "doc": doc})
 

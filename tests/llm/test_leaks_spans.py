@@ -123,3 +123,19 @@ def test_many_copies(spark):
     assert pairs == {*itertools.combinations(range(40), 2), *((k, 90) for k in range(40))}
     share = {r.doc_id: (r.rep, r.n_shared) for r in spans.shared_share(df).collect()}
     assert share == {k: (0, 700) for k in range(40)} | {90: (90, 400)}
+
+
+def test_hot_runs_that_stand_more_than_once_in_a_text(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    house = noise(350)
+    docs = [(k, noise(90) + house + noise(90)) for k in range(70)]  # under 360 characters: no pair by itself
+    for k in range(100, 120, 2):
+        tail = house + noise(10)
+        docs += [(k, noise(30) + house + noise(400) + tail + noise(30)), (k + 1, noise(70) + tail + noise(50))]
+    pairs, share = brute(docs, 360)
+    assert {(k, k + 1) for k in range(100, 120, 2)} <= pairs
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [tuple(r) for r in spans.shared_pairs(df).collect()]
+    assert set(got) == pairs and len(got) == len(pairs)
+    assert {r.doc_id: r.n_shared for r in spans.shared_share(df).collect()} == share
