@@ -175,3 +175,27 @@ def test_quoting_and_then_answering_is_no_copy(spark):
     r, c = frames(spark, cases, results)
     got = {(x.result_id, x.model_name): x.defect for x in defects.defects(r, c).collect() if x.result_id == 900}
     assert got == {(900, "n"): "copy"}
+
+
+def test_foreign_answers_whose_words_two_languages_share(spark):
+    cases, results, _ = made(600)
+    told = ["Siento la espera. Divido la cuenta entre 11 y doy un recibo a cada uno.", "Le prix de la galette de lentilles marinée est de 35.50 euros, garniture comprise."]
+    for t in told:
+        assert defects.language(defects.WORD.findall(t.casefold())) == -1
+    asks = ["We are three tonight.", "Could you answer in Spanish?"], ["We are three tonight.", "Could you answer in French?"]
+    cases += [(9000, asks[0]), (9001, asks[1]), (9002, ["We are three tonight and would like the leek tart."])]
+    results += [(9000, 9000, AT, {"m": (told[0],)}), (9001, 9001, AT, {"m": (told[1],)}), (9002, 9002, AT, {"m": (told[0],), "n": (told[1],)})]
+    r, c = frames(spark, cases, results)
+    got = {(x.result_id, x.model_name): x.defect for x in defects.defects(r, c).collect() if x.result_id >= 9000}
+    assert got == {(9002, "m"): "language", (9002, "n"): "language"}
+
+
+def test_where_languages_stand_to_the_case():
+    en, fr, es = (defects.LANGUAGES.index(x) for x in ("en", "fr", "es"))
+    counts = lambda **n: sum(v << (defects.LANE * defects.LANGUAGES.index(k)) for k, v in n.items())
+    assert defects.spoken(counts(fr=12, es=13), 30, en, 0) == "other_language"
+    assert defects.spoken(counts(fr=12, es=13), 30, en, 1 << fr) == "asked_language"
+    assert defects.spoken(counts(fr=3, es=6), 30, en, 1 << fr) == "other_language"
+    assert defects.spoken(counts(fr=5, es=6), 30, fr, 0) == "no_language"
+    assert defects.spoken(counts(en=1, es=1), 2, fr, 0) == "no_language"
+    assert defects.spoken(counts(fr=12, es=13), 30, -1, 1 << es) == "no_language"
