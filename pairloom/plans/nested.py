@@ -35,6 +35,7 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLES = {
     "p6_responses": "responses",
     "p6_tool_calls": "responses_tool_calls",
+    "p6_tool_call_tags": "responses_tool_calls_tags",
     "p6_judge_reasons": "judge_reasons",
     "p6_verdicts": "verdict",
     "p6_verdict_reasons": "verdict_reasons",

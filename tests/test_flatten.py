@@ -1,6 +1,8 @@
 import json
 
 from pairloom.operators import flatten
+from pairloom.plans import nested
+from pairloom.session import read
 
 LINE = {
     "type": "result",
@@ -68,3 +70,13 @@ def test_members_that_differ_in_case(spark):
     row = flatten.tables(rows, graph, own)["c"].first().asDict()
     assert {row.get("c_score"), row.get("c_Score_2")} == {"1", "2"} or {row.get("c_Score"), row.get("c_score_2")} == {"1", "2"}
     assert row["id"] == 1 and row["c_id"] == "3" and row["c_key"] == "4"
+
+
+def test_every_table_of_the_result_lines_has_a_query(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES)
+    tables = flatten.tables(rows, graph, own)
+    assert set(nested.TABLES.values()) == set(tables)
+    tags = nested.QUERIES["p6_tool_call_tags"](spark, sf_dir).collect()
+    assert len(tags) == rows.filter("child like 'responses.tool_calls.%.tags'").count() > 0
+    assert all(r.c_value for r in tags) and {r.parent_key for r in tags} <= {r.key for r in tables["responses_tool_calls"].collect()}
