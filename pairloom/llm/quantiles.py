@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.operators.evaluate import once
+
 SIZE, FAN = 1024, 8
 
 
@@ -191,7 +193,7 @@ ANSWERS = "result_id bigint, capability string, finished_at timestamp_ntz, recei
 def measures(results: DataFrame) -> DataFrame:
     """model_name, capability, day, metric, value of each answer, every result_id once (its first delivery). Latencies
     and token counts that are null, zero or negative say nothing and are left out; huge ones count."""
-    first = results.groupBy("result_id").agg(F.min_by(F.struct("capability", "finished_at", "responses"), F.col("received_at")).alias("r")).select("r.*")
+    first = once(results, "capability", "finished_at", "responses")
     each = first.select("capability", F.to_date("finished_at").alias("day"), F.explode("responses").alias("model_name", "a"))
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").cast("double").alias("value")) for m in ("latency_ms", "tokens")))
     return each.select("model_name", "capability", "day", F.inline(pairs)).filter("value > 0")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.operators.evaluate import once
 from pairloom.session import materialize, small
 
 
@@ -105,7 +106,7 @@ def display_name(model: str) -> F.Column:
 
 def matches(results: DataFrame, runs: DataFrame) -> DataFrame:
     """item_a, item_b, winner of each result, every result_id once."""
-    first = results.groupBy("result_id").agg(F.min_by(F.struct("benchmark_id", "winner"), F.col("received_at")).alias("r")).select("r.*")
+    first = once(results, "benchmark_id", "winner")
     pair = runs.select("benchmark_id", F.get("models", F.lit(0)).alias("a"), F.get("models", F.lit(1)).alias("b"))
     names = small(pair.select("benchmark_id", display_name("a").alias("item_a"), display_name("b").alias("item_b")))
     return first.filter("winner is not null").join(names, "benchmark_id").select("item_a", "item_b", "winner")

@@ -34,8 +34,9 @@ def run_names(runs: DataFrame) -> DataFrame:
 
 
 def once(results: DataFrame, *columns: str) -> DataFrame:
-    """Every result_id once, by its first delivery."""
-    return results.groupBy("result_id").agg(F.min_by(F.struct(*columns), F.col("received_at")).alias("r")).select("result_id", "r.*")
+    """Every result_id once, by its first delivery; one without a time comes after all that have one."""
+    arrival = F.struct(F.col("received_at").isNull(), F.col("received_at"))  # min_by passes over what is null itself
+    return results.groupBy("result_id").agg(F.min_by(F.struct(*columns), arrival).alias("r")).select("result_id", "r.*")
 
 
 def sided(results: DataFrame, runs: DataFrame) -> DataFrame:

@@ -199,3 +199,19 @@ def test_where_languages_stand_to_the_case():
     assert defects.spoken(counts(fr=5, es=6), 30, fr, 0) == "no_language"
     assert defects.spoken(counts(en=1, es=1), 2, fr, 0) == "no_language"
     assert defects.spoken(counts(fr=12, es=13), 30, -1, 1 << es) == "no_language"
+
+
+def test_results_without_a_time_of_arrival_count(spark):
+    from pairloom.llm import quantiles, ranking
+    from pairloom.operators import evaluate
+
+    told = {"m": ("The soup is ser", 5.0, 7)}
+    rows = [(1, "b", "c", None, AT, "A", told), (2, "b", "c", None, AT, "B", {"m": ("Late.", 9.0, 9)}), (2, "b", "c", AT, AT, "A", told)]
+    shape = "result_id bigint, benchmark_id string, capability string, received_at timestamp_ntz, finished_at timestamp_ntz, winner string, responses map<string, struct<response: string, latency_ms: double, tokens: bigint>>"
+    df = spark.createDataFrame(rows, shape)
+    runs = spark.createDataFrame([("b", [("p", "x", None), ("p", "y", None)])], "benchmark_id string, models array<struct<provider: string, model: string, alias: string>>")
+    assert sorted((r.result_id, r.winner) for r in evaluate.once(df, "winner").collect()) == [(1, "A"), (2, "A")]
+    assert sorted((r.metric, r.value) for r in quantiles.measures(df).collect()) == [("latency_ms", 5.0)] * 2 + [("tokens", 7.0)] * 2
+    assert [tuple(r) for r in ranking.matches(df, runs).collect()] == [("p/x", "p/y", "A")] * 2
+    assert sorted((r.measure, r.length) for r in truncation.lengths(df).collect()) == [("bytes", 15)] * 2 + [("chars", 15)] * 2
+    assert [tuple(r) for r in truncation.report(df).collect()] == [("m", 2, 2, 1.0)]
