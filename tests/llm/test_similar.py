@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from pairloom.llm import similar
 from pairloom.llm.words import word_pairs
 
@@ -42,8 +44,8 @@ def frame(spark, data):
 def test_pairs_against_brute_force(spark):
     data = made()
     want = brute(data)
-    for hot in (128, 2):  # with hot prefixes split, too
-        got = {(r.rid_a, r.rid_b): r.similarity for r in similar.near_pairs(frame(spark, data), hot=hot).collect()}
+    for more in ({}, {"cap": 1, "waves": 1}, {"sketch": False}):  # no prefix is short enough with cap 1: all sets are joined
+        got = {(r.rid_a, r.rid_b): r.similarity for r in similar.near_pairs(frame(spark, data), **more).collect()}
         assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
         assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
@@ -80,9 +82,52 @@ def test_defined_cases(spark):
     assert similar.near_pairs(frame(spark, []).limit(0)).count() == 0
 
 
-def test_depth_meets_the_target():
-    d = similar.forest_depth(100, 0.6, 0.99)
-    assert d == 6 and 1 - (1 - 0.6**d) ** 100 >= 0.99 > 1 - (1 - 0.6 ** (d + 1)) ** 100
+def test_prefixes_are_shortened_while_few_share_them():
+    """Against plain counting: the shortest depth at which at most `cap` rows share the prefix, read in pieces or at once."""
+    rng = np.random.default_rng(5)
+    label = np.zeros(400, np.uint64)
+    for _ in range(4):
+        label = label << np.uint64(16) | rng.integers(0, 3, 400).astype(np.uint64)
+    key = (rng.integers(0, 4, 400) << 3).astype(np.int64)
+    order = np.lexsort((label.view(np.int64), key))
+    key, label, h = key[order], label[order].view(np.int64), np.arange(400)
+    gain = similar.gains(0.6)
+    prefix = [list(zip(key.tolist(), (label.view(np.uint64) >> np.uint64(64 - 16 * j) if j else label * 0).tolist())) for j in range(5)]
+    for cap in (1, 3, 8):
+        want, lost = set(), []
+        for i in range(400):
+            sizes = [p.count(p[i]) for p in prefix]
+            depth = next((j for j in range(5) if sizes[j] <= cap), None)
+            known = next((j for j in range(5) if sizes[j] <= cap - 1), 5)
+            lost.append(gain[0] - gain[known])
+            want |= {(i, j) for j in range(i + 1, 400) if depth is not None and prefix[depth][i] == prefix[depth][j]}
+        for cuts in ((0, 400), (0, 130, 131, 290, 400)):
+            got, less = set(), []
+            for start, stop in zip(cuts, cuts[1:]):
+                lo, hi = max(0, start - cap), min(400, stop + cap)
+                x, y, part = similar.climb(key[lo:hi], label[lo:hi], h[lo:hi], start - lo, stop - lo, cap, gain)
+                got |= set(zip((x + lo).tolist(), (y + lo).tolist()))
+                less += part.tolist()
+            assert got == want and np.allclose(less, lost)
+
+
+def test_first_wave_can_reach_the_target():
+    for t, r in ((0.6, 0.99), (0.8, 0.95)):
+        assert similar.wave_sizes(t, r, 1)[0] * similar.gains(t)[0] >= -np.log(1 - r)
+
+
+def test_crowded_prefixes_are_sent_on_by_longer_ones(spark):
+    """A third of the sets differ in one pair only: with or without the sample that finds their prefixes, all is found."""
+    rng = random.Random(1)
+    base = [f"c{i}" for i in range(80)]
+    data = [(k, [" ".join([*base, f"x{k}", f"y{k}"])]) for k in range(100)] + [(1000 + k, [" ".join(f"w{rng.randrange(5000)}" for _ in range(40))]) for k in range(200)]
+    held = similar.members(similar.sets(frame(spark, data), "case_key", "turns"), 10, 64)
+    hot = similar.crowded(held, 1, 5, one_in=1)
+    assert 0 < len(hot) <= 5 * 5 * 256
+    sent = similar.postings(held, 1, 5, hot).toPandas()
+    assert len(sent) == 300 * 5 and not np.isin(sent["key"].to_numpy().view(np.uint64), hot).any()
+    got = {(r.rid_a, r.rid_b) for r in similar.near_pairs(frame(spark, data)).collect()}
+    assert got == set(itertools.combinations(range(100), 2))
 
 
 def test_copies_are_counted_but_not_paired_in_groups(spark):
