@@ -16,7 +16,7 @@ either side, these two ways together give every pair at the threshold the target
 Prefixes that a large part of the sets have in common are found on a sample by a hash, which decides about nothing but the
 way of rows: they are sent on by longer prefixes, so no subtree meets in one task. The tries are read in a stream.
 
-A bit sketch of `bits` further MinHash values drops candidates far below the threshold (four standard deviations;
+A bit sketch of `bits` further MinHash values, a multiple of 64, drops candidates far below the threshold (four standard deviations;
 sketch=False leaves this out), and the rest are compared exactly on their texts.
 
 Defined cases: null and empty turns, and null entries, have no pairs; a record below `min_pairs` is near nothing. Equal
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.words import WORD, digest64, mix, word_pairs
+from pairloom.llm.words import digest64, mix, word_pairs, words
 from pairloom.session import materialize, small
 
 SHORTEST, DEEPEST = 4, 8
@@ -68,18 +68,18 @@ CODES = Codes()
 
 def pair_codes(records: list[list[str | None] | None]) -> tuple[np.ndarray, np.ndarray]:
     """The word pairs of each record as sorted distinct 64-bit codes, one record after the other, and their numbers."""
-    words: list[str] = []
+    said: list[str] = []
     lengths, owner = [], []
     for k, turns in enumerate(records):
         for t in turns or ():
             if t:
-                w = WORD.findall(t.casefold())
-                words += w
+                w = words(t)
+                said += w
                 lengths.append(len(w))
                 owner.append(k)
-    if len(words) < 2:
+    if len(said) < 2:
         return np.zeros(0, np.uint64), np.zeros(len(records), np.int64)
-    c = np.fromiter(map(CODES.__getitem__, words), np.uint64, len(words))
+    c = np.fromiter(map(CODES.__getitem__, said), np.uint64, len(said))
     turn = np.repeat(np.arange(len(lengths)), lengths)
     inside = turn[1:] == turn[:-1]
     pair = mix(c[:-1] + mix(c[1:]))[inside]
@@ -138,14 +138,14 @@ def members(held: DataFrame, min_pairs: int, bits: int) -> DataFrame:
                 rows.append([rid, h, n, upper.tobytes(), None])
             if fresh:
                 signs = minhashes(np.concatenate(fresh), np.array([len(x) for x in fresh]), a, b) & np.uint64(1)
-                sketches = iter(np.packbits(signs.astype(np.uint8), axis=1))
+                sketches = iter(np.ascontiguousarray(np.packbits(signs.astype(np.uint8), axis=1)).view(np.int64).tolist())
                 for r in rows:
                     if r[2] is not None:
-                        r[4] = next(sketches).tobytes()
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                        r[4] = next(sketches)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["rid", "h", "n", "codes", "bits"])
 
-    return held.mapInArrow(scan, "rid bigint, h bigint, n int, codes binary, bits binary")
+    return held.mapInArrow(scan, "rid bigint, h bigint, n int, codes binary, bits array<bigint>")
 
 
 def unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,21 +325,18 @@ def candidates(by: DataFrame, threshold: float, recall: float, cap: int, waves:
 def near_sets(held: DataFrame, by: DataFrame, min_pairs: int, threshold: float, recall: float, cap: int, waves: int, bits: int, sketch: bool) -> DataFrame:
     """Verified pairs a < b of set digests with the sizes of their intersection and union; `by` has the members."""
     pairs = candidates(by, threshold, recall, cap, waves)
-    agree = (1 + threshold) / 2
-    least = math.floor(bits * agree - 4 * math.sqrt(bits * agree * (1 - agree))) if sketch else 0
-    one = small(materialize(by.filter("bits is not null").groupBy("h").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "sketches"), 32 << 20)
-    left, right = (one.select(F.col("h").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    both = pairs.join(left, "a").join(right, "b").filter((n_a >= threshold * n_b) & (n_b >= threshold * n_a)).select("a", "b", "bits_a", "bits_b")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield batch.filter(pa.array(bits - far >= least)).select([0, 1])
-
-    kept = materialize(both.mapInArrow(close, "a bigint, b bigint"), "near")
+    parts = [f"s{k}" for k in range(bits // 64)]
+    sketches = by.filter("n is not null").groupBy("h").agg(F.any_value("n").alias("n"), *(F.any_value(F.col("bits")[k]).alias(c) for k, c in enumerate(parts)))
+    one = small(materialize(sketches, "sketches"), 32 << 20)
+    left, right = (one.select(F.col("h").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", *parts))) for s in "ab")
+    n_a, n_b, far = F.col("n_a"), F.col("n_b"), F.lit(0)
+    for c in parts:
+        far = far + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    near = (n_a >= threshold * n_b) & (n_b >= threshold * n_a)
+    if sketch:
+        agree = (1 + threshold) / 2
+        near &= far <= bits - math.floor(bits * agree - 4 * math.sqrt(bits * agree * (1 - agree)))
+    kept = materialize(pairs.join(left, "a").join(right, "b").filter(near).select("a", "b"), "near")
     wanted = small(materialize(kept.select(F.col("a").alias("h")).union(kept.select("b")).distinct(), "wanted"))
     texts = materialize(representatives(held, by, wanted), "texts")
     left = texts.select(F.col("h").alias("a"), F.col("turns").alias("ta"))

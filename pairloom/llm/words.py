@@ -16,9 +16,21 @@ WORD = re.compile(r"[^\W_]+")
 INVISIBLE = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" or c == 0x34F or 0xFE00 <= c <= 0xFE0F)
 
 
+#: The first 256 characters as bytes, all but letters and digits as blanks.
+BLANKED = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
+
+
+def folded_runs(low: str) -> list[str]:
+    """Maximal runs of letters or digits; texts of one byte a character need no regular expression."""
+    try:
+        return low.encode("latin-1").translate(BLANKED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(low)
+
+
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters or digits, case ignored."""
-    return WORD.findall(text.casefold()) if text else []
+    return folded_runs(text.casefold()) if text else []
 
 
 def shown(text: str) -> str:
@@ -43,7 +55,7 @@ def folded_words(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         text = shown(unicodedata.normalize("NFKC", shown(text)))
-    return WORD.findall(text.casefold())
+    return folded_runs(text.casefold())
 
 
 def word_pairs(turns: list[str | None] | None) -> set[tuple[str, str]]:
