@@ -104,6 +104,23 @@ SQL = {
         with w as (select distinct doc_id, md5(substr(text, i, 360)) as h from (select doc_id, text, unnest(range(1, length(text) - 358)) as i from documents where length(text) >= 360)),
         s as (select h from w group by h having count(*) > 1), k as (select doc_id, h from w semi join s using (h))
         select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from k x join k y on x.h = y.h and x.doc_id < y.doc_id""",
+    "p9_share": """
+        with d as (select doc_id, text, length(text) as n_chars, min(doc_id) over (partition by text) as rep from documents where length(text) >= 360),
+        w as (select doc_id, n_chars, rep, i, md5(substr(text, i, 360)) as h from (select *, unnest(range(1, n_chars - 358)) as i from d)),
+        k as (select * from w semi join (select h from w group by h having count(distinct doc_id) > 1) s using (h)),
+        c as (select doc_id, n_chars, rep, least(360, coalesce(lead(i) over (partition by doc_id order by i) - i, 360)) as n from k)
+        select doc_id, rep, n_chars, cast(sum(n) as bigint) as n_shared, round(sum(n)::double / n_chars, 6) as share from c group by doc_id, rep, n_chars""",
+    # near pairs as p2_found, with equal sets; groups by following links to the least key until nothing changes
+    "p2_groups": """
+        with recursive t as (select case_key, unnest(turns) as turn from test_cases),
+        w as (select case_key, regexp_extract_all(lower(turn), '[\\p{L}\\p{N}]+') as w from t where turn is not null),
+        p as (select distinct case_key, w[i] || ' ' || w[i + 1] as pair from (select case_key, w, unnest(range(1, len(w))) as i from w)),
+        n as (select case_key, count(*) as n from p group by 1 having count(*) >= 10),
+        b as (select x.case_key as a, y.case_key as b, count(*) as c from p x join p y on x.pair = y.pair and x.case_key < y.case_key group by all),
+        f as materialized (select a, b from b join n na on na.case_key = a join n nb on nb.case_key = b where c >= 0.6 * (na.n + nb.n - c) - 1e-9),
+        l as (select a, b from f union all select b, a from f),
+        r as (select a, a as g from l union select l.b, r.g from r join l on l.a = r.a)
+        select r.a as case_key, min(g) as group_key, any_value(k.links) as links from r join (select a, count(*) as links from l group by 1) k on k.a = r.a group by r.a""",
     # Jacobi iteration with the mean taken off, which converges where all models are connected
     "p5_ranking": """
         with recursive once as (select * from (select *, row_number() over (partition by result_id order by received_at) as rn from results) where rn = 1),

@@ -79,7 +79,7 @@ def test_spans_against_brute_force(spark):
     docs = planted()
     pairs, share = brute(docs, 360)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as doc", "2 as digest")
-    for hot in (64, 2):  # with hot runs taken by windows, too
+    for hot in (64, 2):  # with hot chunks taken by windows, too
         got = [tuple(r) for r in spans.shared_pairs(df, hot=hot).collect()]
         assert set(got) == pairs and len(got) == len(pairs)
         assert {r.doc_id: r.n_shared for r in spans.shared_share(df, hot=hot).collect()} == share
@@ -93,7 +93,7 @@ def test_boundaries_follow_the_content():
     body = "".join(rng.choice("abcdef") for _ in range(2000))
     for lead in ("", "x", "a longer beginning "):
         t = lead + body
-        places = spans.least_places(spans.gear(spans.points(t)), np.array([len(t)])) - len(lead)
+        places = spans.cuts(spans.gear(spans.points(t)), np.array([0]), np.array([len(t)]), spans.SPREAD) - len(lead)
         inner = {int(p) for p in places if p >= spans.WINDOW + spans.SPREAD}
         if not lead:
             first = inner
@@ -105,9 +105,8 @@ def test_long_texts_are_cut_into_pieces_without_loss(spark):
     rng = random.Random(4)
     a, b = ("".join(rng.choice("abcdefgh") for _ in range(9000)) for _ in range(2))
     df = spark.createDataFrame([(1, a), (2, b[:700] + a[3300:3660] + b[700:]), (3, b[2000:2360])], "doc bigint, text string").selectExpr("*", "unhex(md5(text)) as th")
-    run = spans.run_length(360)
     for size in (1 << 20, 1000):
-        found = spans.runs(df, run, size).collect()
+        found = spans.chunk_rows(df, 360, 64, size).collect()
         by = {}
         for r in found:
             by.setdefault(r.digest, set()).add(r.doc)
@@ -125,7 +124,7 @@ def test_many_copies(spark):
     assert share == {k: (0, 700) for k in range(40)} | {90: (90, 400)}
 
 
-def test_hot_runs_that_stand_more_than_once_in_a_text(spark):
+def test_hot_chunks_that_stand_more_than_once_in_a_text(spark):
     rng = random.Random(12)
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     house = noise(350)
@@ -139,3 +138,45 @@ def test_hot_runs_that_stand_more_than_once_in_a_text(spark):
     got = [tuple(r) for r in spans.shared_pairs(df).collect()]
     assert set(got) == pairs and len(got) == len(pairs)
     assert {r.doc_id: r.n_shared for r in spans.shared_share(df).collect()} == share
+
+
+def test_every_cut_is_least_in_some_window():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 60, 500).astype(np.uint64)
+    starts, ends = np.array([0, 200, 203]), np.array([200, 203, 500])
+    for spread in (1, 8, 88):
+        want = set()
+        for a, b in zip(starts, ends):
+            for i in range(a + spans.WINDOW - 1, b - spread + 1):
+                part = hashes[i : i + spread]
+                want |= set((np.flatnonzero(part == part.min()) + i).tolist())
+        assert set(spans.cuts(hashes, starts, ends, spread).tolist()) == want
+
+
+def test_a_house_text_in_most_documents(spark):
+    """Every document of a third of 20,000 holds it: the share needs no pairs, and tasks that see it often say so to the others."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    noise = lambda n: " ".join(rng.choices(words, k=n))
+    house = noise(90)[:400]
+    docs = [(k, noise(60) + house + noise(60) if k % 3 == 0 else noise(100)) for k in range(20_000)] + [(90_000, noise(60)[:80] + house[10:390] + noise(60))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    share = {r.doc_id: r.n_shared for r in spans.shared_share(df).collect()}
+    held = {k for k in range(0, 20_000, 3)} | {90_000}
+    assert set(share) == held and all(380 <= n <= 420 for n in share.values())
+
+
+def test_chunks_known_to_one_task_meet_those_of_others(spark):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    house = noise(420)
+    docs = [(k, noise(90) + house + noise(90)) for k in range(12)]
+    many = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    few = spark.createDataFrame([(100, noise(50) + house[20:400]), (101, house[5:410] + noise(3))], "doc_id bigint, text string").coalesce(1)
+    pairs, share = brute([*docs, *[tuple(r) for r in few.collect()]], 360)
+    assert len(pairs) == 14 * 13 / 2
+    got = [tuple(r) for r in spans.shared_pairs(many.union(few), hot=4).collect()]
+    assert set(got) == pairs and len(got) == len(pairs)
+    assert {r.doc_id: r.n_shared for r in spans.shared_share(many.union(few), hot=4).collect()} == share
