@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import display_name
-from pairloom.session import small
+from pairloom.session import materialize, small
 
 
 def grid(cases: DataFrame, capabilities: list[str], models: list[str] | None = None) -> DataFrame:
@@ -33,10 +33,20 @@ def run_names(runs: DataFrame) -> DataFrame:
     return runs.select("benchmark_id", name(0).alias("model_a"), name(1).alias("model_b"))
 
 
+def repeated(results: DataFrame) -> DataFrame:
+    """The result_ids that were delivered more than once, written: only ids are moved to find them."""
+    return materialize(results.groupBy("result_id").count().filter("count > 1 and result_id is not null").select("result_id"), "repeated")
+
+
 def once(results: DataFrame, *columns: str) -> DataFrame:
-    """Every result_id once, by its first delivery; one without a time comes after all that have one."""
-    arrival = F.struct(F.col("received_at").isNull(), F.col("received_at"))  # min_by passes over what is null itself
-    return results.groupBy("result_id").agg(F.min_by(F.struct(*columns), arrival).alias("r")).select("result_id", "r.*")
+    """Every result_id once, by its first delivery; one without a time comes after all that have one, and of deliveries at
+    the same time the one whose columns have the least hash stands. Rows without an id are each a result. Only what was
+    delivered more than once is moved."""
+    ids = small(repeated(results))
+    single = results.join(ids, "result_id", "left_anti").select("result_id", *columns)
+    arrival = F.struct(F.col("received_at").isNull(), F.col("received_at"), F.xxhash64(F.to_json(F.struct(*columns))))  # min_by passes over what is null itself
+    more = results.join(ids, "result_id", "left_semi").groupBy("result_id").agg(F.min_by(F.struct(*columns), arrival).alias("r")).select("result_id", "r.*")
+    return single.union(more)
 
 
 def sided(results: DataFrame, runs: DataFrame) -> DataFrame:
