@@ -24,6 +24,10 @@ DOTS = re.compile(r"(?:\.{2,}|…)[\s.…]*$")
 MARKS = re.compile(r"(?:�|\s*[\[(<](?:\.{3}|…|cut|truncated|snip)[\])>])+$", re.IGNORECASE)
 NUMBER_END = re.compile(r"(\S+)\s+[^\s\d]*(\d[\d.,:]*)\.$")
 PAID = re.compile(r"\d\s*[€$£]$")
+#: Marks after which more must stand; a quotation mark only where it opens.
+OPEN = frozenset(",;:-–—(/….[{¿¡&+@=<|„“‘'’\"`*_")
+OPENED = re.compile(r"""(?:^|[\s(])["'‘’“„`*_]$""")  # behind a blank
+LETTER_APOSTROPHE = re.compile(r"""(?:^|[\s(])[^\W\d_]*[^\W\d_]['’]$""")
 LAST_NUMBER = re.compile(r"[#PT]$")  # masked; a number may itself be cut
 PRICE, TIME, DIGITS = re.compile(r"\d+[.,]\d\d(?!\d)"), re.compile(r"\d{1,2}:\d\d(?!\d)"), re.compile(r"\d+")
 
@@ -112,12 +116,13 @@ class Endings:
         if not dotted and TERMINAL.search(tail):
             m = NUMBER_END.search(tail) if tail[-1] == "." and tail[-2:-1].isdigit() else None
             return COMPLETE if m is None or (m[1].lower(), mask(m[2])) in self.numbers or "." in m[2] or ":" in m[2] or "," in m[2] else INCOMPLETE
-        if CLOSED.search(tail):
-            return COMPLETE
         final = end[-1]
+        bare = bool(OPENED.search(tail)) or (bool(LETTER_APOSTROPHE.search(tail)) and not re.search(r"(?:^|[\s(])['‘’]\w", end.rsplit("\n", 1)[-1]))
+        if not bare and (CLOSED.search(tail) or final in "'’"):
+            return COMPLETE
         if final in "€$£" and not PAID.search(tail):
             return INCOMPLETE
-        if not final.isalnum() and final not in ",;:-–—(/…." and not dotted:
+        if not final.isalnum() and final not in OPEN and not dotted:
             return COMPLETE  # an emoji, a currency sign
         parts = segments(end)
         if mask(parts[-1]) in self.whole:

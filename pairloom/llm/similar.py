@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.words import digest64, mix, word_pairs, words
+from pairloom.llm.words import CODES, digest64, mix, word_pairs, words
 from pairloom.session import materialize, small
 
 SHORTEST, DEEPEST = 4, 8
@@ -53,19 +53,6 @@ def wave_sizes(threshold: float, recall: float, waves: int) -> list[int]:
     return [first, *(max(1, math.ceil(first * 2**k / 3)) for k in range(waves - 1))]
 
 
-class Codes(dict):
-    """64-bit codes of words, kept by each worker for as many as 2^16 words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 16:
-            self.clear()
-        self[word] = code = digest64(word.encode("utf-8", "surrogatepass")) & (1 << 64) - 1
-        return code
-
-
-CODES = Codes()
-
-
 def pair_codes(records: list[list[str | None] | None]) -> tuple[np.ndarray, np.ndarray]:
     """The word pairs of each record as sorted distinct 64-bit codes, one record after the other, and their numbers."""
     said: list[str] = []

@@ -77,3 +77,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def digest64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+class Codes(dict):
+    """64-bit codes of words, kept by each worker for as many as 2^16 words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        self[word] = code = digest64(word.encode("utf-8", "surrogatepass")) & (1 << 64) - 1
+        return code
+
+
+CODES = Codes()

@@ -27,14 +27,23 @@ def test_leaks_against_brute_force(spark):
     want = {(d, i) for d, t in docs for i, s in items if windows(t) & windows(s)}
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as item_id")
     held = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "'c' as category")
-    for block in (1_000_000, 50):  # one scan, and several
-        got = [tuple(r) for r in leaks.leaks(df, held, block_words=block).collect()]
+    for bits in (None, 4):  # tables that tell blocks apart, and such that hardly do
+        got = [tuple(r) for r in leaks.leaks(df, held, bits=bits).collect()]
         assert set(got) == want and len(got) == len(want) and want
     report = {r.item_id: r.n_docs for r in leaks.leak_report(leaks.leaks(df, held), held).collect()}
     assert report == {i: sum(x == i for _, x in want) for i, _ in items}
     assert leaks.leaks(df, held.filter("false")).count() == 0 and leaks.leaks(df.filter("false"), held).count() == 0
 
 
+def test_the_corpus_is_read_once_however_many_items(spark, tmp_path):
+    rng = random.Random(6)
+    held = spark.createDataFrame([(i, text(rng, 60, 400)) for i in range(2000)], "item_id bigint, text string")
+    spark.createDataFrame([(1, held.first().text), (2, "nothing of it")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/corpus")
+    found = leaks.leaks(spark.read.parquet(f"{tmp_path}/corpus"), held)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/corpus") == 1 and {(1, 0)} <= {tuple(r) for r in found.collect()}
+
+
 def test_leaks_see_through_disguise(spark):
     words = "the quick brown fox jumps over a lazy dog near our old file".split()
     told = " ".join(words).replace("file", "ﬁle").replace("quick", "qu­i​ck").replace("brown", "ＢＲＯＷＮ").replace(" ", " -\n")

@@ -107,11 +107,24 @@ def test_truncated_at_a_limit_of_bytes_or_characters(spark):
     df = spark.createDataFrame(results, truncation.RESPONSES)
     got = {(r.result_id, r.model_name) for r in truncation.truncated(df).collect()}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
+    routes = {(r.result_id, r.model_name): r.route for r in truncation.cuts(df).collect()}
+    assert set(routes) == got and all(routes[k] == truncation.LIMIT for k in got & want)
     share = {r.model_name: r.share for r in truncation.report(df).collect()}
     assert share["m"] > 0.2 and share["n"] < 0.02
     assert truncation.truncated(df.filter("false")).count() == 0
 
 
+def test_cuts_in_transfer_and_deliveries_at_the_same_time(spark):
+    rng = random.Random(8)
+    results = [(k, AT, {"m": (answer(rng),)}) for k in range(300)] + [(900, AT, {"m": (SAY[0] + " The so",)})]
+    results += [(901, AT, {"m": ("The soup is ser",)}), (901, AT, {"m": ("The soup is served.",)}), (902, None, {"m": ("The so",)}), (902, AT, {"m": ("All is well.",)})]
+    df = spark.createDataFrame(results, truncation.RESPONSES)
+    got = {r.result_id: r.route for r in truncation.cuts(df).collect() if r.result_id >= 900}
+    assert got.pop(900) == truncation.TRANSFER and set(got) <= {901}
+    again = {r.result_id: r.route for r in truncation.cuts(df.repartition(3)).collect() if r.result_id == 901}
+    assert again == got  # the same one of both, whatever their order
+
+
 def test_endings():
     rng = random.Random(4)
     e = Endings.fit([answer(rng) for _ in range(2000)])
@@ -120,6 +133,10 @@ def test_endings():
     assert e.state("So that makes:\n- leek tart\n- roast trout") == ITEM
     for t in ("The soup is ser", "The soup is…", "The soup is serv�", "So that makes:\n- leek tart\n- roast", "Your bill comes to 23.", SAY[0] + " With pleasure, your", "So that makes:"):
         assert e.state(t) == INCOMPLETE, t
+    for t in ("That is all we don'", "Le chef dit que c’est l’", "He said “", "It comes with (", "The wine [", "Is it the soup? ¿", "Salt &", 'They call it "'):
+        assert e.state(t) == INCOMPLETE, t
+    for t in ("We call it 'house soup'", 'He calls it "the usual"', "**Enjoy**", "Served with rice (or potatoes)"):
+        assert e.state(t) == COMPLETE, t
 
 
 def test_says_nothing():
@@ -214,4 +231,4 @@ def test_results_without_a_time_of_arrival_count(spark):
     assert sorted((r.metric, r.value) for r in quantiles.measures(df).collect()) == [("latency_ms", 5.0)] * 2 + [("tokens", 7.0)] * 2
     assert [tuple(r) for r in ranking.matches(df, runs).collect()] == [("p/x", "p/y", "A")] * 2
     assert sorted((r.measure, r.length) for r in truncation.lengths(df).collect()) == [("bytes", 15)] * 2 + [("chars", 15)] * 2
-    assert [tuple(r) for r in truncation.report(df).collect()] == [("m", 2, 2, 1.0)]
+    assert [tuple(r) for r in truncation.report(df).collect()] == [("m", 2, 2, 0, 2, 1.0)]
