@@ -349,7 +349,7 @@ def shared_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     long = prepare(docs, doc_id, text, least)
     copies = materialize(classes(long), "copies")
     found = repeated(chunk_rows(long, least, hot), hot)
-    pairs = verified(long, materialize(candidates(found), "candidates"), least)
+    pairs = materialize(verified(long, materialize(candidates(found), "candidates"), least), "stretches")
     either = pairs.select("a", F.explode("in_a").alias("s")).union(pairs.select("b", F.explode("in_b")))
     spans = either.select(F.col("a").alias("doc"), F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
     if not found.filter("hot").isEmpty():

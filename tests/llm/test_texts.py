@@ -69,6 +69,43 @@ def test_planted_defects_are_found(spark):
         assert len(w & g) >= 0.95 * len(w) and len(w & g) >= 0.95 * len(g), kind
 
 
+def test_refusals_that_no_word_list_names(spark):
+    """Worded by hand: found by the company they keep in the sample."""
+    rng = random.Random(21)
+    cases, results, want = made(900, seed=5)
+    plain = ["I cannot help you with that.", "My rules do not allow me to talk about this.", "I won't answer such questions."]
+    worded = ["My lips are sealed.", "Best take it up with somebody else.", "That ship has sailed."]
+    after = ["Try a library perhaps.", "Let us move along."]
+    for k in range(1000, 1300):
+        t = f"{rng.choice(plain if k % 2 else worded)} {rng.choice(after)}" if rng.random() < 0.7 else rng.choice(worded)
+        cases.append((k, case(rng, k)))
+        results.append((k, k, AT, {"m": (t,), "n": ("With pleasure. " + rng.choice(SAY),)}))
+    r, c = frames(spark, cases, results)
+    got = {(x.result_id, x.model_name): x.defect for x in defects.defects(r, c).collect() if x.result_id >= 1000}
+    assert sum(got.get((k, "m")) == "refusal" for k in range(1000, 1300)) >= 285
+    assert not any(m == "n" for _, m in got)
+
+
+def test_the_field_does_without_any_one_feature(spark):
+    """Words and neighbours make up for a feature that names a tag, but for the two that look at what the field can't see."""
+    cases, results, want = made(900, seed=7)
+    r, c = frames(spark, cases, results)
+    for left_out, kinds in (("refuses", ("refusal",)), ("other_language", ("language",))):
+        got = {(x.result_id, x.model_name): x.defect for x in defects.defects(r, c, without=(left_out,)).collect()}
+        for kind in kinds:
+            w = {k for k, v in want.items() if v == kind}
+            g = {k for k, v in got.items() if v == kind}
+            assert len(w & g) >= 0.9 * len(w) and len(w & g) >= 0.9 * len(g), kind
+
+
+def test_denials_are_no_refusals_by_themselves():
+    says = lambda t: defects.refuses(defects.spoken_of(t))
+    for t in ("I cannot help with that request.", "Darauf gehe ich nicht ein.", "Prefiero no hablar de eso.", "Je ne peux pas répondre à cette question.", "As an AI model I can't discuss this."):
+        assert says(t), t
+    for t in ("We do not have that today.", "No problem, I can help you with that.", "The soup is not warm.", "I would rather have the trout.", "Es gibt heute keinen Kuchen."):
+        assert not says(t), t
+
+
 def test_redelivered_unknown_and_missing(spark):
     cases, results, _ = made(60)
     late = dt.datetime(2026, 1, 2)
