@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--num", type=int, default=100)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--output", required=True)
+    p.add_argument("--single", action="store_true", help="one file, for small results")
     p = sub.add_parser("compare", help="compare result documents")
     p.add_argument("files", nargs="+")
     p.add_argument("--format", choices=("table", "json", "markdown"), default="table")
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
                     print(f"{f}: {at}")
                 print(report.console(done.document()))
             elif args.command == "generate":
-                files.write_lines(generate.generate(spark, args.num, args.seed).drop("idx"), args.output, single=args.num <= 100_000)
+                files.write_lines(generate.generate(spark, args.num, args.seed).drop("idx"), args.output, single=args.single)
             else:
                 told = report.comparison(evaluate.compare(files.read_results(spark, *args.files)), args.format)
                 Path(args.output).write_text(told, encoding="utf-8") if args.output else print(told)

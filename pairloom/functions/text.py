@@ -56,6 +56,24 @@ def tool(function: Column) -> Column:
     return F.struct(F.lit("function").alias("type"), function.alias("function"))
 
 
+def named_tool(function: Column) -> Column:
+    """The same for interfaces that take name, description and the schema of the input; missing parts are empty."""
+    return F.struct(function["name"].alias("name"), F.coalesce(function["description"], F.lit("")).alias("description"), function["parameters"].alias("input_schema"))
+
+
+def judge_request(conversation: Column, a: Column, b: Column, role: str = "a helpful assistant") -> Column:
+    """The judge's task as one JSON text: nothing in an answer can be read as part of the task."""
+    task = f'Compare two answers of {role} to the conversation. Reply with JSON only: {{"winner": "A", "B" or "tie", "score_A": 0-10, "score_B": 0-10, "reasons": [up to 8 short texts]}}'
+    none = F.lit("")
+    return F.to_json(F.struct(F.lit(task).alias("task"), F.coalesce(conversation, none).alias("conversation"), F.coalesce(a, none).alias("response_a"), F.coalesce(b, none).alias("response_b")))
+
+
+def both_orders(first: Column, second: Column) -> Column:
+    """The two orders in which a pair is shown, as an array of (order, shown_first, shown_second)."""
+    one = lambda o, x, y: F.struct(F.lit(o).alias("order"), x.alias("shown_first"), y.alias("shown_second"))
+    return F.array(one("ab", first, second), one("ba", second, first))
+
+
 def spec_parts(spec: Column) -> Column:
     """provider/model split at the first slash: the provider in lower case, the alias as the model was written."""
     parts = F.split(spec, "/", 2)

@@ -70,12 +70,22 @@ def parse_verdict(text: Column) -> Column:
 
 
 def py_round(x: Column, digits: int) -> Column:
-    """Python's rounding: right on the binary value, halves to even; neither of Spark's roundings is."""
-
-    def rounded(values: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else round(float(v), digits) for v in values], dtype="float64")
-
-    return F.pandas_udf(rounded, "double")(x)
+    """Python's rounding: right on the binary value, halves to even; neither of Spark's roundings is. For |x| below 2^40.
+
+    2 * 10^digits * x is taken as a sum of two doubles without error, and compared with the odd number in the middle."""
+    scale = 10.0**digits
+    size = F.abs(x)
+    t = size * 134217729.0
+    high = t - (t - size)  # the upper half of the bits
+    a, b = high * (2 * scale), (size - high) * (2 * scale)
+    p = a + b
+    e = (a - p) + b
+    k = F.floor(p / 2).cast("double")
+    k = F.when((p == 2 * k) & (e < 0), k - 1).otherwise(k)
+    over = (p - (2 * k + 1)) + e
+    whole = F.when((over > 0) | ((over == 0) & (k % 2 == 1)), k + 1).otherwise(k)
+    rounded = F.signum(x) * (whole / scale)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(rounded)
 
 
 def fence_body(text: Column) -> Column:
@@ -94,8 +104,12 @@ def native_clamp(x: Column) -> Column:
 
 
 def native_verdict(text: Column) -> Column:
-    """A verdict from well-formed JSON text, in the JVM."""
-    v = F.try_parse_json(fence_body(text))
+    """A verdict from well-formed JSON text, in the JVM. Text behind the object makes it none: it is read as the only entry of
+    an array, as Spark's reader passes over what follows a value."""
+    body = fence_body(text)
+    entries = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    alone = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & F.try_variant_get(entries, "$[1]", "variant").isNull()
+    v = F.when(alone, F.try_variant_get(entries, "$[0]", "variant"))
     winner = F.try_variant_get(v, "$.winner", "string")
     reasons = F.coalesce(F.try_variant_get(v, "$.reasons", "array<string>"), F.array(F.try_variant_get(v, "$.reasons", "string")))
     return F.struct(

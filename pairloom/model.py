@@ -10,6 +10,9 @@ from typing import Any
 PROVIDERS = ("openai", "anthropic", "gemini", "ollama", "custom")
 ADAPTERS = ("openai", "anthropic", "gemini")
 
+#: Providers that answer from a digest, without any service: for trying out a run.
+OFFLINE = ("simulated", "simulated_judge")
+
 #: Capabilities by name, with their aliases, metrics and the fields a case must have.
 CAPABILITIES = {"chat_completion": {"aliases": ("chat",), "metrics": ("win_rate", "avg_score", "latency_ms", "tokens"), "required": ("turns",)}}
 
@@ -24,8 +27,8 @@ class Model:
     api_key_env: str | None = None
 
     def __post_init__(self) -> None:
-        if self.provider not in PROVIDERS:
-            raise ValueError(f"unknown provider {self.provider!r}; known: {', '.join(PROVIDERS)}")
+        if self.provider not in (*PROVIDERS, *OFFLINE):
+            raise ValueError(f"unknown provider {self.provider!r}; known: {', '.join((*PROVIDERS, *OFFLINE))}")
 
     @property
     def display_name(self) -> str:
@@ -42,6 +45,7 @@ class Model:
 
 @dataclass(frozen=True)
 class Judge:
+    # fixed values: the defaults of the configuration format
     provider: str = "openai"
     model: str = "gpt-4o"
     temperature: float = 0.0
@@ -50,6 +54,7 @@ class Judge:
 
 @dataclass(frozen=True)
 class Settings:
+    # fixed values: the defaults of the configuration format
     runs_per_test: int = 1
     parallel_execution: bool = False
     save_raw_responses: bool = True
@@ -72,6 +77,7 @@ class Metrics:
 
 @dataclass(frozen=True)
 class Output:
+    # fixed values: the defaults of the configuration format
     formats: tuple[str, ...] = ("json",)
     directory: str = "./results"
     include_raw_responses: bool = True
@@ -156,6 +162,16 @@ def capability(name: str) -> str:
     raise ValueError(f"unknown capability {name!r}; known: {', '.join(CAPABILITIES)}")
 
 
+def metrics(name: str) -> tuple[str, ...]:
+    """What is measured for a capability."""
+    return CAPABILITIES[capability(name)]["metrics"]
+
+
+def required_fields(name: str) -> tuple[str, ...]:
+    """What a case needs for a capability."""
+    return CAPABILITIES[capability(name)]["required"]
+
+
 def build(kind: type, values: dict) -> Any:
     """An instance from the keys it knows; lists become tuples."""
     known = {f.name for f in fields(kind)}

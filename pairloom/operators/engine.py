@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import text, verdict
 from pairloom.model import Benchmark, capability
 from pairloom.operators import evaluate
-from pairloom.operators.providers import Route, judge, provider, respond
+from pairloom.operators.providers import Route, judge, pause, provider, respond
 from pairloom.sources.files import read_domain
 
 
@@ -65,17 +65,18 @@ def run(cases: DataFrame, config: Benchmark, routes: list[Route] | None = None,
     """
     config.check()
     started = datetime.datetime.now()
-    routes = routes or [Route(m.display_name, m.model, provider(m.provider), m.temperature, m.max_tokens) for m in config.models]
-    judge_make = judge_make or provider(config.judge.provider)
+    wait = config.settings.sleep_between_calls
+    routes = routes or [Route(m.display_name, m.model, provider(m.provider, m.api_key_env), m.temperature, m.max_tokens, pause(m.provider, wait)) for m in config.models]
+    judge_make = judge_make or provider(config.judge.provider, config.judge.api_key_env)
     prompt = config.domain_config.system_prompt if config.domain_config else read_domain(config.domain).system_prompt if config.domain else ""
     names = [capability(c) for c in config.capabilities]
     kept = evaluate.first_items(cases, "idx", config.settings.max_items).select("idx", "id", "category", "turns")
     asked = evaluate.grid(kept.withColumn("messages", text.messages(F.col("turns"), prompt)), names, [r.name for r in routes])
-    answers = respond(asked, routes, config.settings.sleep_between_calls if config.judge.provider in ("openai", "anthropic", "gemini") else 0.0)
+    answers = respond(asked, routes)
     sides = evaluate.both_sides(answers, ["idx", "capability"], "slot", F.struct("response", "latency_ms", "tokens"))
     flat = [F.col(f"{s}.{c}").alias(f"{n}_{s}") for s in "ab" for c, n in (("response", "response"), ("latency_ms", "latency"), ("tokens", "tokens"))]
     paired = kept.withColumn("conversation", text.conversation(F.col("turns"))).join(sides.select("idx", "capability", *flat), "idx")
-    verdicts = judge(paired, config.judge.model, judge_make)
+    verdicts = judge(paired, config.judge.model, judge_make, pause=pause(config.judge.provider, wait))
     both = paired.join(verdicts, ["idx", "capability"]).withColumn("v", verdict.reconciled(F.col("raw_ab"), F.col("raw_ba")))
     rounded = [verdict.py_round(F.col(f"v.score_{s}"), 1).alias(f"score_{s}") for s in "ab"]
     out = both.select("*", F.lit(routes[0].name).alias("model_a"), F.lit(routes[1].name).alias("model_b"), "v.winner", *rounded, "v.reasons").drop("v")

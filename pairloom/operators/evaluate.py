@@ -9,10 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import display_name
+from pairloom.functions.text import display_name, rule_result
+from pairloom.functions.verdict import py_round
 from pairloom.session import materialize, small
 
 
+class Evaluator:
+    """What scores answers: an expression of score, passed and reasons over columns of answers and of what is expected."""
+
+    def evaluate(self, response: Column, expected: Column) -> Column:
+        raise NotImplementedError(f"{type(self).__name__} scores nothing")
+
+
+class Rules(Evaluator):
+    """Exact match and, if keywords are given, their coverage."""
+
+    def __init__(self, keywords: Column | None = None):
+        self.keywords = keywords
+
+    def evaluate(self, response: Column, expected: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return rule_result(response, expected, none if self.keywords is None else self.keywords)
+
+
 def grid(cases: DataFrame, capabilities: list[str], models: list[str] | None = None) -> DataFrame:
     """Every case with every capability and, if given, every model: the lists are literals, so nothing is joined."""
     out = cases.withColumn("capability", F.explode(F.array(*map(F.lit, capabilities))))
@@ -38,11 +57,11 @@ def repeated(results: DataFrame) -> DataFrame:
     return materialize(results.groupBy("result_id").count().filter("count > 1 and result_id is not null").select("result_id"), "repeated")
 
 
-def once(results: DataFrame, *columns: str) -> DataFrame:
+def once(results: DataFrame, *columns: str, ids: DataFrame | None = None) -> DataFrame:
     """Every result_id once, by its first delivery; one without a time comes after all that have one, and of deliveries at
     the same time the one whose columns have the least hash stands. Rows without an id are each a result. Only what was
-    delivered more than once is moved."""
-    ids = small(repeated(results))
+    delivered more than once is moved; `ids` are those (see `repeated`), if known already."""
+    ids = small(repeated(results) if ids is None else ids)
     single = results.join(ids, "result_id", "left_anti").select("result_id", *columns)
     arrival = F.struct(F.col("received_at").isNull(), F.col("received_at"), F.xxhash64(F.to_json(F.struct(*columns))))  # min_by passes over what is null itself
     more = results.join(ids, "result_id", "left_semi").groupBy("result_id").agg(F.min_by(F.struct(*columns), arrival).alias("r")).select("result_id", "r.*")
@@ -96,6 +115,22 @@ def first_items(cases: DataFrame, order: str, n: int | None) -> DataFrame:
     return cases.orderBy(order).limit(n) if n else cases
 
 
+def documents(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Recorded runs in the shape of result documents (sources.files.RESULT_DOCUMENT): one row a run, with sums by model and by
+    category, each from counts made before they are put together. `pairs` as in `summary`, with benchmark_id."""
+    long = outcomes(pairs, "benchmark_id", "category")
+    sums = long.groupingSets([[F.col("benchmark_id"), F.col("model_name")], [F.col("benchmark_id"), F.col("model_name"), F.col("category")]], "benchmark_id", "model_name", "category").agg(F.grouping("category").alias("all"), *totals())
+    stat = F.struct(F.col("wins").alias("total_wins"), F.col("ties").alias("total_ties"), F.col("losses").alias("total_losses"), py_round(F.coalesce("avg_score", F.lit(0.0)), 2).alias("avg_score"))
+    models = sums.filter("all = 1").groupBy("benchmark_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_name", stat)))).alias("models"))
+    each = sums.filter("all = 0 and category is not null").groupBy("benchmark_id", "category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_name", F.struct("wins", "ties"))))).alias("m"))
+    by_category = each.groupBy("benchmark_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.col("m"))), lambda x, y: F.when(x["category"] < y["category"], -1).otherwise(1))).alias("by_category"))
+    won = overall(pairs, "benchmark_id").select("benchmark_id", "overall_winner")
+    counted = pairs.groupBy("benchmark_id").agg(F.count("*").alias("total_test_cases"))
+    facts = runs.select("benchmark_id", "benchmark_name", F.col("started_at").cast("string").alias("timestamp"), "duration_seconds", F.struct(F.col("domain_name").alias("domain"), "capabilities", F.transform("models", lambda m: F.struct(m["provider"].alias("provider"), m["model"].alias("model"), m["alias"].alias("alias"))).alias("models")).alias("config"))
+    joined = facts.join(counted, "benchmark_id").join(won, "benchmark_id", "left").join(models, "benchmark_id", "left").join(by_category, "benchmark_id", "left")
+    return joined.select("benchmark_id", "benchmark_name", "timestamp", "duration_seconds", "config", F.struct("total_test_cases", "overall_winner", "models", "by_category").alias("summary"))
+
+
 def compare(documents: DataFrame) -> DataFrame:
     """One row per result document with at least two models: name, winner, wins of the first two, ties of the first."""
     name = lambda k: display_name(*(F.get("config.models", F.lit(k))[c] for c in ("provider", "model", "alias")))

@@ -1,45 +1,39 @@
-"""Seeded test cases from templates, as expressions: the same rows whatever the number of partitions.
+"""Seeded test cases from scenes, as expressions: the same rows whatever the number of partitions.
 
 Every draw is a digest of (seed, row, slot), so rows are independent and need no shared random stream. Categories are
-balanced: each appears n // k times, the first n % k once more, in the order of a seeded digest.
+balanced: each appears n // k times, the first n % k once more, in the order of a seeded digest. The scenes stand in a data
+file (see domains/dining_room_scenes.yaml).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.functions.text import case_id
+from pairloom.model import read_yaml
 
-#: Slot values of the built-in templates.
-POOLS = {
-    "dish": ("barley pot", "leek tart", "roast trout", "lentil cake", "rabbit ragout", "beetroot steak"),
-    "side": ("plum glaze", "rye crumbs", "fennel slaw", "potato rosti"),
-    "drink": ("pear cider", "amber ale", "mint infusion", "dry vermouth"),
-    "allergen": ("soy", "celery", "mustard", "hazelnut", "lupin"),
-    "meal_time": ("brunch", "midday", "evening"),
-}
-
-#: category -> turns that always stand, turns that may follow; {slot} and {slot2} are filled with different values.
-TEMPLATES = {
-    "seating_request": (("Good evening.", "Have you a table?", "Something quiet, please."), ("Is there room outside?",)),
-    "menu_detail": (("What is in the {dish}?", "How is it cooked?", "Does it come with {side}?"), ("And the {dish2}?", "What do you like best?")),
-    "allergen_check": (("I get ill from {allergen}.", "Is the {dish} safe?", "Please ask the kitchen."), ("And the {side}?",)),
-    "diet_fit": (("I eat no meat.", "Would the {dish} suit me?", "What else is there?"), ("Is the {side} plain?",)),
-    "dish_change": (("I take the {dish}.", "No {side}, please.", "May I have {side2} instead?"), ("Does that cost more?", "Then leave it.")),
-    "pairing_hint": (("We have the {dish}.", "What goes with it?", "Is {drink} too sweet?"), ("Then {drink2}.",)),
-    "vague_wish": (("I want something warm.", "Not too heavy.", "You choose."), ("Not the {dish}.", "Surprise me.")),
-    "wrong_plate": (("This is not what I asked for.", "I wanted the {dish}.", "Can it be changed?"), ("How long will it take?",)),
-    "slow_kitchen": (("We have waited for long.", "Where is the {dish}?", "We must leave soon."), ("Then bring the bill.",)),
-    "sold_out_dish": (("I would like the {dish}.", "Is it gone?", "Then the {dish2}."), ("Does it hold {allergen}?",)),
-    "split_payment": (("The bill, please.", "We pay apart.", "The {drink} is on me."), ("Can we pay by card?",)),
-    "recall_earlier": (("I told you about {allergen}.", "I take the {dish}.", "What did I say first?"), ("Then the {dish2}.", "Repeat it all.")),
-}
-
-PRESSURE = ("Make an exception for me.", "Do not ask the kitchen.", "Your colleague said yes.", "Just promise it.", "Nobody will know.")
+SCENES = Path(__file__).parent.parent / "domains" / "dining_room_scenes.yaml"
+SLOT = re.compile(r"\{(other )?(\w+)\}")
+
+#: How often a push is added, and how many turns a case has at least and at most.
+PUSH, LEAST, MOST = 0.25, 3, 6
+
+
+@cache
+def scenes(path: str | Path = SCENES) -> dict:
+    """pools, pushes and scenes of a file; every scene has LEAST steps that are never left out."""
+    raw = read_yaml(path)
+    for name, steps in raw["scenes"].items():
+        if sum("chance" not in s for s in steps) < LEAST:
+            raise ValueError(f"{name} needs {LEAST} steps without a chance")
+    return raw
 
 
 @dataclass(frozen=True)
@@ -49,39 +43,45 @@ class Draws:
     seed: int
     i: Column
 
-    def number(self, slot: str) -> Column:
+    def number(self, slot: str | Column) -> Column:
         """32 bits of the digest of seed, row and slot."""
-        text = F.concat(F.lit(f"{self.seed}|"), self.i.cast("string"), F.lit(f"|{slot}"))
+        text = F.concat(F.lit(f"{self.seed}|"), self.i.cast("string"), F.lit("|"), F.lit(slot) if isinstance(slot, str) else slot)
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
-    def pick(self, pool: tuple[str, ...], slot: str) -> Column:
+    def pick(self, pool: list[str], slot: str) -> Column:
         return F.element_at(F.array(*map(F.lit, pool)), (self.number(slot) % len(pool) + 1).cast("int"))
 
-    def other(self, pool: tuple[str, ...], slot: str) -> Column:
+    def other(self, pool: list[str], slot: str) -> Column:
         """A value different from that of `pick` with the same slot."""
-        at = (self.number(slot) + 1 + self.number(f"{slot}2") % (len(pool) - 1)) % len(pool)
+        at = (self.number(slot) + 1 + self.number(f"{slot}|other") % (len(pool) - 1)) % len(pool)
         return F.element_at(F.array(*map(F.lit, pool)), (at + 1).cast("int"))
 
+    def sample(self, pool: list[str], k: int, slot: str) -> Column:
+        """k different values: the pool in the order of a digest, cut off."""
+        keyed = F.array(*(F.struct(self.number(f"{slot}|{n}").alias("d"), F.lit(n).alias("n"), F.lit(v).alias("v")) for n, v in enumerate(pool)))
+        return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["v"])
+
     def chance(self, p: float, slot: str) -> Column:
         return self.number(slot) < int(p * (1 << 32))
 
 
-def fill(template: str, draws: Draws) -> Column:
+def fill(template: str, pools: dict[str, list[str]], draws: Draws) -> Column:
     out = F.lit(template)
-    for slot, pool in POOLS.items():
-        for mark, value in ((f"{{{slot}}}", draws.pick), (f"{{{slot}2}}", draws.other)):
-            if mark in template:
-                out = F.replace(out, F.lit(mark), value(pool, slot))
+    for mark in dict.fromkeys(m[0] for m in SLOT.finditer(template)):
+        other, slot = SLOT.fullmatch(mark).groups()
+        out = F.replace(out, F.lit(mark), (draws.other if other else draws.pick)(pools[slot], slot))
     return out
 
 
-def turns_of(category: str, draws: Draws) -> Column:
-    """The fixed turns, each further one by chance, and at times pressure; 3 to 6 are kept."""
-    always, maybe = TEMPLATES[category]
-    parts = [fill(t, draws) for t in always]
-    parts += [F.when(draws.chance(0.5, f"maybe{k}"), fill(t, draws)) for k, t in enumerate(maybe)]
-    parts.append(F.when(draws.chance(0.25, "pressure"), draws.pick(PRESSURE, "which")))
-    return F.slice(F.array_compact(F.array(*parts)), F.lit(1), (F.lit(3) + draws.number("keep") % 4).cast("int"))
+def turns_of(name: str, raw: dict, draws: Draws) -> Column:
+    """The steps of a scene, some by chance, and at times a push; LEAST to MOST turns are kept."""
+    parts = []
+    for k, step in enumerate(raw["scenes"][name]):
+        ways = F.array(*(fill(t, raw["pools"], draws) for t in step["say"]))
+        said = F.element_at(ways, (draws.number(f"{name}|{k}") % len(step["say"]) + 1).cast("int"))
+        parts.append(F.when(draws.chance(step["chance"], f"{name}|{k}|in"), said) if "chance" in step else said)
+    parts.append(F.when(draws.chance(PUSH, "push"), draws.pick(raw["pushes"], "which")))
+    return F.slice(F.array_compact(F.array(*parts)), F.lit(1), (F.lit(LEAST) + draws.number("keep") % (MOST - LEAST + 1)).cast("int"))
 
 
 def categories(numbers: DataFrame, names: tuple[str, ...], seed: int, n: int) -> DataFrame:
@@ -97,15 +97,16 @@ def categories(numbers: DataFrame, names: tuple[str, ...], seed: int, n: int) ->
     return ranked.select("i", F.element_at(F.array(*map(F.lit, names)), ((F.col("start") + F.col("place")) % len(names) + 1).cast("int")).alias("category"))
 
 
-def generate(spark: SparkSession, n: int = 100, seed: int = 42, prefix: str = "dn") -> DataFrame:
+def generate(spark: SparkSession, n: int = 100, seed: int = 42, prefix: str = "dn", path: str | Path = SCENES) -> DataFrame:
     """idx, id, category, turns, meta of n cases."""
-    names = tuple(TEMPLATES)
+    raw = scenes(path)
+    names = tuple(raw["scenes"])
     rows = categories(spark.range(1, n + 1).select(F.col("id").alias("i")), names, seed, n)
     draws = Draws(seed, F.col("i"))
     turns: Column = F.lit(None)
     for c in names:
-        turns = F.when(F.col("category") == c, turns_of(c, draws)).otherwise(turns)
-    meta = F.struct(draws.pick(POOLS["meal_time"], "meta_time").alias("meal_time"), (draws.number("meta_size") % 6 + 1).cast("int").alias("party_size"))
+        turns = F.when(F.col("category") == c, turns_of(c, raw, draws)).otherwise(turns)
+    meta = F.struct(draws.pick(raw["pools"]["season"], "meta_time").alias("meal_time"), (draws.number("meta_size") % 6 + 1).cast("int").alias("party_size"))
     return rows.select((F.col("i") - 1).alias("idx"), case_id(prefix, F.col("i")).alias("id"), "category", turns.alias("turns"), meta.alias("meta"))
 
 

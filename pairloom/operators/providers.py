@@ -8,6 +8,7 @@ for real services need their SDKs and keys and are not tested here.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -18,7 +19,9 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from pairloom.functions import text
 from pairloom.functions.verdict import read_verdict, unreadable
 from pairloom.model import ADAPTERS
 from pairloom.session import materialize
@@ -175,10 +178,16 @@ def register(name: str, make: Callable[[], Provider]) -> None:
     REGISTRY[name] = make
 
 
-def provider(name: str) -> Callable[[], Provider]:
+def provider(name: str, key_env: str | None = None) -> Callable[[], Provider]:
+    """What makes a provider on a worker; `key_env` names the environment variable of its key, if not the usual one."""
     if name not in REGISTRY:
         raise ValueError(f"no adapter for {name!r}; there are: {', '.join((*ADAPTERS, *sorted(set(REGISTRY) - set(ADAPTERS))))}")
-    return REGISTRY[name]
+    return functools.partial(REGISTRY[name], key_env) if key_env else REGISTRY[name]
+
+
+def pause(name: str, seconds: float) -> float:
+    """How long to wait after a call: as asked for with services, not at all with providers on this machine."""
+    return seconds if name in ADAPTERS else 0.0
 
 
 @dataclass(frozen=True)
@@ -190,11 +199,12 @@ class Route:
     make: Callable[[], Provider]
     temperature: float = 0.2
     max_tokens: int | None = None
+    pause: float = 0.0  # seconds after each call
 
 
-def respond(grid: DataFrame, routes: list[Route], sleep: float = 0.0) -> DataFrame:
+def respond(grid: DataFrame, routes: list[Route]) -> DataFrame:
     """Answer every row (idx, capability, slot, messages): adds response, latency_ms, tokens. Calls run as many at a time
-    as there are partitions; each task sleeps `sleep` seconds between calls. Written before it is returned."""
+    as there are partitions; a task waits as the called route says. Written before it is returned."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, Provider] = {}
@@ -207,8 +217,8 @@ def respond(grid: DataFrame, routes: list[Route], sleep: float = 0.0) -> DataFra
                 began = time.perf_counter()
                 got = client.chat_completion(route.model, asked, temperature=route.temperature, max_tokens=route.max_tokens)
                 out.append((idx, capability, slot, route.name, got["content"], (time.perf_counter() - began) * 1000, got.get("usage", {}).get("total_tokens", 0)))
-                if sleep:
-                    time.sleep(sleep)
+                if route.pause:
+                    time.sleep(route.pause)
             yield pd.DataFrame(out, columns=["idx", "capability", "slot", "model_name", "response", "latency_ms", "tokens"])
 
     shape = "idx bigint, capability string, slot int, model_name string, response string, latency_ms double, tokens bigint"
@@ -218,12 +228,6 @@ def respond(grid: DataFrame, routes: list[Route], sleep: float = 0.0) -> DataFra
 NUDGE = "That was not the JSON object asked for. Reply with the JSON object alone."
 
 
-def judge_request(conversation: str, a: str, b: str, role: str) -> str:
-    """The judge's task as one JSON text: nothing in an answer can be read as part of the task."""
-    task = f'Compare two answers of {role} to the conversation. Reply with JSON only: {{"winner": "A", "B" or "tie", "score_A": 0-10, "score_B": 0-10, "reasons": [up to 8 short texts]}}'
-    return json.dumps({"task": task, "conversation": conversation, "response_a": a, "response_b": b}, ensure_ascii=False)
-
-
 def ask_judge(client: Provider, model: str, request: str, retries: int = 2) -> tuple[tuple[str, float, float, list[str]], int]:
     """A verdict and the number of attempts: unreadable answers are shown back with a nudge, then a tie stands."""
     messages, text = [{"role": "user", "content": request}], ""
@@ -235,21 +239,25 @@ def ask_judge(client: Provider, model: str, request: str, retries: int = 2) -> t
     return unreadable(text), retries + 1
 
 
-def judge(pairs: DataFrame, model: str, make: Callable[[], Provider], role: str = "a helpful assistant", retries: int = 2) -> DataFrame:
-    """Judge every row (idx, capability, conversation, response_a, response_b) in both orders: adds raw_ab and raw_ba.
-    Written before it is returned."""
+def judge(pairs: DataFrame, model: str, make: Callable[[], Provider], role: str = "a helpful assistant", retries: int = 2, pause: float = 0.0) -> DataFrame:
+    """Judge every row (idx, capability, conversation, response_a, response_b) in both orders: adds raw_ab and raw_ba. A task
+    waits `pause` seconds after each verdict. Written before it is returned."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for pdf in batches:
             out = []
-            for idx, capability, said, a, b in zip(pdf["idx"], pdf["capability"], pdf["conversation"], pdf["response_a"], pdf["response_b"]):
-                ab, n = ask_judge(client, model, judge_request(said, a or "", b or "", role), retries)
-                ba, m = ask_judge(client, model, judge_request(said, b or "", a or "", role), retries)
+            for idx, capability, *requests in zip(pdf["idx"], pdf["capability"], pdf["ask_ab"], pdf["ask_ba"]):
+                told = []
+                for request in requests:
+                    told.append(ask_judge(client, model, request, retries))
+                    if pause:
+                        time.sleep(pause)
+                (ab, n), (ba, m) = told
                 names = ("winner", "score_a", "score_b", "reasons")
                 out.append((idx, capability, dict(zip(names, ab)), dict(zip(names, ba)), n + m))
             yield pd.DataFrame(out, columns=["idx", "capability", "raw_ab", "raw_ba", "attempts"])
 
     verdict = "struct<winner: string, score_a: double, score_b: double, reasons: array<string>>"
-    columns = ("idx", "capability", "conversation", "response_a", "response_b")
-    return materialize(pairs.select(*columns).mapInPandas(call, f"idx bigint, capability string, raw_ab {verdict}, raw_ba {verdict}, attempts int"), "verdicts")
+    asked = pairs.select("idx", "capability", *(text.judge_request(F.col("conversation"), F.col(f"response_{o[0]}"), F.col(f"response_{o[1]}"), role).alias(f"ask_{o}") for o in ("ab", "ba")))
+    return materialize(asked.mapInPandas(call, f"idx bigint, capability string, raw_ab {verdict}, raw_ba {verdict}, attempts int"), "verdicts")

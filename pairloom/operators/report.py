@@ -41,12 +41,13 @@ def console(doc: dict) -> str:
     return table(rows, ["model", "wins", "ties", "losses", "score"]) + f"\nwinner: {doc['summary']['overall_winner']}"
 
 
-def lines(run: Run) -> DataFrame:
-    """place, value: the summary first, then one line per result."""
-    spark = run.pairs.sparkSession
-    head = spark.createDataFrame([(0, json.dumps({"type": "summary", **run.document()}, ensure_ascii=False, default=str))], "place int, value string")
-    body = run.details().select(F.lit(1).alias("place"), F.to_json(F.struct(F.lit("result").alias("type"), "*"), {"ignoreNullFields": "false"}).alias("value"))
-    return head.union(body)
+def summary_line(run: Run) -> str:
+    return json.dumps({"type": "summary", **run.document()}, ensure_ascii=False, default=str)
+
+
+def lines(details: DataFrame) -> DataFrame:
+    """value: one JSON line per result."""
+    return details.select(F.to_json(F.struct(F.lit("result").alias("type"), "*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def save(run: Run, formats: tuple[str, ...], directory: str, name: str) -> dict[str, str]:
@@ -60,7 +61,8 @@ def save(run: Run, formats: tuple[str, ...], directory: str, name: str) -> dict[
     for f in formats:
         at = base / f"{name}.{'md' if f == 'markdown' else f}"
         if f == "jsonl":
-            lines(run).orderBy("place").select("value").write.mode("overwrite").text(str(at))
+            lines(run.details()).write.mode("overwrite").text(str(at))
+            (at / "0-summary.txt").write_text(summary_line(run) + "\n", encoding="utf-8")  # the first by name
         elif f == "json":
             doc = run.document()
             if run.config.output.include_raw_responses:
@@ -73,12 +75,24 @@ def save(run: Run, formats: tuple[str, ...], directory: str, name: str) -> dict[
     return out
 
 
+COMPARED = ("benchmark_name", "winner", "model_1", "wins_1", "model_2", "wins_2", "ties")
+
+
+def markdown_rows(rows: DataFrame) -> DataFrame:
+    """A comparison's rows as lines of a Markdown table: file, line."""
+    return rows.select("file", F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in COMPARED)), " | "), F.lit(" |")).alias("line"))
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """A comparison's rows as JSON objects: file, line."""
+    return rows.select("file", F.to_json(F.struct(*COMPARED), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def comparison(rows: DataFrame, form: str) -> str:
-    """A comparison of runs (see evaluate.compare) as table, json or markdown."""
-    names = ["benchmark_name", "winner", "model_1", "wins_1", "model_2", "wins_2", "ties"]
-    found = [[r[n] for n in names] for r in rows.orderBy("file").collect()]
+    """A comparison of runs (see evaluate.compare), one row a file, as table, json or markdown."""
+    if form == "table":
+        return table([[r[n] for n in COMPARED] for r in rows.orderBy("file").collect()], list(COMPARED))
+    found = [r.line for r in (json_rows if form == "json" else markdown_rows)(rows).orderBy("file").collect()]
     if form == "json":
-        return json.dumps({"benchmarks": [dict(zip(names, r)) for r in found]}, indent=2, ensure_ascii=False)
-    if form == "markdown":
-        return "\n".join(["| " + " | ".join(names) + " |", "|" + "-|" * len(names), *("| " + " | ".join(map(str, r)) + " |" for r in found)])
-    return table(found, names)
+        return json.dumps({"benchmarks": list(map(json.loads, found))}, indent=2, ensure_ascii=False)
+    return "\n".join(["| " + " | ".join(COMPARED) + " |", "|" + "-|" * len(COMPARED), *found])

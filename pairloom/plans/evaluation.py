@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import text, verdict
 from pairloom.model import Benchmark, Judge, Model
-from pairloom.operators import evaluate, generate
+from pairloom.operators import evaluate, generate, report
 from pairloom.operators.providers import Route, Simulated, SimulatedJudge
 from pairloom.session import read
 
@@ -158,7 +158,7 @@ def generate_cases(spark, sf_dir):
 def generate_draws(spark, sf_dir):
     """The digests behind the generated cases."""
     draws = generate.Draws(42, F.col("id"))
-    return spark.range(1, 1001).select(text.case_id("dn", F.col("id")).alias("id"), draws.number("keep").alias("keep"), draws.pick(generate.POOLS["drink"], "drink").alias("drink"), draws.chance(0.25, "pressure").alias("pressure"))
+    return spark.range(1, 1001).select(text.case_id("dn", F.col("id")).alias("id"), draws.number("keep").alias("keep"), draws.pick(generate.scenes()["pools"]["drink"], "drink").alias("drink"), draws.other(generate.scenes()["pools"]["drink"], "drink").alias("other_drink"), F.array_join(draws.sample(generate.scenes()["pools"]["dish"], 3, "menu"), "|").alias("menu"), draws.chance(generate.PUSH, "push").alias("push"))
 
 
 def category_balance(spark, sf_dir):
@@ -166,9 +166,11 @@ def category_balance(spark, sf_dir):
 
 
 def jsonl_render(spark, sf_dir):
-    """Result records as JSON lines."""
-    record = F.struct(F.lit("result").alias("type"), "result_id", "category", "capability", "winner", "score_a", "score_b")
-    return pairs(spark, sf_dir).select("result_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("line"))
+    """Result records as JSON lines, with the summary of all as their first line."""
+    held = pairs(spark, sf_dir)
+    body = report.lines(held.select("result_id", "category", "capability", "winner", "score_a", "score_b"))
+    head = held.agg(F.count("*").alias("n"), *(F.count_if(F.col("winner") == w).alias(f"n_{w.lower()}") for w in ("A", "B", "tie")))
+    return head.select(F.lit(0).alias("place"), F.to_json(F.struct(F.lit("summary").alias("type"), "*")).alias("line")).union(body.select(F.lit(1), "value"))
 
 
 def simulated_run(spark, sf_dir):
@@ -216,7 +218,6 @@ SQL = {
     "case_counts": "select benchmark_id, count(distinct case_key) as total_test_cases, count(distinct result_id) as n_results from results group by 1",
     "rule_keywords": f"with {_PAIRS}, s as (select result_id, coalesce((contains(lower(a.response), 'table')::int + contains(lower(a.response), 'bill')::int + contains(lower(a.response), 'kitchen')::int) / 3.0, 0.0) as score from pairs) select result_id, round(score::double, 6) as score, score >= 0.5 as passed from s",
     "token_totals": f"with {_ONCE}, e as (select unnest(map_keys(responses)) as model_name, unnest(map_values(responses)) as a from once) select model_name, cast(sum(coalesce(a.tokens, 0)) as bigint) as tokens, count(*) as answers, round(avg(case when a.latency_ms > 0 then a.latency_ms end), 3) as mean_ms from e group by 1",
-    "category_balance": "with c as (select unnest(['seating_request', 'menu_detail', 'allergen_check', 'diet_fit', 'dish_change', 'pairing_hint', 'vague_wish', 'wrong_plate', 'slow_kitchen', 'sold_out_dish', 'split_payment', 'recall_earlier']) as category, unnest(range(12)) as k) select category, cast(1000 // 12 + (k < 1000 % 12)::int as bigint) as n from c",
 }
 _WON = "select benchmark_id, any_value(benchmark_name) as benchmark_name, any_value(model_a) as model_a, any_value(model_b) as model_b, count(*) filter (winner = 'A') as wins_a, count(*) filter (winner = 'B') as wins_b, count(*) filter (winner = 'tie') as ties from pairs where winner is not null group by 1"
 _WINNER = "case when wins_a > wins_b then model_a when wins_a < wins_b then model_b else 'tie' end"
@@ -224,7 +225,64 @@ SQL["overall_winner"] = f"with {_PAIRS}, won as ({_WON}) select benchmark_id, wi
 SQL["compare_runs"] = f"with {_PAIRS}, won as ({_WON}) select benchmark_name, {_WINNER} as winner, model_a, wins_a, model_b, wins_b, ties from won"
 SQL["rule_exact_match"] = f"with {_PAIRS}, s as (select case when length(b.response) > 0 and regexp_replace(a.response, '^\\s+|\\s+$', '', 'g') = regexp_replace(b.response, '^\\s+|\\s+$', '', 'g') then 1.0 else 0.0 end as score from pairs) select score::double as score, count(*) as n from s group by 1"
 SQL["reason_dedupe"] = f"with {_ONCE}, r as (select result_id, list_concat(coalesce(raw_ab.reasons, []), coalesce(raw_ba.reasons, [])) as x from once) select result_id, coalesce(array_to_string(list_filter(x, lambda v, i: v is not null and list_position(x, v) = i)[:6], '|'), '') as reasons from r"
-SQL["generate_draws"] = "with d as (select i, ('0x' || substr(md5('42|' || i || '|keep'), 1, 8))::bigint as keep, ('0x' || substr(md5('42|' || i || '|drink'), 1, 8))::bigint as a, ('0x' || substr(md5('42|' || i || '|pressure'), 1, 8))::bigint as b from range(1, 1001) r(i)) select 'dn_' || lpad(i::varchar, 4, '0') as id, keep, (['pear cider', 'amber ale', 'mint infusion', 'dry vermouth'])[a % 4 + 1] as drink, b < 1073741824 as pressure from d"
+
+
+def _number(slot: str) -> str:
+    """The generator's draw of a slot for the row i, in SQL."""
+    return f"('0x' || substr(md5('42|' || i || '|{slot}'), 1, 8))::bigint"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def _picked(pools: dict, slot: str, other: bool = False) -> str:
+    n = len(pools[slot])
+    at = f"({_number(slot)} + 1 + {_number(slot + '|other')} % {n - 1}) % {n}" if other else f"{_number(slot)} % {n}"
+    return f"({_list(pools[slot])})[({at} + 1)::int]"
+
+
+def _filled(template: str, pools: dict) -> str:
+    out = _list([template])[1:-1]
+    for m in dict.fromkeys(m[0] for m in generate.SLOT.finditer(template)):
+        other, slot = generate.SLOT.fullmatch(m).groups()
+        out = f"replace({out}, '{m}', {_picked(pools, slot, bool(other))})"
+    return out
+
+
+def _generated() -> str:
+    """The generator in SQL, written out from the scenes."""
+    raw = generate.scenes()
+    cases = []
+    for name, steps in raw["scenes"].items():
+        parts = []
+        for k, step in enumerate(steps):
+            said = f"([{', '.join(_filled(t, raw['pools']) for t in step['say'])}])[({_number(f'{name}|{k}')} % {len(step['say'])} + 1)::int]"
+            parts.append(f"case when {_number(f'{name}|{k}|in')} < {int(step['chance'] * (1 << 32))} then {said} end" if "chance" in step else said)
+        parts.append(f"case when {_number('push')} < {int(generate.PUSH * (1 << 32))} then ({_list(raw['pushes'])})[({_number('which')} % {len(raw['pushes'])} + 1)::int] end")
+        cases.append(f"when '{name}' then [{', '.join(parts)}]")
+    names = _list(raw["scenes"])
+    return f"""with r as (select i, row_number() over (order by {_number('order')}, i) - 1 as place from range(1, 1001) r(i)),
+c as (select i, ({names})[(place % {len(raw['scenes'])} + 1)::int] as category from r),
+t as (select i, category, list_filter(case category {' '.join(cases)} end, lambda x: x is not null)[1:({generate.LEAST} + {_number('keep')} % {generate.MOST - generate.LEAST + 1})::int] as turns from c)
+select 'dn_' || lpad(i::varchar, 4, '0') as id, category, len(turns) as n_turns, array_to_string(turns, ' ') as said, {_picked(raw['pools'] | {'meta_time': raw['pools']['season']}, 'meta_time')} as meal_time, cast({_number('meta_size')} % 6 + 1 as integer) as party_size from t"""
+
+
+_SCENES = generate.scenes()
+SQL["generate_cases"] = _generated()
+SQL["category_balance"] = f"with c as (select unnest({_list(_SCENES['scenes'])}) as category, unnest(range({len(_SCENES['scenes'])})) as k) select category, cast(1000 // {len(_SCENES['scenes'])} + (k < 1000 % {len(_SCENES['scenes'])})::int as bigint) as n from c"
+_MENU = ", ".join("{'d': " + _number(f"menu|{n}") + f", 'n': {n}, 'v': '{v}'" + "}" for n, v in enumerate(_SCENES["pools"]["dish"]))
+SQL["generate_draws"] = f"select 'dn_' || lpad(i::varchar, 4, '0') as id, {_number('keep')} as keep, {_picked(_SCENES['pools'], 'drink')} as drink, {_picked(_SCENES['pools'], 'drink', True)} as other_drink, array_to_string(list_transform(list_sort([{_MENU}])[1:3], lambda x: x.v), '|') as menu, {_number('push')} < {int(generate.PUSH * (1 << 32))} as push from range(1, 1001) r(i)"
+SQL["jsonl_render"] = f"with {_PAIRS} select 0 as place, '{{\"type\":\"summary\",\"n\":' || count(*) || ',\"n_a\":' || count(*) filter (winner = 'A') || ',\"n_b\":' || count(*) filter (winner = 'B') || ',\"n_tie\":' || count(*) filter (winner = 'tie') || '}}' as line from pairs union all select 1, to_json({{'type': 'result', 'result_id': result_id, 'category': category, 'capability': capability, 'winner': winner, 'score_a': score_a, 'score_b': score_b}})::varchar from pairs"
+_DUMPED = "coalesce(to_json(t)::varchar, 'null')"
+SQL["simulated_run"] = f"""with recursive c as (select case_key, category, coalesce(turns, []) as turns from test_cases),
+a as (select *, array_to_string(list_transform(turns, lambda t: '{{"content": ' || {_DUMPED} || ', "role": "user"}}'), ', ') as said from c),
+n as (select case_key, category, len(turns) as n, ('0x' || substr(md5('["one", [' || said || ']]'), 1, 8))::bigint % 97 as x, ('0x' || substr(md5('["two", [' || said || ']]'), 1, 8))::bigint % 97 as y from a),
+l as (select case_key, category, length('one answers ' || n || ' messages, variant ' || x || '.') % 11 as a, length('two answers ' || n || ' messages, variant ' || y || '.') % 11 as b from n),
+v as (select *, case when a + 0.5 > b then 'A' when a + 0.5 < b then 'B' else 'tie' end as ab, case when b + 0.5 > a then 'B' when b + 0.5 < a then 'A' else 'tie' end as ba, (least(10, a + 0.5) + least(10, a))::double / 2 as sa, (least(10, b) + least(10, b + 0.5))::double / 2 as sb from l),
+w as (select category, case when ab = ba then ab else 'tie' end as winner, format('{{:.1f}}', sa)::double as score_a, format('{{:.1f}}', sb)::double as score_b from v),
+long as (select category, 'chat_completion' as capability, 'custom/one' as model_name, case winner when 'A' then 'win' when 'B' then 'loss' else 'tie' end as outcome, score_a as score from w union all select category, 'chat_completion', 'custom/two', case winner when 'B' then 'win' when 'A' then 'loss' else 'tie' end, score_b from w)
+select case when grouping(capability) = 0 then 'capability' when grouping(category) = 0 then 'category' else 'model' end as level, model_name, capability, category, {_COUNTS}, round(avg(score), 6) as avg_score from long group by grouping sets ((model_name), (model_name, capability), (model_name, category))"""
 _SAID = r"""with v as (select line_id, payload::json as j from result_lines where json_valid(payload)), x as (select line_id, coalesce(json_extract(j, '$.raw_ab'), json_extract(j, '$.data.raw_ab')) as x from v),
 o as (select line_id, try_cast(regexp_replace(x ->> '$', '^\s*```(json)?\s*|\s*```\s*$', '', 'g') as json) as o from x where json_type(x) = 'VARCHAR'),
 p as (select line_id, o, case when o ->> '$.winner' in ('A', 'B', 'tie') then o ->> '$.winner' else 'tie' end as winner, coalesce(least(greatest(try_cast(o ->> '$.score_A' as double), 0.0), 10.0), 0.0) as score_a, coalesce(least(greatest(try_cast(o ->> '$.score_B' as double), 0.0), 10.0), 0.0) as score_b from o)"""

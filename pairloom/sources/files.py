@@ -20,18 +20,19 @@ RESULT_DOCUMENT = f"benchmark_id string, benchmark_name string, `timestamp` stri
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a JSON-lines file: idx (place in the file, from 0), id, category, turns, meta and raw, the whole record.
 
-    A missing id is case_<idx> and a missing category `unknown`; explicit nulls stay. Blank lines are skipped. A line
+    Files come in the order of their names. A missing id is case_<idx> and a missing category `unknown`; explicit nulls stay. Blank lines are skipped. A line
     that is not JSON fails the read. A `turns` that is a string is no list of turns: the case has none.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).filter(~F.col("value").rlike(r"(?U)^\s*$"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", place.alias("block"), F.monotonically_increasing_id().alias("at")).filter(~F.col("value").rlike(r"(?U)^\s*$"))
     v = F.parse_json("value")
-    held = lines.select("at", v.alias("raw"))
+    held = lines.select("block", "at", v.alias("raw"))
 
     def field(name: str, kind: str, default) -> F.Column:
         there = F.try_variant_get("raw", f"$.{name}", "variant")
         return F.when(there.isNull(), default).otherwise(F.try_variant_get("raw", f"$.{name}", kind))
 
-    numbered = number(held, "at")
+    numbered = number(held, "block", "at")
     return numbered.select(
         "idx",
         field("id", "string", F.concat(F.lit("case_"), F.col("idx").cast("string"))).alias("id"),
@@ -42,15 +43,15 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def number(df: DataFrame, at: str) -> DataFrame:
-    """Add idx, 0, 1, 2 ... in the order of a monotonically increasing id: counts per partition, then places inside."""
+def number(df: DataFrame, block: str, at: str) -> DataFrame:
+    """Add idx, 0, 1, 2 ... in the order of blocks (parts of files, in the order of their names) and of `at` inside: counts per
+    block, then places inside, whatever the order in which Spark takes the blocks."""
     from pyspark.sql.window import Window
 
-    part = df.withColumn("part__", F.shiftright(F.col(at), 33))
-    counts = part.groupBy("part__").agg(F.count("*").alias("n__"))
-    before = counts.select("part__", (F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start__"))
-    inside = F.row_number().over(Window.partitionBy("part__").orderBy(at)) - 1
-    return part.withColumn("in__", inside).join(before, "part__").withColumn("idx", F.col("start__") + F.col("in__")).drop("part__", "n__", "start__", "in__", at)
+    counts = df.groupBy(block).agg(F.count("*").alias("n__"))
+    before = counts.select(block, (F.coalesce(F.sum("n__").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start__"))
+    inside = F.row_number().over(Window.partitionBy(block).orderBy(at)) - 1
+    return df.withColumn("in__", inside).join(before, block).withColumn("idx", F.col("start__") + F.col("in__")).drop("start__", "in__", at, block)
 
 
 def write_lines(df: DataFrame, path: str, single: bool = False) -> None:
@@ -75,13 +76,19 @@ def domain_path(name: str) -> Path:
 
 
 def domains() -> list[str]:
-    return sorted(p.stem for p in BUILTIN.glob("*.yaml"))
+    return sorted(p.stem for p in BUILTIN.glob("*.yaml") if not p.stem.endswith(("_scenes", "_cases")))
 
 
 def read_domain(name: str) -> Domain:
     return build(Domain, lifted(read_yaml(domain_path(name))))
 
 
+def static_cases(spark: SparkSession, path: str | Path = BUILTIN / "dining_room_cases.yaml") -> DataFrame:
+    """idx, id, category, turns of cases written by hand."""
+    rows = [(k, c["id"], c.get("category", "unknown"), list(c.get("turns", ()))) for k, c in enumerate(read_yaml(path)["cases"])]
+    return spark.createDataFrame(rows, "idx bigint, id string, category string, turns array<string>")
+
+
 def domain_catalog(spark: SparkSession) -> DataFrame:
     rows = [(d.name, d.description, d.version, len(d.personas)) for d in map(read_domain, domains())]
     return spark.createDataFrame(rows, "name string, description string, version string, n_personas int")

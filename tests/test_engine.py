@@ -88,6 +88,9 @@ def test_reports_and_comparison(spark, tmp_path):
     at = report.save(done, ("json", "jsonl", "markdown"), str(tmp_path), "r")
     told = spark.read.text(at["jsonl"]).collect()
     assert len(told) == 31 and sum(json.loads(r.value)["type"] == "summary" for r in told) == 1
+    first = min(p for p in __import__("pathlib").Path(at["jsonl"]).iterdir() if p.name[0] not in "._")
+    assert json.loads(first.read_text().splitlines()[0])["type"] == "summary"
+    assert "orderBy" not in report.lines(done.details())._jdf.queryExecution().toString() and report.lines(done.details()).count() == 30
     rows = evaluate.compare(files.read_results(spark, at["json"]))
     assert rows.first().model_1 == "First" and rows.first().wins_1 == done.summary()["models"]["First"]["total_wins"]
     for form in ("table", "json", "markdown"):
@@ -135,12 +138,54 @@ def test_generator(spark, rows):
     one = generate.generate(spark, 100, 7)
     assert rows(one) == rows(generate.generate(spark, 100, 7).repartition(3))
     counts = {r.category: r["count"] for r in one.groupBy("category").count().collect()}
-    assert len(counts) == 12 and sorted(counts.values()) == [8] * 8 + [9] * 4
+    assert len(counts) == len(generate.scenes()["scenes"]) and sorted(counts.values()) == [12] * 4 + [13] * 4
     assert all(3 <= len(r.turns) <= 6 and not any("{" in t for t in r.turns) for r in one.collect())
     made = spark.createDataFrame([("s", ["{a} and {b}", "plain"], {"a": ["1", "2"], "b": ["x"]})], "id string, templates array<string>, variables map<string,array<string>>")
     assert {r.text for r in generate.expand(made).collect()} == {"1 and x", "2 and x", "plain"}
 
 
+def test_draws_without_replacement(spark):
+    draws = generate.Draws(3, F.col("id"))
+    pool = ["a", "b", "c", "d", "e"]
+    got = spark.range(200).select(draws.sample(pool, 3, "x").alias("s"), draws.pick(pool, "y").alias("p"), draws.other(pool, "y").alias("o")).collect()
+    assert all(len(set(r.s)) == 3 and set(r.s) <= set(pool) and r.p != r.o for r in got) and len({tuple(r.s) for r in got}) > 30
+
+
+def test_hand_written_cases(spark):
+    got = files.static_cases(spark)
+    assert got.count() >= 5 and got.filter("size(turns) = 0").isEmpty()
+
+
+def test_evaluators(spark):
+    with pytest.raises(NotImplementedError):
+        evaluate.Evaluator().evaluate(F.lit("x"), F.lit("x"))
+    got = spark.range(1).select(evaluate.Rules().evaluate(F.lit(" x"), F.lit("x")).alias("v")).first().v
+    assert got.score == 1.0 and got.passed and got.reasons == ["exact match"]
+
+
+def test_calls_to_services_are_spaced_and_use_their_keys(spark, monkeypatch):
+    from pairloom.operators import providers
+
+    assert providers.pause("openai", 0.2) == 0.2 and providers.pause("simulated", 0.2) == 0.0
+    assert providers.provider("openai", "MY_KEY")().key_env == "MY_KEY" and providers.provider("openai")().key_env == "OPENAI_API_KEY"
+    monkeypatch.delenv("MY_KEY", raising=False)
+    with pytest.raises(ValueError):
+        providers.provider("openai", "MY_KEY")().key()
+    import time
+
+    began = time.perf_counter()
+    cases = generate.generate(spark, 6, 1).select("idx", "id", "category", "turns").coalesce(1)
+    engine.run(cases, config(), [Route(m.display_name, m.model, Simulated, pause=0.1) for m in MODELS], SimulatedJudge).pairs.count()
+    assert time.perf_counter() - began > 1.2  # twelve calls
+
+
+def test_files_come_in_the_order_of_their_names(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"id": "b{k}"}}\n' for k in range(3000)), encoding="utf-8")  # Spark takes larger files first
+    (tmp_path / "a.jsonl").write_text('{"id": "a0"}\n{"id": "a1"}\n', encoding="utf-8")
+    got = files.read_cases(spark, str(tmp_path)).orderBy("idx").select("id").limit(3).collect()
+    assert [r.id for r in got] == ["a0", "a1", "b0"]
+
+
 def test_text_rules(spark):
     df = spark.createDataFrame([("  yes\n", "yes", ["Y", "no"]), ("Yes", "yes", []), (None, None, None), ("x", "", ["x", "X"])], "r string, e string, k array<string>")
     got = df.select(text.rule_result(F.col("r"), F.col("e"), F.col("k")).alias("v")).collect()

@@ -60,3 +60,32 @@ def test_reasons_are_merged_in_order(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"] + list("defgh")), (None, ["x"]), (None, None)], "p array<string>, q array<string>")
     got = [r.m for r in df.select(verdict.merged_reasons(F.col("p"), F.col("q")).alias("m")).collect()]
     assert got == [list("abcdef"), ["x"], []]
+
+
+def test_rounding_as_python_does(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pairloom.functions import verdict
+
+    rng = random.Random(1)
+    values = [a / 10 / 2 + b / 10 / 2 for a in range(0, 101, 3) for b in range(101)] + [rng.uniform(-20, 20) for _ in range(3000)] + [0.15, 2.675, 0.05, 0.25, 0.35, 1e9 + 0.05, -0.05, 5e-324, 0.0] + [k / 1000 for k in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    got = df.select("x", verdict.py_round(F.col("x"), 1).alias("one"), verdict.py_round(F.col("x"), 2).alias("two")).collect()
+    for r in got:
+        if r.x is None or r.x != r.x:
+            assert r.one is None or r.one != r.one
+        else:
+            assert (r.one, r.two) == (round(r.x, 1), round(r.x, 2)), r.x
+
+
+def test_text_behind_an_object_is_no_verdict(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.functions import verdict
+
+    good = '{"winner": "A", "score_A": 3}'
+    df = spark.createDataFrame([(good,), (good + " trailing",), (good + good,), (good + "," + good,), ("```json\n" + good + "\n```",), ("[1]",)], "t string")
+    got = [r.v.winner for r in df.select(verdict.native_verdict(F.col("t")).alias("v")).collect()]
+    assert got == ["A", "tie", "tie", "tie", "A", "tie"]
