@@ -99,7 +99,7 @@ def test_the_field_does_without_any_one_feature(spark):
 
 
 def test_denials_are_no_refusals_by_themselves():
-    says = lambda t: defects.refuses(defects.spoken_of(t))
+    says = lambda t: defects.refuses(defects.spoken_of(t, defects.words(t)))
     for t in ("I cannot help with that request.", "Darauf gehe ich nicht ein.", "Prefiero no hablar de eso.", "Je ne peux pas répondre à cette question.", "As an AI model I can't discuss this."):
         assert says(t), t
     for t in ("We do not have that today.", "No problem, I can help you with that.", "The soup is not warm.", "I would rather have the trout.", "Es gibt heute keinen Kuchen."):
