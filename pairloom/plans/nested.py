@@ -17,7 +17,7 @@ def table(name: str):
     """A query for one of the flat tables: keys, places and inlined columns."""
 
     def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shredded, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES)
+        shredded, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES, only=name)
         return flatten.tables(shredded, graph, own)[name]
 
     return rows
@@ -44,8 +44,9 @@ TABLES = {
 }
 
 QUERIES = {"p6_found": p6_found, **{q: table(t) for q, t in TABLES.items()}, "p6_links": p6_links}
-SQL = {
-    "p6_found": r"""
+
+#: The lines' child records in SQL: `el`, `rs`, `de` and `k` hold them with their values, `allof` all of them.
+_TREE = r"""
         with v as (select line_id, payload::json as j from result_lines where json_valid(payload)),
         t as (select line_id, j, case when json_type(j, '$.data') = 'OBJECT' then json_extract(j, '$.data') else j end as d from v where json_type(j) = 'OBJECT' and json_extract_string(j, '$.type') = 'result'),
         b as (select line_id, coalesce(json_extract(d, '$.responses'), json_extract(j, '$.responses')) as r, coalesce(json_extract(d, '$.judge_reasons'), json_extract(j, '$.judge_reasons')) as q,
@@ -72,6 +73,24 @@ SQL = {
           union all select line_id, child, parent_pos, 0, x from deep where json_type(x) not in ('ARRAY', 'NULL') and x::varchar not in ('""', '{}')),
         allof as (
           select line_id, child, parent_pos, pos, y from el union all select line_id, child, parent_pos, pos, y from de
-          union all select line_id, 'responses', -1, pos, y from rs union all select line_id, k, -1, 0, x from k)
-        select line_id, child, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from allof where json_type(y) <> 'NULL'""",
+          union all select line_id, 'responses', -1, pos, y from rs union all select line_id, k, -1, 0, x from k)"""
+#: Entries of the tags of tool calls, and the text of a value.
+_TAGS = r""",
+        tg as (select line_id, parent_pos as rp, pos as tp, json_extract(y, '$.function.arguments.tags') as x from de where child = 'responses.tool_calls' and json_type(y) = 'OBJECT'),
+        te as (
+          select line_id, rp, tp, i as pos, json_extract(x, '$[' || i || ']') as y from (select *, unnest(range(json_array_length(x)::bigint)) as i from tg where json_type(x) = 'ARRAY')
+          union all select line_id, rp, tp, 0, x from tg where json_type(x) not in ('ARRAY', 'NULL') and x::varchar not in ('""', '{}'))"""
+_SHOWN = "case when json_type(y) = 'VARCHAR' then y ->> '$' else y::varchar end"
+_VALUE = f"{_SHOWN} as c_value"
+_KEPT = "json_type(y) <> 'NULL'"
+
+SQL = {
+    "p6_found": f"{_TREE} select line_id, child, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from allof where {_KEPT}",
+    "p6_judge_reasons": f"{_TREE} select line_id as id, child, line_id || '/judge_reasons:' || pos as key, line_id::varchar as parent_key, -1 as parent_pos, cast(pos as integer) as pos, null::varchar as member, case when json_type(y) = 'OBJECT' then y ->> '$.text' end as c_text, case when json_type(y) = 'OBJECT' then y ->> '$.weight' end as c_weight, case when json_type(y) <> 'OBJECT' then {_SHOWN} end as c_value from el where child = 'judge_reasons' and {_KEPT}",
+    "p6_verdict_reasons": f"{_TREE} select line_id as id, child, line_id || '/' || child[1:6] || ':0/reasons:' || pos as key, line_id || '/' || child[1:6] || ':0' as parent_key, -1 as parent_pos, cast(pos as integer) as pos, null::varchar as member, {_VALUE} from el where child like '%.reasons' and {_KEPT}",
+    "p6_tool_call_tags": f"{_TREE}{_TAGS} select line_id as id, 'responses.tool_calls.function.arguments.tags' as child, line_id || '/responses:' || rp || '/tool_calls:' || tp || '/tags:' || pos as key, line_id || '/responses:' || rp || '/tool_calls:' || tp as parent_key, cast(tp as integer) as parent_pos, cast(pos as integer) as pos, null::varchar as member, {_VALUE} from te where {_KEPT}",
+    "p6_links": f"""{_TREE}{_TAGS}, rows as (
+          select child, line_id || '|' || case when parent_pos < 0 then '' else parent_pos::varchar end as parent from allof where {_KEPT} and child not in ('responses', 'judge_reasons', 'raw_ab', 'raw_ba')
+          union all select 'responses.tool_calls.function.arguments.tags', line_id || '|' || rp || '|' || tp from te where {_KEPT})
+        select child, count(*) as n_rows, count(distinct parent) as n_parents, 0::bigint as n_orphans from rows group by child""",
 }

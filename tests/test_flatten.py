@@ -80,3 +80,24 @@ def test_every_table_of_the_result_lines_has_a_query(spark):
     tags = nested.QUERIES["p6_tool_call_tags"](spark, sf_dir).collect()
     assert len(tags) == rows.filter("child like 'responses.tool_calls.%.tags'").count() > 0
     assert all(r.c_value for r in tags) and {r.parent_key for r in tags} <= {r.key for r in tables["responses_tool_calls"].collect()}
+
+
+def test_types_at_several_places_share_a_table(spark):
+    person = {"name": "x", "mail": "y", "age": 3}
+    docs = [{"buyer": person, "seller": {"name": "a", "mail": "b"}, "item": {"name": "z", "price": 1}}, {"buyer": {"name": "q", "mail": "r", "tags": ["s"]}}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id bigint, doc string")
+    rows, graph, own = flatten.flatten(df, "id", "doc", flatten.Shapes(named=(("buyer", "person"),)))
+    assert own == {"buyer": "person", "seller": "person", "buyer.tags": "person_tags"}
+    got = flatten.tables(rows, graph, own)["person"].select("id", "child", "c_name").collect()
+    assert sorted(map(tuple, got)) == [(0, "buyer", "x"), (0, "seller", "a"), (1, "buyer", "q")]
+
+
+def test_objects_with_free_keys_are_maps(spark):
+    """Whether one record has them all or each a few, their keys do not get into the schema."""
+    wide = [{"by_key": {f"k{i}_{j}": {"n": j, "parts": {f"p{j}_{k}": 1 for k in range(3)}} for j in range(3)}, "own": {"a": 1}} for i in range(60)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(wide)], "id bigint, doc string")
+    for part in (df.coalesce(1), df.repartition(16)):
+        rows, graph, own = flatten.flatten(part, "id", "doc", flatten.Shapes())
+        assert own["by_key"] == "by_key" and set(graph.children["by_key"].children) <= {"n", "parts"} and "own" not in own
+        table = flatten.tables(rows, graph, own)["by_key"].collect()
+        assert len(table) == 180 and {r.member for r in table} == {f"k{i}_{j}" for i in range(60) for j in range(3)} and {r.c_n for r in table} == {"0", "1", "2"}
