@@ -75,14 +75,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: s
 
 
 def shares(sized: DataFrame, targets: dict[str, float] | None) -> DataFrame:
-    """queue, share: of the tokens, or as asked for."""
-    totals = sized.groupBy("queue").agg(F.sum("n").alias("m"))
-    natural = F.col("m") / F.sum("m").over(Window.partitionBy())
-    share: Column = natural
-    for name, asked in (targets or {}).items():
-        share = F.when(F.col("queue").eqNullSafe(F.lit(name)), F.lit(float(asked))).otherwise(share)
-    wanted = totals.select("queue", share.alias("w"))
-    return wanted.select("queue", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
+    """queue, share: of the tokens, or as asked for. The sums over all queues are three numbers."""
+    totals = materialize(sized.groupBy("queue").agg(F.sum("n").alias("m")), "totals")
+    asked: Column = F.lit(None).cast("double")
+    for name, share in (targets or {}).items():
+        asked = F.when(F.col("queue").eqNullSafe(F.lit(name)), F.lit(float(share))).otherwise(asked)
+    of = totals.select("queue", "m", asked.alias("asked")).agg(F.sum("m").alias("all"), F.sum("asked").alias("asked"), F.sum(F.when(F.col("asked").isNull(), F.col("m"))).alias("rest")).first()
+    total = max(1, of["all"] or 0)
+    weight = (of["asked"] or 0.0) + (of["rest"] or 0) / total
+    return totals.select("queue", (F.coalesce(asked, F.col("m") / total) / (weight or 1.0)).alias("share"))
 
 
 def best_fit(items: list[tuple[int, int]], capacity: int) -> dict[int, int]:

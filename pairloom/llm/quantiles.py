@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.operators.evaluate import once
+from pairloom.session import materialize
 
 SIZE, FAN = 1024, 8
 
@@ -168,21 +169,47 @@ def sketch(df: DataFrame, keys: list[str], value: str, size: int = SIZE, fan: in
 
 
 def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """keys, n, a column per entry of `at`, and rank_error: by how many ranks of n a value may be off."""
+    """keys, n, a column per entry of `at`, and rank_error: by how many ranks of n a value may be off. The buffers of a key, which
+    are as many as one sketch has, are read in a stream."""
     names = list(at)
 
-    def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([np.asarray(v, np.float64) for v in pdf["vals"]])
-        weights = np.concatenate([np.full(len(v), w, np.int64) for v, w in zip(pdf["vals"], pdf["weight"])])
+    def look(key: tuple, buffers: list[tuple]) -> tuple:
+        values = np.concatenate([v for _, v, _ in buffers])
+        weights = np.concatenate([np.full(len(v), w, np.int64) for w, v, _ in buffers])
         order = np.argsort(values, kind="stable")
         upto = np.cumsum(weights[order])
         n = int(upto[-1])
         ranks = [max(1, int(np.ceil(round(at[name] * n, 6)))) for name in names]
         found = values[order][np.searchsorted(upto, ranks)]
-        return pd.DataFrame([(*key, n, *found, int(pdf["err"].sum()))], columns=[*keys, "n", *names, "rank_error"])
+        return (*key, n, *found.tolist(), sum(e for *_, e in buffers))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, now, held = None, None, []
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [*types, pa.int64(), *[pa.float64()] * len(names), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [*keys, "n", *names, "rank_error"])
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(keys))]
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            weight, err = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 2).to_pylist()
+            vals = batch.column(len(keys) + 1)
+            done = []
+            for i, key in enumerate(zip(*columns)):
+                if key != now:
+                    if held:
+                        done.append(look(now, held))
+                    now, held = key, []
+                held.append((weight[i], vals[i].values.to_numpy(), err[i]))
+            if done:
+                yield told(done)
+        if held:
+            yield told([look(now, held)])
 
     fields = [*key_schema(sketches, keys), T.StructField("n", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names), T.StructField("rank_error", T.LongType())]
-    return sketches.groupBy(*keys).applyInPandas(look, T.StructType(fields))
+    rows = sketches.select(*keys, "weight", "vals", "err").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(read, T.StructType(fields))
 
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -204,7 +231,12 @@ def daily(results: DataFrame) -> DataFrame:
     return sketch(measures(results), ["model_name", "capability", "metric", "day"], "value")
 
 
-def whole(days: DataFrame) -> DataFrame:
-    """Daily sketches merged into the whole period and read."""
+def percentiles(days: DataFrame) -> DataFrame:
+    """level (day or whole), model_name, capability, metric, day (null for the whole), n, percentiles, rank_error: each day read from
+    its sketch, and the whole period from the days' sketches merged, without a value read again."""
+    held = materialize(days, "days")
     keys = ["model_name", "capability", "metric"]
-    return quantiles(merged(days, keys), keys, PERCENTILES)
+    shown = ["level", *keys, "day", "n", *PERCENTILES, "rank_error"]
+    each = quantiles(held, [*keys, "day"], PERCENTILES).withColumn("level", F.lit("day"))
+    total = quantiles(merged(held, keys), keys, PERCENTILES).withColumns({"level": F.lit("whole"), "day": F.lit(None).cast("date")})
+    return each.select(shown).union(total.select(shown))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm import defects, leaks, packing, quantiles, ranking, similar, spans, truncation
 from pairloom.session import read
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.whole(quantiles.daily(read(spark, sf_dir, "results", quantiles.ANSWERS)))
+    return quantiles.percentiles(quantiles.daily(read(spark, sf_dir, "results", quantiles.ANSWERS)))
 
 
 def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def p4_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.hazards(truncation.lengths(read(spark, sf_dir, "results", truncation.RESPONSES)))
+    found = truncation.hazards(truncation.lengths(read(spark, sf_dir, "results", truncation.RESPONSES)))
+    return found.withColumns({c: F.round(c, 9) for c in ("hazard", "expected", "log_p")})
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,17 @@ _READ = "count(*) as n, " + ", ".join(f"quantile_disc(value, {q}) as p{round(q *
 
 #: For the percentiles: exact where no group has more values than a sketch keeps whole, as at sf0.01.
 SQL = {
-    "p1_percentiles": f"{_MEASURES} select model_name, capability, metric, {_READ}",
+    "p1_percentiles": f"{_MEASURES} select 'whole' as level, model_name, capability, metric, null::date as day, {_READ} union all select 'day', model_name, capability, metric, day, {_READ}",
+    "p4_hazards": f"""
+        with {_ONCE}, e as (select unnest(map_keys(responses)) as source, unnest(map_values(responses)).response as t from once),
+        l as (select source, 'chars' as measure, length(t)::int as length from e union all select source, 'bytes', strlen(t)::int from e),
+        c as (select source, measure, length, count(*) as n from l where length > 0 group by all),
+        w as (select *, cast(sum(n) over (partition by source, measure order by length rows between current row and unbounded following) as bigint) as at_risk,
+          greatest(coalesce(sum(n) over (partition by source, measure order by length range between 16 preceding and 1 preceding), 0) / 16.0::double, coalesce(sum(n) over (partition by source, measure order by length range between 1 following and 16 following), 0) / 16.0::double, 0.0625::double) as expected from c),
+        p as (select *, n::double / at_risk as hazard, case when n > expected then n - expected - n * ln(n / expected) else 0.0::double end as log_p from w),
+        k as (select *, row_number() over (partition by source order by log_p, measure, length) as k, count(*) over (partition by source) as m from p),
+        s as (select *, coalesce(max(case when log_p <= ln(k * 0.001::double / m) then k end) over (partition by source), 0) as last from k)
+        select source, measure, length, n, at_risk, round(hazard, 9) as hazard, round(expected, 9) as expected, round(log_p, 9) as log_p, k <= last as significant from s""",
     "p1_daily": f"{_MEASURES} select model_name, capability, metric, day, {_READ}",
     "p2_found": """
         with t as (select case_key, unnest(turns) as turn from test_cases),

@@ -90,8 +90,8 @@ def ranked(strengths: DataFrame) -> DataFrame:
     """Ranks from counts per distinct strength, in blocks of the sorted order, so that no task holds all items."""
     levels = strengths.groupBy("strength").agg(F.count("*").alias("n"))
     blocks = materialize(levels.repartitionByRange(F.desc("strength")).withColumn("block", F.spark_partition_id()), "levels")
-    before = small(blocks.groupBy("block").agg(F.sum("n").alias("m")))
-    offsets = blocks.select("block").distinct().alias("x").join(before.alias("y"), F.col("y.block") < F.col("x.block"), "left").groupBy("x.block").agg(F.coalesce(F.sum("y.m"), F.lit(0)).alias("before"))
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    offsets = small(materialize(blocks.groupBy("block").agg(F.sum("n").alias("m")).select("block", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before")), "offsets"))
     inside = Window.partitionBy("block").orderBy(F.desc("strength")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = blocks.withColumn("above", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, "block").select("strength", (F.col("before") + F.col("above") + 1).alias("rank"))
     return strengths.join(ranks, "strength").select("item", "strength", "rank", "wins", "losses", "ties")
