@@ -63,8 +63,8 @@ _TREE = r"""
           select line_id, child, parent_pos, i as pos, json_extract(x, '$[' || i || ']') as y from (select *, unnest(range(json_array_length(x)::bigint)) as i from e where ty = 'ARRAY')
           union all select line_id, child, parent_pos, 0, x from e where ty not in ('ARRAY', 'NULL') and x::varchar not in ('""', '{}')),
         rs as (
-          select line_id, i as pos, json_extract(r, '$[' || i || ']') as y from (select *, unnest(range(json_array_length(r)::bigint)) as i from b where json_type(r) = 'ARRAY')
-          union all select line_id, i - 1, json_extract(r, '$."' || n || '"') from (select line_id, r, unnest(json_keys(r)) as n, unnest(range(1, len(json_keys(r))::bigint + 1)) as i from b where json_type(r) = 'OBJECT')),
+          select line_id, i as pos, json_extract(r, '$[' || i || ']') as y, null::varchar as n from (select *, unnest(range(json_array_length(r)::bigint)) as i from b where json_type(r) = 'ARRAY')
+          union all select line_id, i - 1, json_extract(r, '$."' || n || '"'), n from (select line_id, r, unnest(json_keys(r)) as n, unnest(range(1, len(json_keys(r))::bigint + 1)) as i from b where json_type(r) = 'OBJECT')),
         deep as (
           select line_id, 'responses.tool_calls' as child, pos as parent_pos, json_extract(y, '$.tool_calls') as x from rs where json_type(y) = 'OBJECT'
           union all select line_id, child || '.issues', pos, json_extract(y, '$.issues') from el where child like '%.attempts' and json_type(y) = 'OBJECT'),
@@ -84,7 +84,23 @@ _SHOWN = "case when json_type(y) = 'VARCHAR' then y ->> '$' else y::varchar end"
 _VALUE = f"{_SHOWN} as c_value"
 _KEPT = "json_type(y) <> 'NULL'"
 
+
+def _members(value: str, *paths: str) -> str:
+    """The text of members of a JSON value, as columns."""
+    one = "case json_type({v}, '$.{p}') when 'NULL' then null when 'OBJECT' then null when 'VARCHAR' then {v} ->> '$.{p}' else json_extract({v}, '$.{p}')::varchar end as \"c_{c}\""
+    return ", ".join(one.format(v=value, p=p, c=p.replace(".", "_")) for p in paths)
+
+
+def _rows(source: str, child: str, key: str, parent: str, parent_pos: str, pos: str, member: str, columns: str) -> str:
+    return f"select line_id as id, {child} as child, {key} as key, {parent} as parent_key, cast({parent_pos} as integer) as parent_pos, cast({pos} as integer) as pos, {member} as member, {columns} from {source}"
+
+
 SQL = {
+    "p6_responses": f"{_TREE} " + _rows(f"rs where {_KEPT}", "'responses'", "line_id || '/responses:' || pos", "line_id::varchar", "-1", "pos", "n", _members("y", "latency_ms", "model", "response", "score", "tokens", "usage.completion_tokens", "usage.prompt_tokens")),
+    "p6_tool_calls": f"{_TREE} " + _rows(f"de where child = 'responses.tool_calls' and {_KEPT}", "child", "line_id || '/responses:' || parent_pos || '/tool_calls:' || pos", "line_id || '/responses:' || parent_pos", "parent_pos", "pos", "null::varchar", _members("y", "function.arguments.table", "function.arguments", "function.name", "id")),
+    "p6_verdicts": f"{_TREE} " + _rows("k", "k", "line_id || '/' || k || ':0'", "line_id::varchar", "-1", "0", "null::varchar", _members("x", "score_A", "score_B", "winner")),
+    "p6_verdict_attempts": f"{_TREE} " + _rows(f"el where child like '%.attempts' and {_KEPT}", "child", "line_id || '/' || child[1:6] || ':0/attempts:' || pos", "line_id || '/' || child[1:6] || ':0'", "-1", "pos", "null::varchar", _members("y", "n", "ok", "text")),
+    "p6_verdict_issues": f"{_TREE} " + _rows(f"de where child like '%.issues' and {_KEPT}", "child", "line_id || '/' || child[1:6] || ':0/attempts:' || parent_pos || '/issues:' || pos", "line_id || '/' || child[1:6] || ':0/attempts:' || parent_pos", "parent_pos", "pos", "null::varchar", _members("y", "at", "code")),
     "p6_found": f"{_TREE} select line_id, child, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from allof where {_KEPT}",
     "p6_judge_reasons": f"{_TREE} select line_id as id, child, line_id || '/judge_reasons:' || pos as key, line_id::varchar as parent_key, -1 as parent_pos, cast(pos as integer) as pos, null::varchar as member, case when json_type(y) = 'OBJECT' then y ->> '$.text' end as c_text, case when json_type(y) = 'OBJECT' then y ->> '$.weight' end as c_weight, case when json_type(y) <> 'OBJECT' then {_SHOWN} end as c_value from el where child = 'judge_reasons' and {_KEPT}",
     "p6_verdict_reasons": f"{_TREE} select line_id as id, child, line_id || '/' || child[1:6] || ':0/reasons:' || pos as key, line_id || '/' || child[1:6] || ':0' as parent_key, -1 as parent_pos, cast(pos as integer) as pos, null::varchar as member, {_VALUE} from el where child like '%.reasons' and {_KEPT}",
