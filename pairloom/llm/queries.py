@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,25 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p5_ranking": p5_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_models": p3_models, "p4_found": p4_found, "p4_models": p4_models, "p4_hazards": p4_hazards, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
+
+
+def _folded(column: str) -> tuple[str, str]:
+    """Compatibility folding, composition and removal of invisible characters in SQL; the folding of each character by the same
+    rule as in Python."""
+    table = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(128, 0x30000) if not 0xD800 <= c <= 0xDFFF and not 0xAC00 <= c <= 0xD7A3}  # beyond it nothing is folded
+    pairs = ", ".join(f"'{k}': '{v}'" for k, v in table.items() if k != v and "'" not in v)
+    hidden = r"[\p{Cf}\x{34F}\x{FE00}-\x{FE0F}]"
+    shown = f"regexp_replace({column}, '{hidden}', '', 'g')"
+    mapped = f"array_to_string(list_transform(string_split({shown}, ''), lambda c: case when ascii(c) < 128 then c else coalesce(m[c], c) end), '')"
+    return f"case when regexp_matches({column}, '[^\\x00-\\x7F]') then regexp_replace(nfc_normalize({mapped}), '{hidden}', '', 'g') else {column} end", f"folding as (select map {{{pairs}}} as m)"
+
+
+def _leaked() -> str:
+    folded, table = _folded("text")
+    runs = "select {id}, array_to_string(w[i:i + 11], ' ') as run from (select {id}, w, unnest(range(1, len(w) - 10)) as i from (select {id}, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') as w from (select {id}, " + folded.replace("{", "{{").replace("}", "}}") + " as t from {table}, folding where text is not null)))"
+    return f"with {table}, d as ({runs.format(id='doc_id', table='documents')}), e as ({runs.format(id='item_id', table='eval_items')}), f as (select distinct doc_id, item_id from d join e using (run))"
+
+
 _ONCE = "once as (select * from (select *, row_number() over (partition by result_id order by received_at) as rn from results) where rn = 1)"
 _MEASURES = (
     f"with {_ONCE}, e as (select capability, cast(finished_at as date) as day, unnest(map_keys(responses)) as model_name, unnest(map_values(responses)) as a from once), "
@@ -116,6 +137,8 @@ SQL = {
         with w as (select distinct doc_id, md5(substr(text, i, 360)) as h from (select doc_id, text, unnest(range(1, length(text) - 358)) as i from documents where length(text) >= 360)),
         s as (select h from w group by h having count(*) > 1), k as (select doc_id, h from w semi join s using (h))
         select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from k x join k y on x.h = y.h and x.doc_id < y.doc_id""",
+    "p8_found": f"{_leaked()} select doc_id, item_id from f",
+    "p8_items": f"{_leaked()} select item_id, category, coalesce(n_docs, 0) as n_docs, first_doc_id from eval_items left join (select item_id, count(*) as n_docs, min(doc_id) as first_doc_id from f group by 1) using (item_id)",
     "p9_share": """
         with d as (select doc_id, text, length(text) as n_chars, min(doc_id) over (partition by text) as rep from documents where length(text) >= 360),
         w as (select doc_id, n_chars, rep, i, md5(substr(text, i, 360)) as h from (select *, unnest(range(1, n_chars - 358)) as i from d)),
