@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators import flatten
-from pairloom.session import read
+from pairloom.session import read, spread
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.children_found(read(spark, sf_dir, "result_lines"))
+    return flatten.children_found(spread(read(spark, sf_dir, "result_lines")))
 
 
 def table(name: str):
     """A query for one of the flat tables: keys, places and inlined columns."""
 
     def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shredded, graph, own = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES, only=name)
+        shredded, graph, own = flatten.flatten(spread(read(spark, sf_dir, "result_lines")), "line_id", "payload", flatten.RESULT_LINES, only=name)
         return flatten.tables(shredded, graph, own)[name]
 
     return rows
@@ -25,7 +25,7 @@ def table(name: str):
 
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and parents of each table: children without a parent row would show as orphans."""
-    shredded, _, _ = flatten.flatten(read(spark, sf_dir, "result_lines"), "line_id", "payload", flatten.RESULT_LINES, with_fields=False)
+    shredded, _, _ = flatten.flatten(spread(read(spark, sf_dir, "result_lines")), "line_id", "payload", flatten.RESULT_LINES, with_fields=False)
     keys = shredded.select(F.col("key").alias("parent_key"), F.lit(1).alias("has"))
     linked = shredded.filter(F.col("parent_key").contains("/")).join(keys, "parent_key", "left")
     return linked.groupBy("child").agg(F.count("*").alias("n_rows"), F.countDistinct("parent_key").alias("n_parents"), F.count_if(F.col("has").isNull()).alias("n_orphans"))

@@ -67,6 +67,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, schema: str | None = None
     return reader.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For steps in Python over a table of few file blocks: its rows dealt out to as many tasks as there are cores. Tables with
+    as many blocks are left where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     """Mark df for broadcast only if the optimizer's size statistics, which for files are their sizes, are below the limit."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,6 +1,6 @@
 from pathlib import Path
 
-from pairloom.session import forget, materialize, small, tables_dir
+from pairloom.session import forget, materialize, small, spread, tables_dir
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,9 @@ def test_only_small_sides_are_broadcast(spark):
     df = materialize(spark.range(1000), "t")
     hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
     assert hinted(small(df)) and not hinted(small(df, 10))
+
+
+def test_tables_of_few_blocks_are_dealt_out(spark, rows):
+    one, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows(spread(one)) == rows(one)
+    assert spread(many) is many
