@@ -18,10 +18,12 @@ source is a queue of its own; equal texts are packed each; an empty table gives
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,26 +34,31 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _loaded: dict[str, object] = {}
 
 
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def encoding(path: str, pattern: str | None = None):
     """The tokenizer of a rank file, kept for the life of the worker."""
     if path not in _loaded:
         import tiktoken
 
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _loaded[path] = tiktoken.Encoding("own", pat_str=pattern or public_pattern(), mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str, pattern: str | None = None) -> DataFrame:
-    """doc, queue, n: tokens of each text."""
+    """doc, queue, n: tokens of each text. The rank file is a file of the driver that Spark sends to the workers."""
+    pattern = pattern or public_pattern()
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer, pattern)
+        enc = encoding(SparkFiles.get(name), pattern)
         for batch in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc", "queue", "n"])

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import defects, leaks, packing, quantiles, ranking, similar, spans, truncation
-from pairloom.session import read
+from pairloom.session import read, spread
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.daily(read(spark, sf_dir, "results", quantiles.ANSWERS)))
+    return quantiles.percentiles(quantiles.daily(spread(read(spark, sf_dir, "results", quantiles.ANSWERS))))
 
 
 def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = quantiles.daily(read(spark, sf_dir, "results", quantiles.ANSWERS))
+    days = quantiles.daily(spread(read(spark, sf_dir, "results", quantiles.ANSWERS)))
     return quantiles.quantiles(days, ["model_name", "capability", "metric", "day"], quantiles.PERCENTILES)
 
 
@@ -27,16 +27,16 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similar.near_pairs(read(spark, sf_dir, "test_cases"))
+    found = similar.near_pairs(spread(read(spark, sf_dir, "test_cases")))
     return found.select(found.rid_a.alias("case_key_a"), found.rid_b.alias("case_key_b"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.near_groups(read(spark, sf_dir, "test_cases"))
+    return similar.near_groups(spread(read(spark, sf_dir, "test_cases")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.defects(read(spark, sf_dir, "results", defects.RESULTS), read(spark, sf_dir, "test_cases"))
+    return defects.defects(spread(read(spark, sf_dir, "results", defects.RESULTS)), spread(read(spark, sf_dir, "test_cases")))
 
 
 def p3_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,32 +45,32 @@ def p3_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(read(spark, sf_dir, "results", truncation.RESPONSES))
+    return truncation.truncated(spread(read(spark, sf_dir, "results", truncation.RESPONSES)))
 
 
 def p4_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.report(read(spark, sf_dir, "results", truncation.RESPONSES))
+    return truncation.report(spread(read(spark, sf_dir, "results", truncation.RESPONSES)))
 
 
 def p4_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = truncation.hazards(truncation.lengths(read(spark, sf_dir, "results", truncation.RESPONSES)))
+    found = truncation.hazards(truncation.lengths(spread(read(spark, sf_dir, "results", truncation.RESPONSES))))
     return found.withColumns({c: F.round(c, 9) for c in ("hazard", "expected", "log_p")})
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(spread(read(spark, sf_dir, "documents")))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.fill_report(packing.pack(read(spark, sf_dir, "documents")))
+    return packing.fill_report(packing.pack(spread(read(spark, sf_dir, "documents"))))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.mixture(read(spark, sf_dir, "documents"))
+    return packing.mixture(spread(read(spark, sf_dir, "documents")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+    return leaks.leaks(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "eval_items"))
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,11 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_pairs(read(spark, sf_dir, "documents"))
+    return spans.shared_pairs(spread(read(spark, sf_dir, "documents")))
 
 
 def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_share(read(spark, sf_dir, "documents"))
+    return spans.shared_share(spread(read(spark, sf_dir, "documents")))
 
 
 QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p5_ranking": p5_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_models": p3_models, "p4_found": p4_found, "p4_models": p4_models, "p4_hazards": p4_hazards, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}

@@ -75,6 +75,21 @@ def test_answers_count_once(spark):
     assert got == {("m", "latency_ms", 5.0), ("n", "tokens", 3.0)}
 
 
+def test_days_and_the_whole_period_in_one_result(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    data = [("m", "c", dt.date(2026, 1, 1 + k % 3), "tokens", float(v)) for k, v in enumerate(rng.integers(1, 500, 30_000))] + [("m", "c", None, "tokens", 7.0)]
+    df = spark.createDataFrame(data, "model_name string, capability string, day date, metric string, value double")
+    got = q.percentiles(q.sketch(df, ["model_name", "capability", "metric", "day"], "value")).collect()
+    assert sorted((r.level, str(r.day), r.n) for r in got) == [("day", "2026-01-01", 10_000), ("day", "2026-01-02", 10_000), ("day", "2026-01-03", 10_000), ("day", "None", 1), ("whole", "None", 30_001)]
+    for r in got:
+        values = np.array([x[4] for x in data if r.level == "whole" or x[2] == r.day])
+        for name, share in q.PERCENTILES.items():
+            low, high = ranks_of(values, r[name])
+            assert low - r.rank_error <= np.ceil(share * r.n) <= high + r.rank_error
+
+
 def test_clashing_columns_are_ignored(spark):
     df = spark.range(10).select(F.lit("x").alias("k"), F.col("id").cast("double").alias("v"), F.lit(1).alias("weight"), F.lit(2).alias("vals"))
     assert q.quantiles(q.sketch(df, ["k"], "v"), ["k"], {"p50": 0.5}).first().p50 == pytest.approx(4.0)
