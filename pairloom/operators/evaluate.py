@@ -57,14 +57,18 @@ def repeated(results: DataFrame) -> DataFrame:
     return materialize(results.groupBy("result_id").count().filter("count > 1 and result_id is not null").select("result_id"), "repeated")
 
 
-def once(results: DataFrame, *columns: str, ids: DataFrame | None = None) -> DataFrame:
+def once(results: DataFrame, *columns: str, again: DataFrame | None = None) -> DataFrame:
     """Every result_id once, by its first delivery; one without a time comes after all that have one, and of deliveries at
     the same time the one whose columns have the least hash stands. Rows without an id are each a result. Only what was
-    delivered more than once is moved; `ids` are those (see `repeated`), if known already."""
-    ids = small(repeated(results) if ids is None else ids)
+    delivered more than once is moved; `again` are those deliveries, if known already."""
+    if again is None:
+        ids = small(repeated(results))
+        again = results.join(ids, "result_id", "left_semi")
+    else:
+        ids = small(again.select("result_id"))
     single = results.join(ids, "result_id", "left_anti").select("result_id", *columns)
     arrival = F.struct(F.col("received_at").isNull(), F.col("received_at"), F.xxhash64(F.to_json(F.struct(*columns))))  # min_by passes over what is null itself
-    more = results.join(ids, "result_id", "left_semi").groupBy("result_id").agg(F.min_by(F.struct(*columns), arrival).alias("r")).select("result_id", "r.*")
+    more = again.groupBy("result_id").agg(F.min_by(F.struct(*columns), arrival).alias("r")).select("result_id", "r.*")
     return single.union(more)
 
 
