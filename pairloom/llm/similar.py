@@ -137,8 +137,8 @@ def members(held: DataFrame, min_pairs: int, bits: int) -> DataFrame:
 
 def unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """The codes of a column of sets, one after the other, and their numbers."""
-    counts = np.array([len(x) // 4 for x in column.to_pylist()], np.int64)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32), counts
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint32), np.array([len(x) // 4 for x in parts], np.int64)
 
 
 def subtrees(values: np.ndarray, first_tree: int, trees: int) -> list[np.ndarray]:
