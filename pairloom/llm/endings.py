@@ -1,7 +1,7 @@
-"""Does a text stop before its end? A classifier of endings, fitted on a bounded sample of texts.
+"""Does a text stop before its end? A classifier of endings, fitted on all texts.
 
 Texts with a final mark are complete, but for marks that stand for a cut (an ellipsis, a replacement character) and
-periods inside a number. Other endings are judged by what the sample shows of places that are surely no cuts, because
+periods inside a number. Other endings are judged by what all texts show of places that are surely no cuts, because
 the text goes on behind them: which segments without a final mark are whole (a sign-off, a sum) and are not merely the
 beginning of longer segments; with which words list items end; and which numbers stand before a final period.
 """
@@ -9,7 +9,7 @@ beginning of longer segments; with which words list items end; and which numbers
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -34,7 +34,7 @@ PRICE, TIME, DIGITS = re.compile(r"\d+[.,]\d\d(?!\d)"), re.compile(r"\d{1,2}:\d\
 
 def mask(text: str) -> str:
     """Numbers by their shape, blanks as one."""
-    return " ".join(DIGITS.sub("#", TIME.sub("T", PRICE.sub("P", text))).split())
+    return " ".join((DIGITS.sub("#", TIME.sub("T", PRICE.sub("P", text))) if DIGITS.search(text) else text).split())
 
 
 def segments(text: str) -> list[str]:
@@ -49,6 +49,109 @@ def visible_end(text: str) -> str:
     return text.rstrip("​‌‍﻿⁠ \t\r\n\xa0")
 
 
+def open_end(text: str) -> str | None:
+    """The last segment, masked, if it is no list item and has no final mark."""
+    parts = segments(visible_end(text))
+    return mask(parts[-1]) if parts and not BULLET.match(parts[-1]) and (not TERMINAL.search(parts[-1]) or DOTS.search(parts[-1])) else None
+
+
+def start_of(segment: str) -> str:
+    """What a segment that goes on where this one ends begins with: dots and a last number, which may be cut, taken off."""
+    return LAST_NUMBER.sub("", DOTS.sub("", segment))
+
+
+class Starts:
+    """Beginnings in order, each with the next shorter one that it begins with itself (-1: none)."""
+
+    def __init__(self, starts: Iterable[str]):
+        self.ordered = sorted(set(starts))
+        self.shorter: list[int] = []
+        open_: list[int] = []
+        for k, s in enumerate(self.ordered):
+            while open_ and not s.startswith(self.ordered[open_[-1]]):
+                open_.pop()
+            self.shorter.append(open_[-1] if open_ else -1)
+            open_.append(k)
+
+    def longest(self, segment: str) -> int:
+        """The longest beginning of a segment: what stands between it and the segment in order begins with it."""
+        k = bisect_right(self.ordered, segment) - 1
+        while k >= 0 and not segment.startswith(self.ordered[k]):
+            k = self.shorter[k]
+        return k
+
+    def totals(self, counts: dict[str, int]) -> dict[str, int]:
+        """From counts by the longest beginning, those by every beginning."""
+        out = [counts.get(s, 0) for s in self.ordered]
+        for k in range(len(out) - 1, -1, -1):  # shorter ones come before
+            if self.shorter[k] >= 0:
+                out[self.shorter[k]] += out[k]
+        return dict(zip(self.ordered, out))
+
+
+#: What is counted: segments by their longest beginning, segments that are open ends elsewhere, words and word pairs of list items, numbers.
+BEGUN, WHOLE, WORD_IN_LIST, PAIR_IN_LIST, NUMBER = range(5)
+HEAD = 4  # characters by which most segments are told from all beginnings
+
+
+class Tally:
+    """Counts of texts: (kind, what) to how often, and of words and pairs in list items how often they end one; counts of
+    parts of the texts add up."""
+
+    def __init__(self, open_ends: Iterable[str]):
+        self.whole = frozenset(open_ends)
+        self.starts = Starts(map(start_of, self.whole))
+        self.heads = {s[:HEAD] for s in self.starts.ordered}
+        self.short = any(len(s) < HEAD for s in self.heads)
+        self.n: Counter[tuple[int, str]] = Counter()
+        self.ends: Counter[tuple[int, str]] = Counter()
+        self.seen: dict[str, tuple[list[tuple[int, str]], str | None]] = {}  # of segments, as many recur
+
+    def segment(self, part: str) -> tuple[list[tuple[int, str]], str | None]:
+        """What a segment counts for, and the number it ends with."""
+        got = self.seen.get(part)
+        if got is None:
+            counted = []
+            if part[:HEAD] in self.heads or not part[:HEAD].isalpha() or self.short:  # letters are masked by themselves: all others begin with none
+                masked = mask(part)
+                k = self.starts.longest(masked)
+                counted = [(BEGUN, self.starts.ordered[k])] if k >= 0 else []
+                if masked in self.whole:
+                    counted.append((WHOLE, masked))
+            m = NUMBER_END.search(" ".join(part.split()[-2:])) if part[-1:] == "." and (part[-2:-1].isdecimal() or part[-2:-1] in (".", ",", ":")) else None
+            got = counted, f"{m[1].lower()} {mask(m[2])}" if m else None
+            if len(self.seen) >= 1 << 15:
+                self.seen.clear()
+            self.seen[part] = got
+        return got
+
+    def add(self, text: str) -> None:
+        parts = segments(visible_end(text))
+        for k, part in enumerate(parts):
+            inside = k + 1 < len(parts)
+            if BULLET.match(part):
+                words = BULLET.sub("", part).split()
+                pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+                for w in words:
+                    self.n[WORD_IN_LIST, w] += 1
+                for w in pairs:
+                    self.n[PAIR_IN_LIST, w] += 1
+                if inside and pairs:
+                    self.ends[WORD_IN_LIST, words[-1]] += 1
+                    self.ends[PAIR_IN_LIST, pairs[-1]] += 1
+                continue
+            counted, number = self.segment(part)
+            for x in counted:
+                self.n[x] += 1
+            if inside and number:
+                self.n[NUMBER, number] += 1
+
+
+#: Least counts: of an open end to be asked about, of an end of list items, of a pair that decides by itself, of a number; least
+#: share of the places where a word or pair stands that end an item, and largest share of longer segments.
+LEAST_OPEN, LEAST_END, LEAST_PAIR, LEAST_NUMBER, RARE, LONGER = 3, 2, 8, 2, 0.03, 0.2
+
+
 @dataclass
 class Endings:
     """What complete endings look like."""
@@ -59,49 +162,43 @@ class Endings:
     numbers: set[tuple[str, str]] = field(default_factory=set)
 
     @staticmethod
-    def fit(texts: Iterable[str], least: int = 3, share: float = 0.2, rare: float = 0.03) -> Endings:
-        every: Counter[str] = Counter()
-        last: Counter[str] = Counter()
-        end: Counter = Counter()  # of words and word pairs in list items
-        anywhere: Counter = Counter()
-        number: Counter[tuple[str, str]] = Counter()
-        for text in texts:
-            parts = segments(visible_end(text))
-            for k, part in enumerate(parts):
-                inside = k + 1 < len(parts)
-                if BULLET.match(part):
-                    words = BULLET.sub("", part).split()
-                    pairs = list(zip(words, words[1:]))
-                    anywhere.update(words)
-                    anywhere.update(pairs)
-                    if inside and pairs:
-                        end[words[-1]] += 1
-                        end[pairs[-1]] += 1
-                    continue
-                masked = mask(part)
-                every[masked] += 1
-                if inside and (m := NUMBER_END.search(part)):
-                    number[m[1].lower(), mask(m[2])] += 1
-                if not inside and (not TERMINAL.search(part) or DOTS.search(part)):
-                    last[masked] += 1
-        ordered = sorted(every)
-        upto = [0]
-        for s in ordered:
-            upto.append(upto[-1] + every[s])
-
-        def longer(start: str, whole: str) -> int:
-            lo, hi = bisect_left(ordered, start), bisect_left(ordered, start + "\U0010ffff")
-            return upto[hi] - upto[lo] - every[whole]
+    def asked(open_ends: dict[str, int]) -> dict[str, int]:
+        """Open ends that may be whole, by how often they stand at the end of a text."""
+        return {s: n for s, n in open_ends.items() if n >= LEAST_OPEN and len(s.split()) > 1}
 
+    @staticmethod
+    def of(open_ends: dict[str, int], counts: Iterable[tuple[int, str, int, int]]) -> Endings:
+        """From open ends (see `asked`) and the counts of all texts: kind, what, how often, how often at the end of an item."""
         out = Endings()
-        for s, n in last.items():
-            if n >= least and len(s.split()) > 1 and longer(LAST_NUMBER.sub("", DOTS.sub("", s)), s) <= share * n:
-                out.whole.add(s)
-        out.words = {w for w, n in end.items() if isinstance(w, str) and n >= 2 and n >= rare * anywhere[w]}
-        out.pairs = {w: end[w] > 0 and end[w] >= rare * n for w, n in anywhere.items() if isinstance(w, tuple) and n >= 8}
-        out.numbers = {k for k, n in number.items() if n >= 2}
+        begun: dict[str, int] = {}
+        equal: dict[str, int] = {}
+        for kind, what, n, ends in counts:
+            if kind == BEGUN:
+                begun[what] = n
+            elif kind == WHOLE:
+                equal[what] = n
+            elif kind == WORD_IN_LIST:
+                if ends >= LEAST_END and ends >= RARE * n:
+                    out.words.add(what)
+            elif kind == PAIR_IN_LIST:
+                if n >= LEAST_PAIR:
+                    out.pairs[tuple(what.split(" "))] = ends > 0 and ends >= RARE * n
+            elif n >= LEAST_NUMBER:
+                out.numbers.add(tuple(what.split(" ", 1)))
+        upto = Starts(map(start_of, open_ends)).totals(begun)
+        out.whole = {s for s, n in open_ends.items() if upto[start_of(s)] - equal.get(s, 0) <= LONGER * n}
         return out
 
+    @staticmethod
+    def fit(texts: Iterable[str]) -> Endings:
+        """From texts at hand; `truncation.fit_endings` does the same over a table."""
+        texts = list(texts)
+        open_ends = Endings.asked(Counter(s for s in map(open_end, texts) if s is not None))
+        tally = Tally(open_ends)
+        for t in texts:
+            tally.add(t)
+        return Endings.of(open_ends, [(*k, n, tally.ends[k]) for k, n in tally.n.items()])
+
     def state(self, text: str) -> int:
         """COMPLETE, INCOMPLETE, or ITEM: a whole list item, after which a list may well have gone on."""
         end = visible_end(text)

@@ -19,14 +19,15 @@ by the text with the least hash; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.endings import INCOMPLETE, ITEM, Endings
+from pairloom.llm.endings import INCOMPLETE, ITEM, LEAST_END, LEAST_NUMBER, LEAST_OPEN, LEAST_PAIR, NUMBER, PAIR_IN_LIST, WORD_IN_LIST, Endings, Tally, open_end
 from pairloom.operators.evaluate import once, repeated
 from pairloom.session import materialize, small
 
@@ -38,9 +39,12 @@ STAND_IN = re.compile(
 )
 SHOWN = re.compile(r"[^\W_]|[\U0001F000-\U0001FAFF☀-➿]")
 
-#: Answers, and answers with lists, that the classifier of endings is fitted on at most, and characters of each kind.
+#: Answers, and answers with lists, that the field of `defects` is fitted on at most, and characters of each kind.
 SAMPLE, SAMPLE_CHARS = 20_000, 1 << 26
 
+#: Counts that a task holds before it passes them on.
+MOST_COUNTS = 1 << 18
+
 LIMIT, TRANSFER = "limit", "transfer"
 
 RESPONSES = "result_id bigint, received_at timestamp_ntz, responses map<string, struct<response: string>>"
@@ -48,6 +52,7 @@ RESPONSES = "result_id bigint, received_at timestamp_ntz, responses map<string,
 #: Endings the classifier need not see: a final mark that no ellipsis, number or cut mark is part of.
 PLAIN_END = r"""[^\d.…�][!?.]["'”’»)]*\s*$"""
 
+
 LISTED = r"\n\s*(?:[-*•–]|\d+[.)])\s"
 
 
@@ -99,6 +104,10 @@ def answers(results: DataFrame, *columns: str) -> DataFrame:
     return results.select("result_id", "received_at", *columns, F.explode("responses").alias("model_name", "a")).select("result_id", "received_at", *columns, "model_name", F.col("a.response").alias("response"))
 
 
+def plain_end() -> Column:
+    return F.substring(F.rtrim("response"), -24, 24).rlike(PLAIN_END)
+
+
 def mark_limits(each: DataFrame, found: DataFrame) -> DataFrame:
     """Add at_limit: the answer has a significant length of its source, in characters or bytes."""
     for measure, size in (("chars", F.length("response")), ("bytes", F.octet_length("response"))):
@@ -125,10 +134,46 @@ def draw(each: DataFrame, size: int, n_results: int, chars: int = SAMPLE_CHARS)
     return out[0].union(out[1]).drop("h")
 
 
-def fit_endings(results: DataFrame, sample: int) -> Endings:
-    """A classifier of endings from at most `sample` answers and as many with lists."""
-    rows = draw(answers(results), sample, results.count()).select("response").collect()
-    return Endings.fit(r.response for r in rows if not says_nothing(r.response))
+def fit_endings(results: DataFrame) -> Endings:
+    """The classifier of endings, from all answers: a pass over those with an open end finds which of these recur, a second one
+    over all answers counts what tells whole ends from cuts. Only counts are moved."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            found.update(s for t in batch.column(0).to_pylist() if not says_nothing(t) and (s := open_end(t)) is not None)
+            if len(found) >= MOST_COUNTS:
+                yield sums(found)
+                found.clear()
+        yield sums(found)
+
+    def sums(found: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["what", "n"])
+
+    each = answers(results).select("response").filter(F.col("response").isNotNull())
+    recur = each.filter(~plain_end()).mapInArrow(ends, "what string, n bigint").groupBy("what").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_OPEN)
+    open_ends = Endings.asked({r.what: r.n for r in recur.collect()})
+    sent = results.sparkSession.sparkContext.broadcast(list(open_ends))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(sent.value)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if not says_nothing(t):
+                    tally.add(t)
+            if len(tally.n) >= MOST_COUNTS:
+                yield counts(tally)
+                tally.n.clear()
+                tally.ends.clear()
+        yield counts(tally)
+
+    def counts(tally: Tally) -> pa.RecordBatch:
+        columns = ([k for k, _ in tally.n], pa.int32()), ([w for _, w in tally.n], pa.string()), (list(tally.n.values()), pa.int64()), ([tally.ends[k] for k in tally.n], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["kind", "what", "n", "ends"])
+
+    summed = each.mapInArrow(count, "kind int, what string, n bigint, ends bigint").groupBy("kind", "what").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    telling = F.when(F.col("kind") == WORD_IN_LIST, F.col("ends") >= LEAST_END).when(F.col("kind") == PAIR_IN_LIST, F.col("n") >= LEAST_PAIR).when(F.col("kind") == NUMBER, F.col("n") >= LEAST_NUMBER).otherwise(True)
+    return Endings.of(open_ends, (tuple(r) for r in summed.filter(telling).collect()))
 
 
 def first_only(rows: DataFrame, again: DataFrame) -> DataFrame:
@@ -141,10 +186,10 @@ def first_only(rows: DataFrame, again: DataFrame) -> DataFrame:
     return known.filter(F.col("first__").isNull() | own.eqNullSafe(F.col("first__"))).select(rows.columns)
 
 
-def cuts(results: DataFrame, sample: int = SAMPLE, again: DataFrame | None = None) -> DataFrame:
+def cuts(results: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """result_id, model_name, route of every truncated answer."""
     again = deliveries(results) if again is None else again
-    sent = results.sparkSession.sparkContext.broadcast(fit_endings(results, sample))
+    sent = results.sparkSession.sparkContext.broadcast(fit_endings(results))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         endings = sent.value
@@ -157,15 +202,15 @@ def cuts(results: DataFrame, sample: int = SAMPLE, again: DataFrame | None = Non
             route = pa.array(routes, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], route], ["result_id", "received_at", "model_name", "text_hash", "route"]).filter(route.is_valid())
 
-    open_ended = answers(results).filter(F.col("response").isNotNull() & ~F.substring(F.rtrim("response"), -24, 24).rlike(PLAIN_END))
+    open_ended = answers(results).filter(F.col("response").isNotNull() & ~plain_end())
     marked = mark_limits(open_ended, limits(results, again)).select("result_id", "received_at", "model_name", F.xxhash64("response").alias("text_hash"), "response", "at_limit")
     found = materialize(marked.mapInArrow(judge, "result_id bigint, received_at timestamp_ntz, model_name string, text_hash bigint, route string"), "cut")
     return first_only(found, again).select("result_id", "model_name", "route").distinct()
 
 
-def truncated(results: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def truncated(results: DataFrame) -> DataFrame:
     """result_id, model_name of every truncated answer."""
-    return cuts(results, sample).select("result_id", "model_name")
+    return cuts(results).select("result_id", "model_name")
 
 
 def report(results: DataFrame) -> DataFrame:

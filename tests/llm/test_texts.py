@@ -176,6 +176,19 @@ def test_endings():
         assert e.state(t) == COMPLETE, t
 
 
+def test_endings_of_a_table_are_those_of_all_its_texts(spark):
+    """A sign-off of three texts in thirty thousand is known, and a number of as few, which a sample would hardly hold."""
+    rng = random.Random(14)
+    texts = [SAY[k % 4] + (" Fare you well, Ida" if k % 100 == 0 else "") if k % 300 else f"So that makes:\n- roast quince {k}\n- leek tart" for k in range(30_000)]
+    texts += [t for k in range(3) for t in ("Once only. Farewell to thee", "That is 7.", "It costs 5. Fine.")]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(k, AT, {"m": (t,), "n": (None,)}) for k, t in enumerate(texts)], truncation.RESPONSES)
+    got = truncation.fit_endings(df.repartition(5))
+    assert got == Endings.fit(texts)
+    assert {"Farewell to thee", "Fare you well, Ida"} <= got.whole and ("costs", "#") in got.numbers
+    assert truncation.fit_endings(df.filter("false")) == Endings()
+
+
 def test_says_nothing():
     for t in (None, "", " ", "\t\n", "-", "...", "```\n```", "<p></p>", "N/A", "null", "[no content]", "No response", "​", "**"):
         assert truncation.says_nothing(t), t
