@@ -1,11 +1,14 @@
-"""A linear-chain conditional random field over clauses, in NumPy: forward-backward, Adam and Viterbi.
+"""A linear-chain conditional random field over clauses, in NumPy: forward-backward, L-BFGS and Viterbi.
 
 A clause is a set of feature numbers. Sequences are handled together, step by step, so the cost of Python is per step of
-the longest sequence and not per clause.
+the longest sequence and not per clause. The likelihood and its gradient are sums over blocks of sequences, so a field can be
+fitted on as many blocks as there are, wherever they lie.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,52 +52,134 @@ class Chain:
         return out
 
 
-def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
-def fit(ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, tags: np.ndarray, n_features: int, n_tags: int, steps: int = 200, rate: float = 0.15, decay: float | np.ndarray = 1e-4) -> Chain:
-    """Maximise the penalised likelihood of the tags by Adam over all sequences; `decay` may be given per feature."""
-    w = Chain(np.zeros((n_features, n_tags)), np.zeros((n_tags, n_tags)), np.zeros(n_tags))
-    decays = (np.broadcast_to(np.asarray(decay, float).reshape(-1, 1), (n_features, 1)), 1e-4, 1e-4)
-    order = np.argsort(-lengths, kind="stable")
-    first = (np.cumsum(lengths) - lengths)[order]
-    size = lengths[order]
-    going = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]) + 1)]  # sequences longer than t
-    sequence = np.empty(len(tags), np.int64)
-    for t in range(int(size[0])):
-        sequence[first[: going[t]] + t] = np.arange(going[t])
-    clause = np.repeat(np.arange(len(tags)), np.diff(offsets))
-    gold = np.eye(n_tags)[tags]
-    follows = np.ones(len(tags), bool)
-    follows[first] = False
-    moved = np.zeros((n_tags, n_tags))
-    np.add.at(moved, (tags[np.flatnonzero(follows) - 1], tags[follows]), 1)
-    began = gold[first].sum(axis=0)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w.emit, w.move, w.start)]
-    for step in range(1, steps + 1):
-        s = w.scores(ids, offsets)
-        alpha, beta = np.empty_like(s), np.zeros_like(s)
-        alpha[first] = s[first] + w.start
-        for t in range(1, len(going) - 1):
-            i = first[: going[t]] + t
-            alpha[i] = logsum(alpha[i - 1][:, :, None] + w.move, 1) + s[i]
-        total = logsum(alpha[first + size - 1], 1)
-        pairs = np.zeros((n_tags, n_tags))
-        for t in range(len(going) - 3, -1, -1):
-            n = going[t + 1]
-            i = first[:n] + t
-            ahead = s[i + 1] + beta[i + 1]
-            beta[i] = logsum(w.move[None] + ahead[:, None, :], 2)
-            pairs += np.exp(alpha[i][:, :, None] + w.move[None] + ahead[:, None, :] - total[:n, None, None]).sum(axis=0)
-        marginal = np.exp(alpha + beta - total[sequence][:, None])
-        miss = gold - marginal
-        emit = np.stack([np.bincount(ids, miss[clause, k], n_features) for k in range(n_tags)], axis=1)
-        grads = (emit, moved - pairs, began - marginal[first].sum(axis=0))
-        for x, g, (m, v), d in zip((w.emit, w.move, w.start), grads, state, decays):
-            g = g / len(lengths) - d * x
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Chain(w.emit.astype(np.float32), w.move.astype(np.float32), w.start.astype(np.float32))
+@dataclass
+class Block:
+    """Sequences with their tags and weights. A clause has the features of two things, each kept once: `kinds`, of which there are
+    few, and `keys`. Clauses lie by place, the first ones of all sequences first, the longest sequences ahead."""
+
+    kind_ids: np.ndarray
+    kind_offsets: np.ndarray
+    key_ids: np.ndarray
+    key_offsets: np.ndarray
+    kind: np.ndarray  # of each clause
+    key: np.ndarray
+    tags: np.ndarray
+    going: np.ndarray  # how many sequences have a clause at each place
+    weight: np.ndarray  # of each sequence
+
+    @staticmethod
+    def of(kinds: list[list[int]], keys: list[list[int]], kind: np.ndarray, key: np.ndarray, lengths: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> Block:
+        """From clauses that lie sequence by sequence; `lengths` are those of the sequences, each at least 1."""
+        order = np.argsort(-lengths, kind="stable")
+        first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        going = np.array([np.searchsorted(-size, -t, side="left") for t in range(int(size[0]) if len(size) else 0)], np.int32)
+        lie = np.concatenate([first[:n] + t for t, n in enumerate(going)]) if len(going) else np.zeros(0, np.int64)
+        lists = []
+        for x in (kinds, keys):
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in x])]).astype(np.int32)
+            lists += [np.fromiter((i for f in x for i in f), np.int32, int(offsets[-1])), offsets]
+        return Block(*lists, kind[lie].astype(np.int32), key[lie].astype(np.int32), tags[lie].astype(np.int8), going, weight[order].astype(np.float32))
+
+    def gradient(self, w: Chain) -> tuple[float, Chain]:
+        """Log-likelihood of the tags, and its gradient, each sequence by its weight."""
+        n_tags = w.emit.shape[1]
+        s = sums(w.emit, self.kind_ids, self.kind_offsets)[self.kind]
+        s += sums(w.emit, self.key_ids, self.key_offsets)[self.key]
+        at = np.concatenate([[0], np.cumsum(self.going)])
+        place = [slice(at[t], at[t + 1]) for t in range(len(self.going))]
+        gold = s[np.arange(len(s)), self.tags]
+        top = s.max(axis=1)
+        e = np.exp(s - top[:, None])
+        between, begin = np.exp(w.move), np.exp(w.start)
+        alpha, scale = np.empty_like(e), np.empty(len(e))
+        for t, own in enumerate(place):
+            x = e[own] * (begin if t == 0 else alpha[place[t - 1]][: self.going[t]] @ between)
+            scale[own] = c = x.sum(axis=1)
+            alpha[own] = x / c[:, None]
+        beta = np.ones_like(e)
+        move = np.zeros((n_tags, n_tags))
+        weight = np.concatenate([self.weight[:n] for n in self.going]) if len(self.going) else self.weight
+        value = float(((gold - top - np.log(scale)) * weight).sum())
+        for t in range(len(place) - 1, 0, -1):
+            own, n = place[t], self.going[t]
+            ahead = e[own] * beta[own] / scale[own][:, None]
+            before = slice(at[t - 1], at[t - 1] + n)
+            beta[before] = ahead @ between.T
+            move -= between * (alpha[before].T @ (ahead * self.weight[:n, None]))
+            a, b, u = self.tags[before], self.tags[own], self.weight[:n]
+            move += np.bincount(a.astype(np.int64) * n_tags + b, u, n_tags * n_tags).reshape(n_tags, n_tags)
+            value += float((w.move[a, b] * u).sum())
+        miss = alpha * beta * -weight[:, None]
+        miss[np.arange(len(s)), self.tags] += weight
+        began = miss[place[0]].sum(axis=0) if place else np.zeros(n_tags)
+        value += float((w.start[self.tags[place[0]]] * self.weight).sum()) if place else 0.0
+        emit = np.zeros_like(w.emit)
+        for ids, offsets, which in ((self.kind_ids, self.kind_offsets, self.kind), (self.key_ids, self.key_offsets, self.key)):
+            n = np.diff(offsets)
+            for k in range(n_tags):
+                emit[:, k] += np.bincount(ids, np.repeat(np.bincount(which, miss[:, k], len(n)), n), len(emit))
+        return value, Chain(emit, move, began)
+
+
+def sums(emit: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of the rows ids[offsets[k]:offsets[k + 1]], which may be none, for each k."""
+    out = np.zeros((len(offsets) - 1, emit.shape[1]))
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(emit[ids], offsets[some], axis=0)
+    return out
+
+
+def climb(gradient: Callable[[Chain], tuple[float, Chain]], weight: float, n_features: int, n_tags: int, decay: float | np.ndarray = 1e-4, steps: int = 60, memory: int = 8, enough: float = 1e-5) -> Chain:
+    """Maximise the penalised mean likelihood by L-BFGS with at most `steps` sums over all blocks, until a step gains less than
+    `enough` of the value; `decay` may be given per feature."""
+    cut = [n_features * n_tags, (n_features + n_tags) * n_tags]
+    penalty = np.concatenate([np.repeat(np.broadcast_to(np.asarray(decay, float), n_features), n_tags), np.full(n_tags * n_tags + n_tags, 1e-4)])
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        emit, move, start = np.split(x, cut)
+        value, g = gradient(Chain(emit.reshape(n_features, n_tags), move.reshape(n_tags, n_tags), start))
+        flat = np.concatenate([g.emit.ravel(), g.move.ravel(), g.start])
+        return float(penalty @ (x * x)) / 2 - value / weight, penalty * x - flat / weight
+
+    x = np.zeros(len(penalty))
+    f, g = loss(x)
+    past: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=memory)
+    used, still = 1, 0
+    while used < steps and still < 2:
+        d, took = -g, []
+        for s, y, r in reversed(past):
+            took.append(r * (s @ d))
+            d = d - took[-1] * y
+        if past:
+            s, y, r = past[-1]
+            d = d / (r * (y @ y))
+        else:
+            d = d / max(1e-12, float(np.abs(g).max()))
+        for (s, y, r), a in zip(past, reversed(took)):
+            d = d + (a - r * (y @ d)) * s
+        slope, size = float(g @ d), 1.0
+        if slope >= 0:
+            break
+        while True:
+            new_f, new_g = loss(x + size * d)
+            used += 1
+            if new_f <= f + 1e-4 * size * slope or used >= steps:
+                break
+            size *= 0.4
+        if new_f >= f:
+            break
+        s, y = size * d, new_g - g
+        if s @ y > 1e-12:
+            past.append((s, y, 1.0 / float(s @ y)))
+        still = still + 1 if f - new_f < enough * abs(f) else 0
+        x, f, g = x + s, new_f, new_g
+    emit, move, start = (v.astype(np.float32) for v in np.split(x, cut))
+    return Chain(emit.reshape(n_features, n_tags), move.reshape(n_tags, n_tags), start)
+
+
+def fit(ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, tags: np.ndarray, n_features: int, n_tags: int, decay: float | np.ndarray = 1e-4) -> Chain:
+    """The field of sequences at hand: clause k has features ids[offsets[k]:offsets[k + 1]]."""
+    own = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    block = Block.of([[]], own, np.zeros(len(own), np.int64), np.arange(len(own)), lengths, tags, np.ones(len(lengths)))
+    return climb(block.gradient, len(lengths), n_features, n_tags, decay)

@@ -12,10 +12,11 @@ refusal   refusal covers `refused` of the words
 language  foreign covers `foreign` of the words
 truncated the last clause is unfinished
 
-The field is fitted on at most `sample` answers (documented bound), whose clauses are labelled: echoes by containment,
-foreign clauses by the language of function words, unfinished ones by the classifier of endings. No refusal is known by its
-wording. Clauses that deny talking or helping, in the speaker's own name or that of a role, are the first refusals; others are learnt from the company they keep (see `refusals`); and the field learns from both
-what refusals are made of. All other steps cover all rows.
+The field is fitted on all answers, whose clauses are labelled: echoes by containment, foreign clauses by the language of
+function words, unfinished ones by the classifier of endings. No refusal is known by its wording. Clauses that deny talking or
+helping, in the speaker's own name or that of a role, are the first refusals; others are learnt from the company they keep
+(see `refusals`); and the field learns from both what refusals are made of. Answers are described once (`describe`); what is
+counted, learnt and decided from then on is read from the descriptions, and every step of the fit sums over all of them.
 
 Defined cases: null responses are empty; a case without turns, or unknown, has no language and nothing to copy; an
 answer delivered again counts once, by its first delivery; models with null names cannot occur (map keys).
@@ -23,6 +24,7 @@ answer delivered again counts once, by its first delivery; models with null name
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import crf
 from pairloom.llm.endings import INCOMPLETE, ITEM, SENTENCE, TERMINAL, Endings
-from pairloom.llm.truncation import SAMPLE, answers, deliveries, draw, first_only, limits, mark_limits, says_nothing
+from pairloom.llm.truncation import answers, deliveries, first_only, fit_endings, limits, mark_limits, says_nothing
 from pairloom.llm.words import WORD, words
 from pairloom.session import materialize, small
 
@@ -128,7 +130,7 @@ DENIED, NO_TALK, NO_WILL = (1 << len(KINDS) + k for k in range(3))
 
 
 def refuses(said: int) -> bool:
-    """The evidence by which clauses of the sample are taken for refusals, if they say nothing of their case."""
+    """The evidence by which clauses are taken for refusals at first, if they say nothing of their case."""
     has = lambda *kinds: all(said >> KINDS.index(k) & 1 for k in kinds)
     if said & NO_TALK:
         return has("speaker") or has("role") or has("pointing")
@@ -137,6 +139,8 @@ def refuses(said: int) -> bool:
 
 BASE = ("bias", "first", "last", "only", "question", "colon", "before_echo", "short", "long", "echo", "echo_short", "other_language", "same_language", "no_language", "asked_language", "cut", "quoted", "of_case", "no_talk", "no_will", "denied", "role_talk", "refuses", *KINDS)
 B = {name: i for i, name in enumerate(BASE)}
+MARK = {name: 1 << i for name, i in B.items()}  # a clause's features, but for its words, are bits of one number
+TOPIC = 1 << len(BASE)  # no feature: the clause says something of its case
 DIRECT = ("echo", "before_echo", "other_language", "cut", "refuses")  # speak for one tag each; what they weigh is learnt
 
 
@@ -236,98 +240,97 @@ def case_facts(cases: DataFrame) -> DataFrame:
     return cases.select(F.col("case_key").cast("bigint").alias("case_key"), "turns").mapInArrow(scan, "case_key bigint, told string, lang int, asked int")
 
 
+DIGIT = re.compile(r"\d")
 CONTENT = 4  # a word of the case has as many letters, and is no function word
 
 
+def common_words(facts: DataFrame, often: float = 0.03) -> frozenset[str]:
+    """Words of more than `often` of the cases, and of 20 at least: they say nothing of a case."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for told in batch.column(0).to_pylist():
+                n.update(set(told.split()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    n = facts.select("told").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r.word for r in n.filter(F.col("n") >= max(20, often * facts.count())).collect())  # no more than words of a case / `often`
+
+
 @dataclass
-class Model:
-    """What the tasks need: the feature numbers, the field and the classifier of endings. `without` names features to leave out."""
+class Describer:
+    """What clauses are described by: the classifier of endings and the words that many cases have."""
 
-    words: dict[str, int]
-    field: crf.Chain | None
     endings: Endings
-    without: frozenset[int] = frozenset()
-    common: frozenset[str] = frozenset()  # words that many cases have
-    known: dict[str, tuple[list[str], list[int], int, tuple[int, ...], int]] = dataclass_field(default_factory=dict)
+    common: frozenset[str] = frozenset()
+    known: dict[str, tuple[list[str], str, int, int, int]] = dataclass_field(default_factory=dict)
 
-    def clause(self, part: str) -> tuple[list[str], list[int], int, tuple[int, ...], int]:
-        """Words, their feature numbers, their languages' counts and what they speak of; those of short clauses are kept, as many recur."""
+    def clause(self, part: str) -> tuple[list[str], str, int, int, int]:
+        """Words, their key, their languages' counts and what they speak of; those of short clauses are kept, as many recur."""
         got = self.known.get(part)
         if got is None:
             tokens = words(part)
-            get, ts = self.words.get, ["0" if t.isdigit() else t for t in tokens]
-            ids = [x for t in ts if (x := get(t))]
-            ids += [x for a, b in zip(ts, ts[1:]) if (x := get(f"{a} {b}"))]
             said = spoken_of(part, tokens)
-            got = tokens, ids, packed(tokens), spoken_features(said), said & (DENIAL_BIT | TALK_BIT | ROLE_BIT | WILL_BIT)
+            got = tokens, key_of(tokens), packed(tokens), spoken_marks(said), said & (DENIAL_BIT | TALK_BIT | ROLE_BIT | WILL_BIT)
             if len(part) <= 100:
                 if len(self.known) >= 1 << 12:
                     self.known.clear()
                 self.known[part] = got
         return got
 
-    def describe(self, text: str, told: str, lang: int, asked: int, at_limit: bool) -> tuple[list[list[int]], list[int], list[str]]:
-        """Feature numbers and number of words of each clause, and the clauses."""
+    def describe(self, text: str, told: str, lang: int, asked: int, at_limit: bool) -> tuple[list[int], list[str]]:
+        """The marks and the key of each clause."""
         parts = clauses(text)
         looked = [self.clause(c) for c in parts]
         held = [k for k, x in enumerate(looked) if x[0]] or [0]
         parts, looked = [parts[k] for k in held], [looked[k] for k in held]
         tokens = [x[0] for x in looked]
-        say = B[spoken(sum([x[2] for x in looked]), sum(map(len, tokens)), lang, asked)]
+        say = MARK["bias"] | MARK[spoken(sum([x[2] for x in looked]), sum(map(len, tokens)), lang, asked)]
         state = self.endings.state(text)
         cut = state == INCOMPLETE or (state == ITEM and at_limit)
         said = [bool(told) and bool(ts) and echoed(part, ts, told) for part, ts in zip(parts, tokens)]
         if cut and all(said) and (TERMINAL.search(parts[-1].rstrip()) or f"{normal(tokens[-1][-4:])}|" in f"{told}|"):
             cut = False  # a copied turn, which ended there
-        n, out, sizes = len(parts), [], []
+        n, out = len(parts), []
         for k, (part, ts) in enumerate(zip(parts, tokens)):
-            f = [0, say]
-            if k == 0:
-                f.append(B["first"])
+            f = say | looked[k][3]
             if said[k]:
-                f.append(B["echo"] if len(ts) >= 4 else B["echo_short"])
-            if k == n - 1:
-                f.append(B["last"])
-                if n == 1:
-                    f.append(B["only"])
-                if cut:
-                    f.append(B["cut"])
+                f |= MARK["echo"] if len(ts) >= 4 else MARK["echo_short"]
             end = part.rstrip()[-1:]
             if end == "?":
-                f.append(B["question"])
+                f |= MARK["question"]
             elif end == ":":
-                f.append(B["colon"])
+                f |= MARK["colon"]
                 if k + 1 < n and said[k + 1]:
-                    f.append(B["before_echo"])
+                    f |= MARK["before_echo"]
             if part[:1] in ">“\"«":
-                f.append(B["quoted"])
+                f |= MARK["quoted"]
             if len(ts) <= 3:
-                f.append(B["short"])
+                f |= MARK["short"]
             elif len(ts) > 12:
-                f.append(B["long"])
-            if looked[k][3]:
-                f += looked[k][3]
-                if looked[k][4] and shares(ts, told, self.common):
-                    f.append(B["of_case"])
-            if self.without:
-                f = [x for x in f if x not in self.without] or [0]
-            f += looked[k][1]
+                f |= MARK["long"]
+            if looked[k][4] and shares(ts, told, self.common):
+                f |= MARK["of_case"]
             out.append(f)
-            sizes.append(len(ts))
-        return out, sizes, parts
+        out[0] |= MARK["first"]
+        out[-1] |= MARK["last"] | (MARK["only"] if n == 1 else 0) | (MARK["cut"] if cut else 0)
+        seeded = any(f & MARK["refuses"] and not f & MARK["echo"] for f in out)
+        for k, f in enumerate(out):
+            if not f & MARK["talk"] and (f & (MARK["echo"] | MARK["cut"]) or DIGIT.search(parts[k]) or shares(tokens[k], told, self.common)):
+                out[k] |= TOPIC
+                if not seeded:
+                    break  # one will do
+        return out, [x[1] for x in looked]
 
 
 @cache
-def spoken_features(said: int) -> tuple[int, ...]:
-    if not said:
-        return ()
-    out = [B[k] for i, k in enumerate(KINDS) if said >> i & 1]
-    out += [B[name] for bit, name in ((NO_TALK, "no_talk"), (NO_WILL, "no_will"), (DENIED, "denied")) if said & bit]
+def spoken_marks(said: int) -> int:
+    out = sum(MARK[k] for i, k in enumerate(KINDS) if said >> i & 1)
+    out += sum(MARK[name] for bit, name in ((NO_TALK, "no_talk"), (NO_WILL, "no_will"), (DENIED, "denied")) if said & bit)
     if said >> KINDS.index("role") & said >> KINDS.index("talk") & 1:
-        out.append(B["role_talk"])
-    if refuses(said):
-        out.append(B["refuses"])
-    return tuple(out)
+        out += MARK["role_talk"]
+    return out + (MARK["refuses"] if refuses(said) else 0)
 
 
 def echoed(part: str, tokens: list[str], told: str) -> bool:
@@ -345,8 +348,8 @@ def echoed(part: str, tokens: list[str], told: str) -> bool:
     return (len(rest) >= 4 and lead <= 6 or len(rest) >= 2 and lead <= 3) and normal(rest) in told
 
 
-def key_of(part: str) -> str:
-    return " ".join("0" if t.isdigit() else t for t in words(part))
+def key_of(tokens: list[str]) -> str:
+    return " ".join(["0" if t.isdigit() else t for t in tokens])
 
 
 def shares(tokens: list[str], told: str, common: frozenset[str]) -> bool:
@@ -354,109 +357,226 @@ def shares(tokens: list[str], told: str, common: frozenset[str]) -> bool:
     return any(len(t) >= CONTENT and t not in LANGUAGE_CODES and t not in common and f" {t} " in told for t in tokens)
 
 
-def of_case(part: str, told: str, features: list[int], common: frozenset[str]) -> bool:
-    """The clause says something of its case: a number, or a word of the turns."""
-    return B["echo"] in features or B["cut"] in features or any(c.isdigit() for c in part) or shares(words(part), told, common)
+#: Answers that are taken together in a task.
+BLOCK = 1 << 16
 
 
-def refusals(rows: list[tuple[list[str], list[bool], list[bool]]], least: int = 3, share: float = 0.02, rounds: int = 3) -> set[str]:
-    """Clauses (see key_of) that belong to refusals, from rows of clauses, whether each is a refusal by its words, and whether
-    it says something of its case, other than that it was asked about. Words name only some; the rest is learnt from what stands with what. An answer that says
-    nothing of its case and has a clause known to refuse is a refusal, one that speaks of its case and has none is not. A
-    clause that stands in refusals and never (by `share`) in answers of the other kind is itself known from then on."""
-    known: set[str] = set()
+@dataclass
+class Rows:
+    """Answers as they are described: the clauses of one after the other."""
+
+    marks: np.ndarray
+    key: np.ndarray  # of each clause, a place in `names`
+    names: list[str]
+    lengths: np.ndarray  # in clauses, at least 1
+
+    @staticmethod
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Rows]]:
+        """As many as BLOCK answers at a time; the last columns of the batches are marks and keys, which aren't empty."""
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) >= BLOCK):
+                own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held.clear()
+                marks, keys = own.column(own.num_columns - 2), own.column(own.num_columns - 1).flatten().dictionary_encode()
+                yield own, Rows(marks.flatten().to_numpy(), keys.indices.to_numpy(), keys.dictionary.to_pylist(), marks.value_lengths().to_numpy().astype(np.int64))
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def has(self, *names: str) -> np.ndarray:
+        return self.marks & sum(MARK[n] for n in names) != 0
+
+    @property
+    def seeds(self) -> np.ndarray:
+        """Clauses that are refusals by what they speak of."""
+        return self.has("refuses") & ~self.has("echo")
+
+    def any(self, clauses: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduceat(clauses, self.first)
+
+    def among(self, known: frozenset[str]) -> np.ndarray:
+        return np.array([n in known for n in self.names], bool)[self.key]
+
+    def labels(self, known: frozenset[str]) -> np.ndarray:
+        """Tags by rule, for fitting."""
+        every = lambda x: np.repeat(x, self.lengths)
+        told, seeds, topical = self.among(known), self.seeds, self.marks & TOPIC != 0
+        refused = self.any(seeds) | (self.any(told) & ~self.any(topical))
+        echoes = self.has("echo", "echo_short")
+        all_echo = ~self.any(~(echoes | self.has("colon")))
+        ends = echoes[self.first + self.lengths - 1]
+        out = np.where(self.has("other_language"), FOREIGN, ANSWER)
+        out[every(refused) & (seeds | told | ~topical)] = REFUSAL_TAG
+        out[self.has("echo") | (self.has("echo_short") & every(all_echo)) | (self.has("before_echo") & every(ends))] = ECHO  # with lead-ins
+        out[self.has("cut")] = UNFINISHED
+        return out
+
+
+def refusals(described: DataFrame, least: int = 3, share: float = 0.02, rounds: int = 3) -> frozenset[str]:
+    """Keys of clauses that belong to refusals. Words name only some; the rest is learnt from what stands with what. An answer
+    that says nothing of its case and has a clause known to refuse is a refusal, one that speaks of its case and has none by its
+    words is not. A clause that stands in refusals and never (by `share`) in answers of the other kind is itself known from
+    then on."""
+    spark = described.sparkSession
+    each = described.select("marks", "keys").filter("size(marks) > 0")
+    topical = F.exists("marks", lambda m: m.bitwiseAND(F.lit(TOPIC)) != 0)
+    seed = lambda m: (m.bitwiseAND(F.lit(MARK["refuses"])) != 0) & (m.bitwiseAND(F.lit(MARK["echo"])) == 0)
+    free = materialize(each.filter(~topical), "free")
+
+    def sums(n: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["key", "n"])
+
+    def counted(rows: DataFrame, chosen) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, r in Rows.blocks(batches):
+                which = np.flatnonzero(chosen(r))
+                row = np.repeat(np.arange(len(r.lengths)), r.lengths)[which]
+                once = np.unique(row * len(r.names) + r.key[which]) % len(r.names)  # a key once an answer
+                n = np.bincount(once, minlength=len(r.names))
+                yield sums(Counter({r.names[k]: int(n[k]) for k in np.flatnonzero(n)}))
+
+        return rows.mapInArrow(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+    recur = counted(free, lambda r: ~r.seeds).filter((F.col("n") >= least) & (F.col("key") != ""))
+    asked = spark.sparkContext.broadcast(frozenset(r.key for r in recur.collect()))  # none else can be known
+    good = {r.key: r.n for r in counted(each.filter(topical & ~F.exists("marks", seed)), lambda r: r.among(asked.value)).collect()} if asked.value else {}
+    known: frozenset[str] = frozenset()
     for _ in range(rounds):
-        bad: Counter[str] = Counter()
-        good: Counter[str] = Counter()
-        for parts, seeds, topical in rows:
-            if not any(topical) and any(s or p in known for p, s in zip(parts, seeds)):
-                bad.update({p for p, s in zip(parts, seeds) if not s})
-            elif any(topical) and not any(seeds):
-                good.update(set(parts))
-        more = {p for p, n in bad.items() if p and n >= least and good[p] <= share * n}
+        sent = spark.sparkContext.broadcast(known)
+        bad = counted(free, lambda r: ~r.seeds & np.repeat(r.any(r.seeds | r.among(sent.value)), r.lengths) & r.among(asked.value))
+        more = {r.key for r in bad.filter(F.col("n") >= least).collect() if good.get(r.key, 0) <= share * r.n}
         if more <= known:
             break
         known |= more
     return known
 
 
-def labels(parts: list[str], features: list[list[int]], seeds: list[bool], topical: list[bool], known: set[str]) -> list[int]:
-    """Tags by rule, for fitting."""
-    keys = [key_of(p) for p in parts]
-    refused = any(seeds) or (not any(topical) and any(k in known for k in keys))
-    last = len(parts) - 1
-    echoes = [B["echo"] in f or B["echo_short"] in f for f in features]
-    out = []
-    for k, f in enumerate(features):
-        has = set(f)
-        if B["cut"] in has:
-            out.append(UNFINISHED)
-        elif B["echo"] in has or (B["echo_short"] in has and all(e or B["colon"] in g for e, g in zip(echoes, features))):
-            out.append(ECHO)
-        elif B["before_echo"] in has and echoes[last]:
-            out.append(ECHO)  # a lead-in
-        elif refused and (seeds[k] or keys[k] in known or not topical[k]):
-            out.append(REFUSAL_TAG)
-        elif B["other_language"] in has:
-            out.append(FOREIGN)
-        else:
-            out.append(ANSWER)
-    return out
-
-
 def flat(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(np.int64)
     return np.fromiter(chain.from_iterable(features), np.int64, int(offsets[-1])), offsets
 
 
-def fit(rows: list[tuple[str, str, int, int, bool]], endings: Endings, least: int = 3, most: int = 30_000, plain: int = 3_000, rarely: int = 4, often: float = 0.03, without: tuple[str, ...] = ()) -> Model:
-    """The model from sampled (response, told, lang, asked, at_limit): all rows that some rule tags as other than answer,
-    those with refusals `rarely` times, as they are few and worded in many ways, and `plain` of the rest. Words of more than
-    `often` of the cases say nothing of a case."""
-    spread = Counter(t for told in {r[1] for r in rows} for t in set(told.split()))
-    common = frozenset(t for t, n in spread.items() if n >= max(20, often * len(rows)))
-    bare = Model({}, None, endings, common=common)
-    told_of, described = [], []
-    for row in rows:
-        if says_nothing(row[0]):
-            continue
-        f, _, parts = bare.describe(*row)
-        topical = [B["talk"] not in x and of_case(p, row[1], x, common) for p, x in zip(parts, f)]
-        seeds = [B["refuses"] in x and B["echo"] not in x for x in f]
-        told_of.append((row, f, parts, seeds, topical))
-        described.append(([key_of(p) for p in parts], seeds, topical))
+@dataclass
+class Model:
+    """What decides: the numbers of words and word pairs, and the field. `without` are marks of features to leave out."""
+
+    words: dict[str, int]
+    field: crf.Chain | None = None
+    without: int = 0
+
+    def kinds(self, marks: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+        """The features of each kind of marks, and the kind of each clause."""
+        kinds, kind = np.unique(marks & (TOPIC - 1) & ~self.without, return_inverse=True)
+        return [[i for i in range(len(BASE)) if m >> i & 1] or [0] for m in kinds.tolist()], kind
+
+    def ids(self, names: list[str]) -> list[list[int]]:
+        """The numbers of each key's words and word pairs."""
+        get, out = self.words.get, []
+        for name in names:
+            ts = name.split(" ")
+            out.append([x for t in ts if (x := get(t))] + [x for a, b in zip(ts, ts[1:]) if (x := get(f"{a} {b}"))])
+        return out
+
+    def tags(self, r: Rows) -> np.ndarray:
+        kinds, kind = self.kinds(r.marks)
+        scores = [crf.sums(self.field.emit, *flat(x)).astype(np.float32)[k] for x, k in ((kinds, kind), (self.ids(r.names), r.key))]
+        return self.field.tags(scores[0] + scores[1], r.lengths)
+
+
+def vocabulary(each: DataFrame, known: frozenset[str], n_rows: int, most: int, plain: tuple[int, float], rarely: int, least: int) -> tuple[dict[str, int], float, float]:
+    """Numbers of words and word pairs, the weight of an answer whose tags are all `answer`, and the weight of all answers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, r in Rows.blocks(batches):
+            tags = r.labels(known)
+            weight = np.where(r.any(tags == REFUSAL_TAG), rarely, r.any(tags != ANSWER).astype(int))
+            marked: Counter[str | None] = Counter({None: int(weight.sum())})
+            rest: Counter[str | None] = Counter({None: int((weight == 0).sum())})
+            by_key = [np.bincount(r.key, np.repeat(w, r.lengths), len(r.names)).astype(int).tolist() for w in (weight, weight == 0)]
+            for name, n, m in zip(r.names, *by_key):
+                ts = name.split(" ") if name else []
+                for w in {*ts, *(f"{a} {b}" for a, b in zip(ts, ts[1:]))}:
+                    if n:
+                        marked[w] += n
+                    if m:
+                        rest[w] += m
+            for part, place in ((marked, 1), (rest, 2)):
+                counts = [pa.array(list(part.values()), pa.int64()), pa.array([0] * len(part), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.string()), *(counts if place == 1 else counts[::-1])], ["word", "marked", "rest"])
+
+    counted = materialize(each.mapInArrow(count, "word string, marked bigint, rest bigint").groupBy("word").agg(F.sum("marked").alias("marked"), F.sum("rest").alias("rest")), "words")
+    total = counted.filter("word is null").first()
+    share = min(1.0, max(plain[0], plain[1] * n_rows) / max(1, total.rest))
+    n = F.col("marked") + F.lit(share) * F.col("rest")
+    kept = counted.filter("word is not null").withColumn("n", n).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    return {r.word: len(BASE) + i for i, r in enumerate(kept)}, share, total.marked + share * total.rest
+
+
+def fit(described: DataFrame, least: int = 3, most: int = 30_000, plain: tuple[int, float] = (3_000, 0.15), rarely: int = 4, without: tuple[str, ...] = ()) -> Model:
+    """The model from all described answers. Answers that some rule tags as other than answer count once, those with refusals
+    `rarely` times, as they are few and worded in many ways; the others count less, as if they were `plain` answers, a number
+    or a share of all, in sum. Of words and pairs the `most` frequent, by these weights, have numbers."""
+    spark = described.sparkSession
+    each = described.select("marks", "keys").filter("size(marks) > 0")
+    n_rows = each.count()
+    if not n_rows:
+        return Model({})
     known = refusals(described)
-    seen: Counter[str] = Counter()
-    chosen = []
-    for row, f, parts, seeds, topical in told_of:
-        tags = labels(parts, f, seeds, topical, known)
-        if any(tags):
-            chosen += [(row, parts, tags)] * (rarely if REFUSAL_TAG in tags else 1)
-        elif plain:
-            chosen.append((row, parts, tags))
-            plain -= 1
-    for _, parts, _ in chosen:
-        for p in parts:
-            ts = key_of(p).split(" ")
-            seen.update(set(ts))
-            seen.update({f"{a} {b}" for a, b in zip(ts, ts[1:])})
-    kept = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
-    model = Model({w: len(BASE) + i for i, w in enumerate(kept)}, None, endings, frozenset(B[x] for x in without), common)
-    features, tags, lengths = [], [], []
-    for row, _, own in chosen:
-        f, _, _ = model.describe(*row)
-        features += f
-        tags += own
-        lengths.append(len(f))
-    ids, offsets = flat(features)
-    if lengths:
-        decay = np.full(len(BASE) + len(kept), 3e-3)  # words explain what the other features leave open
-        decay[: len(BASE)] = 1e-3
-        decay[[B[x] for x in DIRECT]] = 1e-6
-        model.field = crf.fit(ids, offsets, np.array(lengths), np.array(tags), len(BASE) + len(kept), len(TAGS), decay=decay)
+    numbers, share, weight = vocabulary(each, known, n_rows, most, plain, rarely, least)
+    model = Model(numbers, None, sum(MARK[x] for x in without))
+    sent = spark.sparkContext.broadcast((model, known))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = sent.value
+        for _, r in Rows.blocks(batches):
+            tags = r.labels(known)
+            weights = np.where(r.any(tags == REFUSAL_TAG), rarely, np.where(r.any(tags != ANSWER), 1.0, share))
+            kinds, kind = model.kinds(r.marks)
+            block = crf.Block.of(kinds, model.ids(r.names), kind, r.key, r.lengths, tags, weights)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    blocks = materialize(each.mapInArrow(label, "block binary"), "blocks")
+    near = [pickle.loads(r.block) for r in blocks.collect()] if n_rows <= BLOCK else None  # few answers are fitted here
+    shape = len(BASE) + len(numbers), len(TAGS)
+
+    def gradient(w: crf.Chain) -> tuple[float, crf.Chain]:
+        if near is not None:
+            return added(b.gradient(w) for b in near)
+        now = spark.sparkContext.broadcast(w)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value, g = added(pickle.loads(x.as_py()).gradient(now.value) for batch in batches for x in batch.column(0))
+            if g is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([pickle.dumps((g.emit.astype(np.float32), g.move, g.start))], pa.binary())], ["value", "g"])
+
+        out = added((r.value, crf.Chain(*pickle.loads(r.g))) for r in blocks.mapInArrow(add, "value double, g binary").collect())
+        now.destroy()
+        return out
+
+    decay = np.full(shape[0], 3e-3)  # words explain what the other features leave open
+    decay[: len(BASE)] = 1e-3
+    decay[[B[x] for x in DIRECT]] = 1e-6
+    model.field = crf.climb(gradient, weight, *shape, decay=decay)
     return model
 
 
+def added(parts: Iterator[tuple[float, crf.Chain]]) -> tuple[float, crf.Chain | None]:
+    value, out = 0.0, None
+    for v, g in parts:
+        value += v
+        if out is None:
+            out = crf.Chain(g.emit.astype(np.float64), g.move, g.start)
+        else:
+            out.emit += g.emit
+            out.move += g.move
+            out.start += g.start
+    return value, out
+
+
 def decide(tags: list[int], sizes: list[int], copied: float, refused: float, foreign: float) -> str | None:
     """One defect from the tags of a response's clauses and their numbers of words."""
     n = sum(sizes) or 1
@@ -472,58 +592,49 @@ def decide(tags: list[int], sizes: list[int], copied: float, refused: float, for
     return "truncated" if tags[-1] == UNFINISHED else None
 
 
-def pairs(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """Every answer with the facts of its case: the texts move once, to their case."""
-    return answers(results, "case_key").join(case_facts(cases), "case_key", "left")
+def described(results: DataFrame, cases: DataFrame, found: DataFrame) -> DataFrame:
+    """Every answer of every delivery: result_id, received_at, model_name, text_hash, and the marks and keys of its clauses, none
+    if it says nothing. The texts move once, to their case."""
+    facts = materialize(case_facts(cases), "facts")
+    sent = results.sparkSession.sparkContext.broadcast(Describer(fit_endings(results), common_words(facts)))
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = sent.value
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):  # few live lists at a time
+            marks: list[list[int]] = []
+            keys: list[list[str]] = []
+            for text, told, lang, asked, limit in zip(*(batch.column(k).to_pylist() for k in range(4, 9))):
+                m, k = ([], []) if says_nothing(text) else d.describe(text, told or "", -1 if lang is None else lang, asked or 0, limit)
+                marks.append(m)
+                keys.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(marks, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.string()))], ["result_id", "received_at", "model_name", "text_hash", "marks", "keys"])
 
-def drawn(results: DataFrame, cases: DataFrame, found: DataFrame, sample: int) -> list:
-    """At most `sample` answers, and as many with lists, with the facts of their cases."""
-    one = materialize(mark_limits(draw(answers(results, "case_key"), sample, results.count()), found), "sample")
-    keys = small(materialize(one.select("case_key").distinct(), "keys"))
-    return one.join(case_facts(cases.join(keys, "case_key")), "case_key", "left").select("response", "told", "lang", "asked", "at_limit", "kind").collect()
+    pairs = mark_limits(answers(results, "case_key").join(facts, "case_key", "left"), found).withColumn("text_hash", F.xxhash64("response"))
+    told = pairs.select("result_id", "received_at", "model_name", "text_hash", "response", "told", "lang", "asked", "at_limit")
+    return materialize(told.mapInArrow(describe, "result_id bigint, received_at timestamp_ntz, model_name string, text_hash bigint, marks array<int>, keys array<string>"), "described")
 
 
-def defects(results: DataFrame, cases: DataFrame, sample: int = SAMPLE, copied: float = 0.85, refused: float = 0.6, foreign: float = 0.6, without: tuple[str, ...] = ()) -> DataFrame:
+def defects(results: DataFrame, cases: DataFrame, copied: float = 0.85, refused: float = 0.6, foreign: float = 0.6, without: tuple[str, ...] = ()) -> DataFrame:
     """result_id, model_name, defect of every defective answer; `without` names features (BASE) to do without."""
     again = deliveries(results)
-    found = limits(results, again)
-    rows = drawn(results, cases, found, sample)
-    endings = Endings.fit(r.response for r in rows if not says_nothing(r.response))
-    fitted = fit([(r.response, r.told or "", -1 if r.lang is None else r.lang, r.asked or 0, r.at_limit) for r in rows if r.kind == 0], endings, without=without)
-    fitted.known.clear()
-    sent = results.sparkSession.sparkContext.broadcast(fitted)
+    each = described(results, cases, limits(results, again))
+    sent = results.sparkSession.sparkContext.broadcast(fit(each, without=without))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):  # few live lists at a time
-            texts, told, lang, asked, limit = (batch.column(k).to_pylist() for k in range(4, 9))
-            out: list[str | None] = [None] * batch.num_rows
-            features: list[list[int]] = []
-            owners, counts, sizes = [], [], []
-            for i, text in enumerate(texts):
-                if says_nothing(text):
-                    out[i] = "empty"
-                    continue
-                f, s, _ = model.describe(text, told[i] or "", -1 if lang[i] is None else lang[i], asked[i] or 0, limit[i])
-                features += f
-                owners.append(i)
-                counts.append(len(f))
-                sizes.append(s)
-            if owners and model.field is not None:
-                ids, offsets = flat(features)
-                tags = model.field.tags(model.field.scores(ids, offsets), np.array(counts)).tolist()
-                at = 0
-                for i, n, s in zip(owners, counts, sizes):
-                    out[i] = decide(tags[at : at + n], s, copied, refused, foreign)
-                    at += n
+        for own, r in Rows.blocks(batches):
+            tags, first = sent.value.tags(r), r.first
+            sizes = np.array([n.count(" ") + 1 if n else 0 for n in r.names])[r.key]
+            out: list[str | None] = [None] * len(r.lengths)
+            for i in np.flatnonzero(r.any(tags != ANSWER)).tolist():
+                own_clauses = slice(first[i], first[i] + r.lengths[i])
+                out[i] = decide(tags[own_clauses].tolist(), sizes[own_clauses].tolist(), copied, refused, foreign)
             kept = pa.array(out, pa.string())
-            table = pa.RecordBatch.from_arrays([*batch.columns[:4], kept], ["result_id", "received_at", "model_name", "text_hash", "defect"])
-            yield table.filter(kept.is_valid())
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], kept], ["result_id", "received_at", "model_name", "text_hash", "defect"]).filter(kept.is_valid())
 
-    marked = mark_limits(pairs(results, cases), found).withColumn("text_hash", F.xxhash64("response"))
-    bad = marked.select("result_id", "received_at", "model_name", "text_hash", "response", "told", "lang", "asked", "at_limit").mapInArrow(judge, "result_id bigint, received_at timestamp_ntz, model_name string, text_hash bigint, defect string")
-    return first_only(materialize(bad, "defects"), again).select("result_id", "model_name", "defect").distinct()
+    says = F.size("marks") > 0
+    bad = each.filter(says).mapInArrow(judge, "result_id bigint, received_at timestamp_ntz, model_name string, text_hash bigint, defect string")
+    empty = each.filter(~says).select(*bad.columns[:4], F.lit("empty").alias("defect"))
+    return first_only(materialize(bad.union(empty), "defects"), again).select("result_id", "model_name", "defect").distinct()
 
 
 RESULTS = "result_id bigint, case_key bigint, received_at timestamp_ntz, responses map<string, struct<response: string>>"

@@ -39,9 +39,6 @@ STAND_IN = re.compile(
 )
 SHOWN = re.compile(r"[^\W_]|[\U0001F000-\U0001FAFF☀-➿]")
 
-#: Answers, and answers with lists, that the field of `defects` is fitted on at most, and characters of each kind.
-SAMPLE, SAMPLE_CHARS = 20_000, 1 << 26
-
 #: Counts that a task holds before it passes them on.
 MOST_COUNTS = 1 << 18
 
@@ -53,9 +50,6 @@ RESPONSES = "result_id bigint, received_at timestamp_ntz, responses map<string,
 PLAIN_END = r"""[^\d.…�][!?.]["'”’»)]*\s*$"""
 
 
-LISTED = r"\n\s*(?:[-*•–]|\d+[.)])\s"
-
-
 def says_nothing(text: str | None) -> bool:
     """Null, nothing visible, mere marks or markup, or a stand-in for missing content."""
     if text is None:
@@ -116,24 +110,6 @@ def mark_limits(each: DataFrame, found: DataFrame) -> DataFrame:
     return each.withColumn("at_limit", F.coalesce("chars", "bytes", F.lit(False))).drop("chars", "bytes")
 
 
-def draw(each: DataFrame, size: int, n_results: int, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most `size` answers and at most as many with lists, of at most `chars` characters each time, spread evenly by a
-    hash of result and model, with kind 0 and 1. One pass takes some times `size` answers by their hashes, a second one four
-    times as many if lists are rare among them."""
-    hashed = each.filter(F.col("response").isNotNull()).withColumn("h", F.xxhash64("result_id", "model_name"))
-    share = min(1.0, 4 * size / max(1, n_results))
-    for _ in range(2):
-        near = materialize(hashed.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("listed", F.col("response").rlike(LISTED)).repartition(16), "drawn")  # no more than 16 * size answers, whatever the size
-        if share == 1.0 or near.agg(F.count_if("listed")).first()[0] >= size:
-            break
-        share = min(1.0, 4 * share)
-    out = []
-    for kind, wanted in ((0, F.lit(True)), (1, F.col("listed"))):
-        upto = F.sum(F.length("response")).over(Window.orderBy("h", "response").rowsBetween(Window.unboundedPreceding, 0))  # of `size` rows
-        out.append(near.filter(wanted).orderBy("h", "response").limit(size).withColumn("upto", upto).filter(F.col("upto") <= chars).drop("upto", "listed").withColumn("kind", F.lit(kind)))
-    return out[0].union(out[1]).drop("h")
-
-
 def fit_endings(results: DataFrame) -> Endings:
     """The classifier of endings, from all answers: a pass over those with an open end finds which of these recur, a second one
     over all answers counts what tells whole ends from cuts. Only counts are moved."""
