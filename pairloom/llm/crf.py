@@ -88,18 +88,18 @@ class Block:
         at = np.concatenate([[0], np.cumsum(self.going)])
         place = [slice(at[t], at[t + 1]) for t in range(len(self.going))]
         gold = s[np.arange(len(s)), self.tags]
-        top = s.max(axis=1)
-        e = np.exp(s - top[:, None])
+        e = np.exp(np.clip(s, -300, 300, out=s))
+        ones = np.ones(n_tags)
         between, begin = np.exp(w.move), np.exp(w.start)
         alpha, scale = np.empty_like(e), np.empty(len(e))
         for t, own in enumerate(place):
             x = e[own] * (begin if t == 0 else alpha[place[t - 1]][: self.going[t]] @ between)
-            scale[own] = c = x.sum(axis=1)
+            scale[own] = c = x @ ones
             alpha[own] = x / c[:, None]
         beta = np.ones_like(e)
         move = np.zeros((n_tags, n_tags))
         weight = np.concatenate([self.weight[:n] for n in self.going]) if len(self.going) else self.weight
-        value = float(((gold - top - np.log(scale)) * weight).sum())
+        value = float((gold - np.log(scale)) @ weight)
         for t in range(len(place) - 1, 0, -1):
             own, n = place[t], self.going[t]
             ahead = e[own] * beta[own] / scale[own][:, None]
@@ -124,13 +124,14 @@ class Block:
 def sums(emit: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum of the rows ids[offsets[k]:offsets[k + 1]], which may be none, for each k."""
     out = np.zeros((len(offsets) - 1, emit.shape[1]))
+    emit = emit.astype(np.float32)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
         out[some] = np.add.reduceat(emit[ids], offsets[some], axis=0)
     return out
 
 
-def climb(gradient: Callable[[Chain], tuple[float, Chain]], weight: float, n_features: int, n_tags: int, decay: float | np.ndarray = 1e-4, steps: int = 60, memory: int = 8, enough: float = 1e-5) -> Chain:
+def climb(gradient: Callable[[Chain], tuple[float, Chain]], weight: float, n_features: int, n_tags: int, decay: float | np.ndarray = 1e-4, steps: int = 30, memory: int = 8, enough: float = 1e-4) -> Chain:
     """Maximise the penalised mean likelihood by L-BFGS with at most `steps` sums over all blocks, until a step gains less than
     `enough` of the value; `decay` may be given per feature."""
     cut = [n_features * n_tags, (n_features + n_tags) * n_tags]

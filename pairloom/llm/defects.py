@@ -358,7 +358,7 @@ def shares(tokens: list[str], told: str, common: frozenset[str]) -> bool:
 
 
 #: Answers that are taken together in a task.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 @dataclass

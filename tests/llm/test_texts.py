@@ -98,6 +98,32 @@ def test_the_field_does_without_any_one_feature(spark):
             assert len(w & g) >= 0.9 * len(w) and len(w & g) >= 0.9 * len(g), kind
 
 
+def test_refusals_of_few_answers_in_many_are_known(spark):
+    """Ten wordings that three answers of thirty thousand have each; a sample would hardly hold all of them."""
+    plain, worded = "i cannot help you with that", [f"my lips are sealed {w}" for w in "a b c d e f g h i k".split()]
+    bias, topic = defects.MARK["bias"], defects.TOPIC
+    rows = [([bias | topic], [f"the soup is warm {k % 97}"]) for k in range(30_000)]
+    rows += [([bias | defects.MARK["refuses"], bias], [plain, w]) for w in worded for _ in range(3)] + [([], [])]
+    df = spark.createDataFrame(rows, "marks array<int>, keys array<string>").repartition(5)
+    assert defects.refusals(df) == frozenset(worded)
+    assert defects.refusals(df.filter("false")) == frozenset()
+
+
+def test_the_gradient_is_the_sum_over_blocks():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 6, 60)
+    n, half = int(lengths.sum()), int(lengths[:30].sum())
+    kinds, keys = [[0], [0, 1], [1]], [rng.integers(2, 12, rng.integers(0, 4)).tolist() for _ in range(30)]
+    kind, key, tags, weight = rng.integers(0, 3, n), rng.integers(0, 30, n), rng.integers(0, 5, n), rng.random(60) + 0.5
+    w = crf.Chain(rng.normal(size=(12, 5)), rng.normal(size=(5, 5)), rng.normal(size=5))
+    value, g = crf.Block.of(kinds, keys, kind, key, lengths, tags, weight).gradient(w)
+    parts = [crf.Block.of(kinds, keys, kind[c], key[c], lengths[r], tags[c], weight[r]).gradient(w) for r, c in ((slice(30), slice(half)), (slice(30, 60), slice(half, n)))]
+    total, added = defects.added(parts)
+    assert np.isclose(value, total) and all(np.allclose(getattr(g, k), getattr(added, k), atol=1e-4) for k in ("emit", "move", "start"))
+    w.move[1, 2] += 1e-3
+    assert np.isclose((crf.Block.of(kinds, keys, kind, key, lengths, tags, weight).gradient(w)[0] - value) / 1e-3, g.move[1, 2], atol=0.05)
+
+
 def test_denials_are_no_refusals_by_themselves():
     says = lambda t: defects.refuses(defects.spoken_of(t, defects.words(t)))
     for t in ("I cannot help with that request.", "Darauf gehe ich nicht ein.", "Prefiero no hablar de eso.", "Je ne peux pas répondre à cette question.", "As an AI model I can't discuss this."):
