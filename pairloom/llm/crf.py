@@ -52,15 +52,64 @@ class Chain:
         return out
 
 
+@dataclass
+class Lists:
+    """Lists of feature numbers, whose sums are taken again and again. Numbers that stand side by side are taken together, and such
+    pairs in turn: a pair that recurs is added up once. `pairs` are tables from numbers or pairs of the table before, `ids` and
+    `offsets` the lists of what the last table holds."""
+
+    pairs: list[tuple[np.ndarray, np.ndarray]]
+    ids: np.ndarray
+    offsets: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, offsets: np.ndarray, most: int = 2) -> Lists:
+        """List k is ids[offsets[k]:offsets[k + 1]], which may be empty."""
+        pairs, n = [], np.diff(offsets)
+        while len(pairs) < most and len(ids):
+            at = np.cumsum(n) - n
+            place = np.arange(len(ids)) - np.repeat(at, n)
+            nothing = int(ids.max()) + 1
+            after = np.append(ids[1:], nothing)
+            after[at[n > 0] + n[n > 0] - 1] = nothing
+            left = place % 2 == 0
+            code, which = np.unique(ids[left].astype(np.int64) * (nothing + 1) + after[left], return_inverse=True)
+            if 2 * len(code) > len(which):
+                break
+            a, b = np.divmod(code, nothing + 1)
+            pairs.append((least(a), least(np.where(b == nothing, -1, b) + 1)))
+            ids, n = which, (n + 1) // 2
+        return Lists(pairs, least(ids), np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+
+    def sums(self, emit: np.ndarray) -> np.ndarray:
+        """The sum of each list by tag; `emit` has a row per tag and a column per feature."""
+        for a, b in self.pairs:
+            emit = emit.take(a, axis=1) + np.concatenate([np.zeros((len(emit), 1), emit.dtype), emit], axis=1).take(b, axis=1)
+        return sums(emit, self.ids, self.offsets)
+
+    def back(self, g: np.ndarray, n_features: int) -> np.ndarray:
+        """From a number for each tag and list, the sums by feature."""
+        sizes = [n_features, *(len(a) for a, _ in self.pairs)]
+        n = np.diff(self.offsets)
+        g = np.stack([np.bincount(self.ids, np.repeat(x, n), sizes[-1]) for x in g])
+        for (a, b), size in zip(reversed(self.pairs), reversed(sizes[:-1])):
+            g = np.stack([np.bincount(a, x, size) + np.bincount(b, x, size + 1)[1:] for x in g])
+        return g
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as the numbers need."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.int32)
+
+
 @dataclass
 class Block:
     """Sequences with their tags and weights. A clause has the features of two things, each kept once: `kinds`, of which there are
-    few, and `keys`. Clauses lie by place, the first ones of all sequences first, the longest sequences ahead."""
+    few, and `keys`. Clauses lie by place, the first ones of all sequences first, the longest sequences ahead; numbers lie by
+    tag."""
 
-    kind_ids: np.ndarray
-    kind_offsets: np.ndarray
-    key_ids: np.ndarray
-    key_offsets: np.ndarray
+    kinds: Lists
+    keys: Lists
     kind: np.ndarray  # of each clause
     key: np.ndarray
     tags: np.ndarray
@@ -68,66 +117,72 @@ class Block:
     weight: np.ndarray  # of each sequence
 
     @staticmethod
-    def of(kinds: list[list[int]], keys: list[list[int]], kind: np.ndarray, key: np.ndarray, lengths: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> Block:
+    def of(kinds: list[list[int]], keys: list[list[int]] | tuple[np.ndarray, np.ndarray], kind: np.ndarray, key: np.ndarray, lengths: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> Block:
         """From clauses that lie sequence by sequence; `lengths` are those of the sequences, each at least 1."""
         order = np.argsort(-lengths, kind="stable")
         first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
         going = np.array([np.searchsorted(-size, -t, side="left") for t in range(int(size[0]) if len(size) else 0)], np.int32)
         lie = np.concatenate([first[:n] + t for t, n in enumerate(going)]) if len(going) else np.zeros(0, np.int64)
-        lists = []
-        for x in (kinds, keys):
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in x])]).astype(np.int32)
-            lists += [np.fromiter((i for f in x for i in f), np.int32, int(offsets[-1])), offsets]
-        return Block(*lists, kind[lie].astype(np.int32), key[lie].astype(np.int32), tags[lie].astype(np.int8), going, weight[order].astype(np.float32))
+        lists = [Lists.of(*(x if isinstance(x, tuple) else flat(x))) for x in (kinds, keys)]
+        return Block(*lists, least(kind[lie]), least(key[lie]), tags[lie].astype(np.int8), going, weight[order].astype(np.float32))
 
     def gradient(self, w: Chain) -> tuple[float, Chain]:
         """Log-likelihood of the tags, and its gradient, each sequence by its weight."""
-        n_tags = w.emit.shape[1]
-        s = sums(w.emit, self.kind_ids, self.kind_offsets)[self.kind]
-        s += sums(w.emit, self.key_ids, self.key_offsets)[self.key]
+        n_features, n_tags = w.emit.shape
+        emit = np.ascontiguousarray(w.emit.T, np.float32)
+        s = self.kinds.sums(emit).take(self.kind, axis=1)
+        s += self.keys.sums(emit).take(self.key, axis=1)
         at = np.concatenate([[0], np.cumsum(self.going)])
         place = [slice(at[t], at[t + 1]) for t in range(len(self.going))]
-        gold = s[np.arange(len(s)), self.tags]
-        e = np.exp(np.clip(s, -300, 300, out=s))
-        ones = np.ones(n_tags)
-        between, begin = np.exp(w.move), np.exp(w.start)
-        alpha, scale = np.empty_like(e), np.empty(len(e))
+        each = np.arange(s.shape[1])
+        gold = s[self.tags, each]
+        top = s.max(axis=0, initial=-np.inf)
+        s -= top
+        e = np.exp(s, out=s)
+        between, begin = np.exp(w.move).astype(np.float32), np.exp(w.start).astype(np.float32)
+        alpha, scale = np.empty_like(e), np.empty(len(each), np.float32)
         for t, own in enumerate(place):
-            x = e[own] * (begin if t == 0 else alpha[place[t - 1]][: self.going[t]] @ between)
-            scale[own] = c = x @ ones
-            alpha[own] = x / c[:, None]
+            x = e[:, own] * (begin[:, None] if t == 0 else between.T @ alpha[:, place[t - 1]][:, : self.going[t]])
+            scale[own] = c = x.sum(axis=0)
+            alpha[:, own] = x / c
         beta = np.ones_like(e)
         move = np.zeros((n_tags, n_tags))
         weight = np.concatenate([self.weight[:n] for n in self.going]) if len(self.going) else self.weight
-        value = float((gold - np.log(scale)) @ weight)
+        value = float(np.sum((gold - top - np.log(scale)) * weight, dtype=np.float64))
         for t in range(len(place) - 1, 0, -1):
             own, n = place[t], self.going[t]
-            ahead = e[own] * beta[own] / scale[own][:, None]
+            ahead = e[:, own] * beta[:, own] / scale[own]
             before = slice(at[t - 1], at[t - 1] + n)
-            beta[before] = ahead @ between.T
-            move -= between * (alpha[before].T @ (ahead * self.weight[:n, None]))
+            beta[:, before] = between @ ahead
+            move -= between * (alpha[:, before] @ (ahead * self.weight[:n]).T)
             a, b, u = self.tags[before], self.tags[own], self.weight[:n]
             move += np.bincount(a.astype(np.int64) * n_tags + b, u, n_tags * n_tags).reshape(n_tags, n_tags)
             value += float((w.move[a, b] * u).sum())
-        miss = alpha * beta * -weight[:, None]
-        miss[np.arange(len(s)), self.tags] += weight
-        began = miss[place[0]].sum(axis=0) if place else np.zeros(n_tags)
+        alpha *= beta
+        alpha *= -weight
+        miss = alpha
+        miss[self.tags, each] += weight
+        began = miss[:, place[0]].sum(axis=1, dtype=np.float64) if place else np.zeros(n_tags)
         value += float((w.start[self.tags[place[0]]] * self.weight).sum()) if place else 0.0
-        emit = np.zeros_like(w.emit)
-        for ids, offsets, which in ((self.kind_ids, self.kind_offsets, self.kind), (self.key_ids, self.key_offsets, self.key)):
-            n = np.diff(offsets)
-            for k in range(n_tags):
-                emit[:, k] += np.bincount(ids, np.repeat(np.bincount(which, miss[:, k], len(n)), n), len(emit))
-        return value, Chain(emit, move, began)
+        out = np.zeros((n_tags, n_features))
+        for lists, which in ((self.kinds, self.kind), (self.keys, self.key)):
+            out += lists.back(np.stack([np.bincount(which, x, len(lists.offsets) - 1) for x in miss]), n_features)
+        return value, Chain(np.ascontiguousarray(out.T), move, began)
+
+
+def flat(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(np.int64)
+    return np.fromiter((i for f in features for i in f), np.int64, int(offsets[-1])), offsets
 
 
 def sums(emit: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum of the rows ids[offsets[k]:offsets[k + 1]], which may be none, for each k."""
-    out = np.zeros((len(offsets) - 1, emit.shape[1]))
-    emit = emit.astype(np.float32)
+    """The sum of the columns ids[offsets[k]:offsets[k + 1]], which may be none, for each k."""
+    out = np.zeros((len(emit), len(offsets) - 1), np.float32)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        out[some] = np.add.reduceat(emit[ids], offsets[some], axis=0)
+        ids, starts = ids.astype(np.int64), offsets[some]
+        for x, row in zip(emit, out):
+            row[some] = np.add.reduceat(x.take(ids), starts)
     return out
 
 

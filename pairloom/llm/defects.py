@@ -35,10 +35,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import crf
+from pairloom.llm.crf import flat
 from pairloom.llm.endings import INCOMPLETE, ITEM, SENTENCE, TERMINAL, Endings
 from pairloom.llm.truncation import answers, deliveries, first_only, fit_endings, limits, mark_limits, says_nothing
 from pairloom.llm.words import WORD, words
@@ -455,9 +457,35 @@ def refusals(described: DataFrame, least: int = 3, share: float = 0.02, rounds:
     return known
 
 
-def flat(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(np.int64)
-    return np.fromiter(chain.from_iterable(features), np.int64, int(offsets[-1])), offsets
+@dataclass
+class Said:
+    """The words and word pairs of keys, each known by a place in `words` or `pairs`."""
+
+    words: list[str]
+    pairs: list[str]
+    word: np.ndarray  # of each word of the keys
+    name: np.ndarray  # whose it is
+    paired: np.ndarray  # those that others of the same key follow
+    pair: np.ndarray  # of these
+
+    @staticmethod
+    def of(names: list[str]) -> Said:
+        lists = pc.split_pattern(pa.array(names, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        name = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy())
+        paired = np.flatnonzero(name[1:] == name[:-1])
+        two = pa.array(word[paired] * len(words) + word[paired + 1]).dictionary_encode()
+        pairs = [f"{words[x // len(words)]} {words[x % len(words)]}" for x in two.dictionary.to_pylist()]
+        return Said(words, pairs, word, name, paired, two.indices.to_numpy().astype(np.int64))
+
+    def counts(self, *weights: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+        """The words and pairs, and how often each is said where a key counts by its weight and what it says once."""
+        out: list[list[np.ndarray]] = []
+        for x, name, n in ((self.word, self.name, len(self.words)), (self.pair, self.name[self.paired], len(self.pairs))):
+            once = pc.unique(pa.array(name * n + x)).to_numpy()
+            out.append([np.bincount(once % max(1, n), w[once // max(1, n)], n) for w in weights])
+        return self.words + self.pairs, [np.concatenate(x).astype(np.int64) for x in zip(*out)]
 
 
 @dataclass
@@ -473,18 +501,20 @@ class Model:
         kinds, kind = np.unique(marks & (TOPIC - 1) & ~self.without, return_inverse=True)
         return [[i for i in range(len(BASE)) if m >> i & 1] or [0] for m in kinds.tolist()], kind
 
-    def ids(self, names: list[str]) -> list[list[int]]:
-        """The numbers of each key's words and word pairs."""
-        get, out = self.words.get, []
-        for name in names:
-            ts = name.split(" ")
-            out.append([x for t in ts if (x := get(t))] + [x for a, b in zip(ts, ts[1:]) if (x := get(f"{a} {b}"))])
-        return out
+    def ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of each key's words and word pairs, one after the other, and where each key's begin."""
+        said, get = Said.of(names), self.words.get
+        numbers = np.zeros((len(said.word), 2), np.int32)
+        numbers[:, 0] = np.array([get(x, 0) for x in said.words], np.int32)[said.word]
+        numbers[said.paired, 1] = np.array([get(x, 0) for x in said.pairs], np.int32)[said.pair]
+        n = np.bincount(said.name, (numbers > 0).sum(axis=1), len(names)).astype(np.int64)
+        return numbers[numbers > 0], np.concatenate([[0], np.cumsum(n)])
 
     def tags(self, r: Rows) -> np.ndarray:
         kinds, kind = self.kinds(r.marks)
-        scores = [crf.sums(self.field.emit, *flat(x)).astype(np.float32)[k] for x, k in ((kinds, kind), (self.ids(r.names), r.key))]
-        return self.field.tags(scores[0] + scores[1], r.lengths)
+        emit = np.ascontiguousarray(self.field.emit.T)
+        scores = crf.sums(emit, *flat(kinds)).take(kind, axis=1) + crf.sums(emit, *self.ids(r.names)).take(r.key, axis=1)
+        return self.field.tags(np.ascontiguousarray(scores.T), r.lengths)
 
 
 def vocabulary(each: DataFrame, known: frozenset[str], n_rows: int, most: int, plain: tuple[int, float], rarely: int, least: int) -> tuple[dict[str, int], float, float]:
@@ -494,19 +524,11 @@ def vocabulary(each: DataFrame, known: frozenset[str], n_rows: int, most: int, p
         for _, r in Rows.blocks(batches):
             tags = r.labels(known)
             weight = np.where(r.any(tags == REFUSAL_TAG), rarely, r.any(tags != ANSWER).astype(int))
-            marked: Counter[str | None] = Counter({None: int(weight.sum())})
-            rest: Counter[str | None] = Counter({None: int((weight == 0).sum())})
-            by_key = [np.bincount(r.key, np.repeat(w, r.lengths), len(r.names)).astype(int).tolist() for w in (weight, weight == 0)]
-            for name, n, m in zip(r.names, *by_key):
-                ts = name.split(" ") if name else []
-                for w in {*ts, *(f"{a} {b}" for a, b in zip(ts, ts[1:]))}:
-                    if n:
-                        marked[w] += n
-                    if m:
-                        rest[w] += m
-            for part, place in ((marked, 1), (rest, 2)):
-                counts = [pa.array(list(part.values()), pa.int64()), pa.array([0] * len(part), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.string()), *(counts if place == 1 else counts[::-1])], ["word", "marked", "rest"])
+            said, (marked, rest) = Said.of(r.names).counts(*(np.bincount(r.key, np.repeat(w, r.lengths), len(r.names)) for w in (weight, weight == 0)))
+            named = pa.array(said, pa.string())
+            counts = pa.RecordBatch.from_arrays([named, pa.array(marked), pa.array(rest)], ["word", "marked", "rest"])
+            yield counts.filter(pc.not_equal(named, ""))  # a key without words
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([int(weight.sum())]), pa.array([int((weight == 0).sum())])], ["word", "marked", "rest"])
 
     counted = materialize(each.mapInArrow(count, "word string, marked bigint, rest bigint").groupBy("word").agg(F.sum("marked").alias("marked"), F.sum("rest").alias("rest")), "words")
     total = counted.filter("word is null").first()

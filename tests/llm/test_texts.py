@@ -1,5 +1,7 @@
 import datetime as dt
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -124,6 +126,38 @@ def test_the_gradient_is_the_sum_over_blocks():
     assert np.isclose((crf.Block.of(kinds, keys, kind, key, lengths, tags, weight).gradient(w)[0] - value) / 1e-3, g.move[1, 2], atol=0.05)
 
 
+def test_a_block_keeps_words_that_recur_once_and_a_step_takes_little_memory():
+    """Blocks are read by every step. Here 1,560 pairs recur in 3,000 clauses of 59 numbers; with each number by itself, the block had 751,644 bytes and a step took 3.9 MB."""
+    rng = np.random.default_rng(4)
+    word = rng.integers(1, 40, (3000, 30))
+    keys = np.stack([word, np.append(40 + word[:, :-1] * 40 + word[:, 1:], np.zeros((3000, 1), int), axis=1)], axis=2).reshape(3000, -1)[:, :-1].tolist()
+    n, size = 3000, 1700
+    tags, weight = rng.integers(0, 5, n), rng.random(n // 3)
+    block = crf.Block.of([[0]], keys, np.zeros(n, int), np.arange(n), np.full(n // 3, 3), tags, weight)
+    assert len(pickle.dumps(block)) < 260_000
+    w = crf.Chain(rng.normal(size=(size, 5)), rng.normal(size=(5, 5)), rng.normal(size=5))
+    tracemalloc.start()
+    _, g = block.gradient(w)
+    assert tracemalloc.get_traced_memory()[1] < 3e6
+    tracemalloc.stop()
+    near = lambda x: (w.emit[0] + w.emit[keys[x]].sum(axis=0))
+    assert np.allclose(block.keys.sums(w.emit.T)[:, 7] + w.emit[0], near(7), atol=1e-4)
+    miss = rng.normal(size=(5, n))
+    want = np.zeros((5, size))
+    for k, ids in enumerate(keys):
+        np.add.at(want, (slice(None), ids), miss[:, k, None])
+    assert np.allclose(block.keys.back(miss, size), want, atol=1e-6) and g.emit.shape == w.emit.shape
+
+
+def test_words_of_keys_are_counted_once_a_key():
+    names = ["the soup the soup", "", "soup", "a b a b"]
+    said = defects.Said.of(names)
+    words, (n, m) = said.counts(np.array([2, 5, 1, 0]), np.array([0, 0, 1, 3]))
+    assert dict(zip(words, zip(n.tolist(), m.tolist()))) == {"the": (2, 0), "soup": (3, 1), "": (5, 0), "a": (0, 3), "b": (0, 3), "the soup": (2, 0), "soup the": (2, 0), "a b": (0, 3), "b a": (0, 3)}
+    ids, offsets = defects.Model({"soup": 1, "the soup": 2, "b": 3}).ids(names)
+    assert [sorted(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])] == [[1, 1, 2, 2], [], [1], [3, 3]]
+
+
 def test_denials_are_no_refusals_by_themselves():
     says = lambda t: defects.refuses(defects.spoken_of(t, defects.words(t)))
     for t in ("I cannot help with that request.", "Darauf gehe ich nicht ein.", "Prefiero no hablar de eso.", "Je ne peux pas répondre à cette question.", "As an AI model I can't discuss this."):
