@@ -55,12 +55,13 @@ class Chain:
 @dataclass
 class Lists:
     """Lists of feature numbers, whose sums are taken again and again. Numbers that stand side by side are taken together, and such
-    pairs in turn: a pair that recurs is added up once. `pairs` are tables from numbers or pairs of the table before, `ids` and
-    `offsets` the lists of what the last table holds."""
+    pairs in turn: a pair that recurs is added up once. `pairs` are tables from numbers or pairs of the table before. What the
+    last table holds lies in `ids` by place, the first ones of all lists first, the longest lists ahead."""
 
     pairs: list[tuple[np.ndarray, np.ndarray]]
     ids: np.ndarray
-    offsets: np.ndarray
+    going: np.ndarray  # how many lists have a number at each place
+    lie: np.ndarray  # where each list lies
 
     @staticmethod
     def of(ids: np.ndarray, offsets: np.ndarray, most: int = 2) -> Lists:
@@ -79,24 +80,42 @@ class Lists:
             a, b = np.divmod(code, nothing + 1)
             pairs.append((least(a), least(np.where(b == nothing, -1, b) + 1)))
             ids, n = which, (n + 1) // 2
-        return Lists(pairs, least(ids), np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        order = np.argsort(-n, kind="stable")
+        lie = np.empty(len(n), np.int64)
+        lie[order] = np.arange(len(n))
+        by_place, going = placed((np.cumsum(n) - n)[order], n[order])
+        return Lists(pairs, least(ids[by_place]), going, least(lie))
 
     def sums(self, emit: np.ndarray) -> np.ndarray:
         """The sum of each list by tag; `emit` has a row per tag and a column per feature."""
         for a, b in self.pairs:
             emit = emit.take(a, axis=1) + np.concatenate([np.zeros((len(emit), 1), emit.dtype), emit], axis=1).take(b, axis=1)
-        return sums(emit, self.ids, self.offsets)
+        out, at = np.zeros((len(emit), len(self.lie)), emit.dtype), 0
+        for n in self.going.tolist():
+            out[:, :n] += emit.take(self.ids[at : at + n], axis=1)
+            at += n
+        return out.take(self.lie, axis=1)
 
     def back(self, g: np.ndarray, n_features: int) -> np.ndarray:
         """From a number for each tag and list, the sums by feature."""
         sizes = [n_features, *(len(a) for a, _ in self.pairs)]
-        n = np.diff(self.offsets)
-        g = np.stack([np.bincount(self.ids, np.repeat(x, n), sizes[-1]) for x in g])
+        lying = np.empty_like(g)
+        lying[:, self.lie] = g
+        ids = self.ids.astype(np.intp)
+        g = np.stack([np.bincount(ids, np.concatenate([x[:n] for n in self.going] or [x[:0]]), sizes[-1]) for x in lying])
         for (a, b), size in zip(reversed(self.pairs), reversed(sizes[:-1])):
+            a, b = a.astype(np.intp), b.astype(np.intp)
             g = np.stack([np.bincount(a, x, size) + np.bincount(b, x, size + 1)[1:] for x in g])
         return g
 
 
+def placed(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where what lies list by list goes if it is to lie by place, and how many lists have something at each place; the longest
+    lists come first."""
+    going = np.array([np.searchsorted(-size, -t, side="left") for t in range(int(size[0]) if len(size) else 0)], np.int32)
+    return (np.concatenate([first[:n] + t for t, n in enumerate(going)]) if len(going) else np.zeros(0, np.int64)), going
+
+
 def least(x: np.ndarray) -> np.ndarray:
     """In as few bytes as the numbers need."""
     return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.int32)
@@ -105,26 +124,34 @@ def least(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Block:
     """Sequences with their tags and weights. A clause has the features of two things, each kept once: `kinds`, of which there are
-    few, and `keys`. Clauses lie by place, the first ones of all sequences first, the longest sequences ahead; numbers lie by
-    tag."""
+    few, and `keys`; clauses that have the same are scored once. Clauses lie by place, the first ones of all sequences first, the
+    longest sequences ahead; numbers lie by tag."""
 
     kinds: Lists
     keys: Lists
-    kind: np.ndarray  # of each clause
+    kind: np.ndarray  # of each different clause
     key: np.ndarray
+    which: np.ndarray  # of these each clause is
     tags: np.ndarray
     going: np.ndarray  # how many sequences have a clause at each place
     weight: np.ndarray  # of each sequence
+    moves: np.ndarray  # by tag and next tag, the weight with which they are the clauses' tags
 
     @staticmethod
     def of(kinds: list[list[int]], keys: list[list[int]] | tuple[np.ndarray, np.ndarray], kind: np.ndarray, key: np.ndarray, lengths: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> Block:
         """From clauses that lie sequence by sequence; `lengths` are those of the sequences, each at least 1."""
         order = np.argsort(-lengths, kind="stable")
         first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        going = np.array([np.searchsorted(-size, -t, side="left") for t in range(int(size[0]) if len(size) else 0)], np.int32)
-        lie = np.concatenate([first[:n] + t for t, n in enumerate(going)]) if len(going) else np.zeros(0, np.int64)
+        lie, going = placed(first, size)
         lists = [Lists.of(*(x if isinstance(x, tuple) else flat(x))) for x in (kinds, keys)]
-        return Block(*lists, least(kind[lie]), least(key[lie]), tags[lie].astype(np.int8), going, weight[order].astype(np.float32))
+        code, which = np.unique(kind[lie].astype(np.int64) + key[lie] * len(lists[0].lie), return_inverse=True)
+        key, kind = np.divmod(code, len(lists[0].lie))
+        follows = np.ones(len(tags), bool)
+        follows[first] = False
+        after = np.flatnonzero(follows)
+        most = int(tags.max(initial=0)) + 1
+        moves = np.bincount(tags[after - 1].astype(np.int64) * most + tags[after], np.repeat(weight, lengths)[after], most * most).reshape(most, most)
+        return Block(*lists, least(kind), least(key), least(which), tags[lie].astype(np.int8), going, weight[order].astype(np.float32), moves)
 
     def gradient(self, w: Chain) -> tuple[float, Chain]:
         """Log-likelihood of the tags, and its gradient, each sequence by its weight."""
@@ -134,39 +161,40 @@ class Block:
         s += self.keys.sums(emit).take(self.key, axis=1)
         at = np.concatenate([[0], np.cumsum(self.going)])
         place = [slice(at[t], at[t + 1]) for t in range(len(self.going))]
-        each = np.arange(s.shape[1])
-        gold = s[self.tags, each]
-        top = s.max(axis=0, initial=-np.inf)
-        s -= top
-        e = np.exp(s, out=s)
+        which = self.which.astype(np.intp)
+        own = self.tags * np.intp(len(which)) + np.arange(len(which))  # of each clause the place of its tag
+        s -= s.max(axis=0, initial=-np.inf)
+        gold = s.ravel().take(self.tags * np.intp(s.shape[1]) + which)  # less the top, as are all
+        e = np.exp(s, out=s).take(which, axis=1)
         between, begin = np.exp(w.move).astype(np.float32), np.exp(w.start).astype(np.float32)
-        alpha, scale = np.empty_like(e), np.empty(len(each), np.float32)
-        for t, own in enumerate(place):
-            x = e[:, own] * (begin[:, None] if t == 0 else between.T @ alpha[:, place[t - 1]][:, : self.going[t]])
-            scale[own] = c = x.sum(axis=0)
-            alpha[:, own] = x / c
+        alpha, scale = np.empty_like(e), np.empty(len(which), np.float32)
+        for t, here in enumerate(place):
+            x = e[:, here] * (begin[:, None] if t == 0 else between.T @ alpha[:, place[t - 1]][:, : self.going[t]])
+            scale[here] = c = x.sum(axis=0)
+            np.divide(x, c, out=alpha[:, here])
         beta = np.ones_like(e)
         move = np.zeros((n_tags, n_tags))
         weight = np.concatenate([self.weight[:n] for n in self.going]) if len(self.going) else self.weight
-        value = float(np.sum((gold - top - np.log(scale)) * weight, dtype=np.float64))
+        value = float(np.sum((gold - np.log(scale)) * weight, dtype=np.float64))
         for t in range(len(place) - 1, 0, -1):
-            own, n = place[t], self.going[t]
-            ahead = e[:, own] * beta[:, own] / scale[own]
+            here, n = place[t], self.going[t]
+            ahead = e[:, here] * beta[:, here]
+            ahead /= scale[here]
             before = slice(at[t - 1], at[t - 1] + n)
-            beta[:, before] = between @ ahead
+            np.matmul(between, ahead, out=beta[:, before])
             move -= between * (alpha[:, before] @ (ahead * self.weight[:n]).T)
-            a, b, u = self.tags[before], self.tags[own], self.weight[:n]
-            move += np.bincount(a.astype(np.int64) * n_tags + b, u, n_tags * n_tags).reshape(n_tags, n_tags)
-            value += float((w.move[a, b] * u).sum())
+        most = len(self.moves)
+        move[:most, :most] += self.moves
+        value += float((w.move[:most, :most] * self.moves).sum())
         alpha *= beta
         alpha *= -weight
         miss = alpha
-        miss[self.tags, each] += weight
+        miss.reshape(-1)[own] += weight
         began = miss[:, place[0]].sum(axis=1, dtype=np.float64) if place else np.zeros(n_tags)
         value += float((w.start[self.tags[place[0]]] * self.weight).sum()) if place else 0.0
-        out = np.zeros((n_tags, n_features))
-        for lists, which in ((self.kinds, self.kind), (self.keys, self.key)):
-            out += lists.back(np.stack([np.bincount(which, x, len(lists.offsets) - 1) for x in miss]), n_features)
+        out, miss = np.zeros((n_tags, n_features)), [np.bincount(which, x, len(self.kind)) for x in miss]
+        for lists, n in ((self.kinds, self.kind), (self.keys, self.key)):
+            out += lists.back(np.stack([np.bincount(n, x, len(lists.lie)) for x in miss]), n_features)
         return value, Chain(np.ascontiguousarray(out.T), move, began)
 
 

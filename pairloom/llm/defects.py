@@ -30,8 +30,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
-from functools import cache
-from itertools import chain
+from functools import cache, lru_cache, reduce
+from itertools import chain, repeat
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import crf
 from pairloom.llm.crf import flat
-from pairloom.llm.endings import INCOMPLETE, ITEM, SENTENCE, TERMINAL, Endings
+from pairloom.llm.endings import INCOMPLETE, ITEM, SENTENCE, TERMINAL, Endings, shape_of
 from pairloom.llm.truncation import answers, deliveries, first_only, fit_endings, limits, mark_limits, says_nothing
 from pairloom.llm.words import WORD, words
 from pairloom.session import materialize, small
@@ -107,9 +108,7 @@ TOKEN_BITS = TokenBits()
 
 
 def bits_of(tokens: list[str]) -> int:
-    out = 0
-    for x in map(TOKEN_BITS.__getitem__, tokens):
-        out |= x
+    out = reduce(or_, map(TOKEN_BITS.__getitem__, tokens), 0)
     if "t" in tokens and any(b == "t" and a in SHORT_NOT for a, b in zip(tokens, tokens[1:])):
         out |= DENIAL_BIT
     return out
@@ -117,7 +116,10 @@ def bits_of(tokens: list[str]) -> int:
 
 def spoken_of(part: str, tokens: list[str]) -> int:
     """Bits of what a clause speaks of, and those of what one of its parts between commas denies."""
-    out = bits_of(tokens)
+    return denied_in(part, bits_of(tokens))
+
+
+def denied_in(part: str, out: int) -> int:
     if not out & DENIAL_BIT:
         return out
     pieces = PART.split(part)
@@ -161,8 +163,37 @@ LANGUAGE_CODES = {w: sum(int(x) << (LANE * k) for k, x in enumerate(v)) for w, v
 
 def packed(tokens: list[str]) -> int:
     """Counts of each language's function words, in lanes of one number."""
-    get = LANGUAGE_CODES.get
-    return sum([get(t, 0) for t in tokens])
+    return sum(map(LANGUAGE_CODES.get, tokens, repeat(0)))
+
+
+class TokenSums(dict):
+    """Of a word, what `packed` counts and, in lanes above, what it speaks of; kept by each worker for as many as 2^16 words."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        bits = TOKEN_BITS[token]
+        self[token] = out = LANGUAGE_CODES.get(token, 0) + sum(1 << (LANE * (len(LANGUAGES) + k)) for k in range(len(KINDS)) if bits >> k & 1)
+        return out
+
+
+TOKEN_SUMS = TokenSums()
+COUNTS = (1 << LANE * len(LANGUAGES)) - 1
+
+
+@lru_cache(1 << 14)
+def some(counts: int) -> int:
+    """A bit for each lane that isn't 0."""
+    return sum(1 << k for k in range(len(KINDS)) if counts >> (LANE * k) & ((1 << LANE) - 1))
+
+
+def told_by(tokens: list[str]) -> tuple[int, int]:
+    """`packed` and `bits_of` at once."""
+    total = sum(map(TOKEN_SUMS.__getitem__, tokens))
+    bits = some(total >> LANE * len(LANGUAGES))
+    if "t" in tokens and any(b == "t" and a in SHORT_NOT for a, b in zip(tokens, tokens[1:])):
+        bits |= DENIAL_BIT
+    return total & COUNTS, bits
 
 
 def lanes(counts: int) -> list[int]:
@@ -189,6 +220,7 @@ def language(tokens: list[str]) -> int:
     return leading(packed(tokens), len(tokens))
 
 
+@lru_cache(1 << 14)
 def spoken(counts: int, n_tokens: int, lang: int, asked: int) -> str:
     """The feature that says how a text's language stands to its case's. Other languages share words (la, de, un), so
     one must lead the case's clearly, and another of them only where the turns ask for that."""
@@ -243,6 +275,7 @@ def case_facts(cases: DataFrame) -> DataFrame:
 
 
 DIGIT = re.compile(r"\d")
+MIXED = re.compile(r"[^\W_]\d|\d[^\W_]")  # digits that are no word by themselves, for which a key has 0
 CONTENT = 4  # a word of the case has as many letters, and is no function word
 
 
@@ -260,70 +293,105 @@ def common_words(facts: DataFrame, often: float = 0.03) -> frozenset[str]:
     return frozenset(r.word for r in n.filter(F.col("n") >= max(20, often * facts.count())).collect())  # no more than words of a case / `often`
 
 
+@dataclass(slots=True)
+class Told:
+    """The turns of a case: their text, their words, and those that say something of the case."""
+
+    text: str
+    words: frozenset[str]
+    telling: frozenset[str]
+
+
+@dataclass(slots=True)
+class Clause:
+    """What a clause is by itself: its words, their key and their languages' counts, its marks, whether it speaks of what a
+    refusal speaks of, has a digit or a colon."""
+
+    tokens: list[str]
+    key: str
+    counts: int
+    marks: int
+    speaks: int
+    digit: bool
+    colon: bool
+
+
+ECHO_MARK, ECHO_SHORT, BEFORE_ECHO, OF_CASE, CUT, TALK_MARK, REFUSES = (MARK[x] for x in ("echo", "echo_short", "before_echo", "of_case", "cut", "talk", "refuses"))
+
+
 @dataclass
 class Describer:
     """What clauses are described by: the classifier of endings and the words that many cases have."""
 
     endings: Endings
     common: frozenset[str] = frozenset()
-    known: dict[str, tuple[list[str], str, int, int, int]] = dataclass_field(default_factory=dict)
+    known: dict[bytes, Clause] = dataclass_field(default_factory=dict)
+    cases: dict[str, Told] = dataclass_field(default_factory=dict)
+
+    def clause(self, part: str) -> Clause:
+        """Short clauses are kept, as many recur, if only with other numbers."""
+        shape = shape_of(part)
+        got = self.known.get(shape)
+        if got is not None:
+            return Clause(words(part), got.key, got.counts, got.marks, got.speaks, True, got.colon) if got.digit else got
+        tokens = words(part)
+        counts, bits = told_by(tokens)
+        said = denied_in(part, bits)
+        end, n = part.rstrip()[-1:], len(tokens)
+        marks = spoken_marks(said) | (MARK["question"] if end == "?" else MARK["colon"] if end == ":" else 0)
+        marks |= (MARK["quoted"] if part[:1] in ">“\"«" else 0) | (MARK["short"] if n <= 3 else MARK["long"] if n > 12 else 0)
+        digit = DIGIT.search(part) is not None
+        got = Clause(tokens, key_of(tokens), counts, marks, said & (DENIAL_BIT | TALK_BIT | ROLE_BIT | WILL_BIT), digit, ":" in part)
+        if len(part) <= 100 and not (digit and MIXED.search(got.key)):
+            if len(self.known) >= 1 << 14:
+                self.known.clear()
+            self.known[shape] = got
+        return got
 
-    def clause(self, part: str) -> tuple[list[str], str, int, int, int]:
-        """Words, their key, their languages' counts and what they speak of; those of short clauses are kept, as many recur."""
-        got = self.known.get(part)
+    def case(self, told: str) -> Told:
+        """The answers to a case mostly follow one another."""
+        got = self.cases.get(told)
         if got is None:
-            tokens = words(part)
-            said = spoken_of(part, tokens)
-            got = tokens, key_of(tokens), packed(tokens), spoken_marks(said), said & (DENIAL_BIT | TALK_BIT | ROLE_BIT | WILL_BIT)
-            if len(part) <= 100:
-                if len(self.known) >= 1 << 12:
-                    self.known.clear()
-                self.known[part] = got
+            if len(self.cases) >= 64:
+                self.cases.clear()
+            said = frozenset(told.split())
+            self.cases[told] = got = Told(told, said, frozenset(t for t in said if len(t) >= CONTENT and t not in LANGUAGE_CODES and t not in self.common))
         return got
 
     def describe(self, text: str, told: str, lang: int, asked: int, at_limit: bool) -> tuple[list[int], list[str]]:
         """The marks and the key of each clause."""
+        case = self.case(told)
         parts = clauses(text)
         looked = [self.clause(c) for c in parts]
-        held = [k for k, x in enumerate(looked) if x[0]] or [0]
-        parts, looked = [parts[k] for k in held], [looked[k] for k in held]
-        tokens = [x[0] for x in looked]
-        say = MARK["bias"] | MARK[spoken(sum([x[2] for x in looked]), sum(map(len, tokens)), lang, asked)]
+        if not all([x.tokens for x in looked]) or not parts:
+            held = [k for k, x in enumerate(looked) if x.tokens] or [0]
+            parts, looked = [parts[k] for k in held], [looked[k] for k in held]
+        say = MARK["bias"] | MARK[spoken(sum([x.counts for x in looked]), min(5, sum([len(x.tokens) for x in looked])), lang, asked)]
         state = self.endings.state(text)
         cut = state == INCOMPLETE or (state == ITEM and at_limit)
-        said = [bool(told) and bool(ts) and echoed(part, ts, told) for part, ts in zip(parts, tokens)]
-        if cut and all(said) and (TERMINAL.search(parts[-1].rstrip()) or f"{normal(tokens[-1][-4:])}|" in f"{told}|"):
+        said = [echoed(part, x, case) for part, x in zip(parts, looked)]
+        if cut and all(said) and (TERMINAL.search(parts[-1].rstrip()) or f"{normal(looked[-1].tokens[-4:])}|" in f"{told}|"):
             cut = False  # a copied turn, which ended there
-        n, out = len(parts), []
-        for k, (part, ts) in enumerate(zip(parts, tokens)):
-            f = say | looked[k][3]
+        n, out, telling = len(parts), [], case.telling
+        of_case = [not telling.isdisjoint(x.tokens) for x in looked]
+        for k, x in enumerate(looked):
+            f = say | x.marks
             if said[k]:
-                f |= MARK["echo"] if len(ts) >= 4 else MARK["echo_short"]
-            end = part.rstrip()[-1:]
-            if end == "?":
-                f |= MARK["question"]
-            elif end == ":":
-                f |= MARK["colon"]
-                if k + 1 < n and said[k + 1]:
-                    f |= MARK["before_echo"]
-            if part[:1] in ">“\"«":
-                f |= MARK["quoted"]
-            if len(ts) <= 3:
-                f |= MARK["short"]
-            elif len(ts) > 12:
-                f |= MARK["long"]
-            if looked[k][4] and shares(ts, told, self.common):
-                f |= MARK["of_case"]
+                f |= ECHO_MARK if len(x.tokens) >= 4 else ECHO_SHORT
+            if f & MARK["colon"] and k + 1 < n and said[k + 1]:
+                f |= BEFORE_ECHO
+            if of_case[k] and x.speaks:
+                f |= OF_CASE
             out.append(f)
         out[0] |= MARK["first"]
-        out[-1] |= MARK["last"] | (MARK["only"] if n == 1 else 0) | (MARK["cut"] if cut else 0)
-        seeded = any(f & MARK["refuses"] and not f & MARK["echo"] for f in out)
+        out[-1] |= MARK["last"] | (MARK["only"] if n == 1 else 0) | (CUT if cut else 0)
+        seeded = any([f & REFUSES and not f & ECHO_MARK for f in out])
         for k, f in enumerate(out):
-            if not f & MARK["talk"] and (f & (MARK["echo"] | MARK["cut"]) or DIGIT.search(parts[k]) or shares(tokens[k], told, self.common)):
+            if not f & TALK_MARK and (f & (ECHO_MARK | CUT) or looked[k].digit or of_case[k]):
                 out[k] |= TOPIC
                 if not seeded:
                     break  # one will do
-        return out, [x[1] for x in looked]
+        return out, [x.key for x in looked]
 
 
 @cache
@@ -335,28 +403,26 @@ def spoken_marks(said: int) -> int:
     return out + (MARK["refuses"] if refuses(said) else 0)
 
 
-def echoed(part: str, tokens: list[str], told: str) -> bool:
+def echoed(part: str, clause: Clause, case: Told) -> bool:
     """The turns contain the clause word for word, or what follows a lead-in and a colon."""
-    if normal(tokens[:4]) in told:  # most clauses fail here already
+    tokens, told = clause.tokens, case.text
+    if not tokens:
+        return False
+    if case.words.issuperset(tokens[:4]) and normal(tokens[:4]) in told:  # most clauses fail here already
         if len(tokens) <= 4 or normal(tokens) in told:
             return True
         if len(tokens) >= 8 and normal(tokens) in told.replace(" | ", " "):
             return True  # turns run together
-    if ":" not in part:
+    if not clause.colon:
         return False
-    head, colon, tail = part.partition(":")
-    rest = words(tail) if colon else []
+    rest = words(part.partition(":")[2])
     lead = len(tokens) - len(rest)
     return (len(rest) >= 4 and lead <= 6 or len(rest) >= 2 and lead <= 3) and normal(rest) in told
 
 
 def key_of(tokens: list[str]) -> str:
-    return " ".join(["0" if t.isdigit() else t for t in tokens])
-
-
-def shares(tokens: list[str], told: str, common: frozenset[str]) -> bool:
-    """The turns have one of the words, and it is neither a function word nor one that many cases have."""
-    return any(len(t) >= CONTENT and t not in LANGUAGE_CODES and t not in common and f" {t} " in told for t in tokens)
+    key = " ".join(tokens)
+    return key if key.replace(" ", "a").isalpha() else " ".join(["0" if t.isdigit() else t for t in tokens])
 
 
 #: Answers that are taken together in a task.

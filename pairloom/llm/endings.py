@@ -32,6 +32,14 @@ LAST_NUMBER = re.compile(r"[#PT]$")  # masked; a number may itself be cut
 PRICE, TIME, DIGITS = re.compile(r"\d+[.,]\d\d(?!\d)"), re.compile(r"\d{1,2}:\d\d(?!\d)"), re.compile(r"\d+")
 
 
+ZEROS = bytes.maketrans(b"123456789", b"000000000")
+
+
+def shape_of(text: str) -> bytes:
+    """Texts of one shape are masked alike: their digits stand at the same places."""
+    return text.encode("utf-8", "surrogatepass").translate(ZEROS)
+
+
 def mask(text: str) -> str:
     """Numbers by their shape, blanks as one."""
     return " ".join((DIGITS.sub("#", TIME.sub("T", PRICE.sub("P", text))) if DIGITS.search(text) else text).split())
@@ -49,9 +57,14 @@ def visible_end(text: str) -> str:
     return text.rstrip("​‌‍﻿⁠ \t\r\n\xa0")
 
 
+def last_segments(end: str) -> list[str]:
+    """The segments of the last line."""
+    return segments(end.strip().rsplit("\n", 1)[-1])
+
+
 def open_end(text: str) -> str | None:
     """The last segment, masked, if it is no list item and has no final mark."""
-    parts = segments(visible_end(text))
+    parts = last_segments(visible_end(text))
     return mask(parts[-1]) if parts and not BULLET.match(parts[-1]) and (not TERMINAL.search(parts[-1]) or DOTS.search(parts[-1])) else None
 
 
@@ -105,12 +118,13 @@ class Tally:
         self.short = any(len(s) < HEAD for s in self.heads)
         self.n: Counter[tuple[int, str]] = Counter()
         self.ends: Counter[tuple[int, str]] = Counter()
-        self.seen: dict[str, tuple[list[tuple[int, str]], str | None]] = {}  # of segments, as many recur
+        self.seen: dict[bytes, list[tuple[int, str]]] = {}  # of segments, as many recur, if only with other numbers
 
     def segment(self, part: str) -> tuple[list[tuple[int, str]], str | None]:
         """What a segment counts for, and the number it ends with."""
-        got = self.seen.get(part)
-        if got is None:
+        shape = shape_of(part)
+        counted = self.seen.get(shape)
+        if counted is None:
             counted = []
             if part[:HEAD] in self.heads or not part[:HEAD].isalpha() or self.short:  # letters are masked by themselves: all others begin with none
                 masked = mask(part)
@@ -118,12 +132,11 @@ class Tally:
                 counted = [(BEGUN, self.starts.ordered[k])] if k >= 0 else []
                 if masked in self.whole:
                     counted.append((WHOLE, masked))
-            m = NUMBER_END.search(" ".join(part.split()[-2:])) if part[-1:] == "." and (part[-2:-1].isdecimal() or part[-2:-1] in (".", ",", ":")) else None
-            got = counted, f"{m[1].lower()} {mask(m[2])}" if m else None
             if len(self.seen) >= 1 << 15:
                 self.seen.clear()
-            self.seen[part] = got
-        return got
+            self.seen[shape] = counted
+        m = NUMBER_END.search(" ".join(part.split()[-2:])) if part[-1:] == "." and (part[-2:-1].isdecimal() or part[-2:-1] in (".", ",", ":")) else None
+        return counted, f"{m[1].lower()} {mask(m[2])}" if m else None
 
     def add(self, text: str) -> None:
         parts = segments(visible_end(text))
@@ -221,7 +234,7 @@ class Endings:
             return INCOMPLETE
         if not final.isalnum() and final not in OPEN and not dotted:
             return COMPLETE  # an emoji, a currency sign
-        parts = segments(end)
+        parts = last_segments(end)
         if mask(parts[-1]) in self.whole:
             return COMPLETE
         line = end.rsplit("\n", 1)[-1]

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 
 from pairloom.llm import crf, defects, truncation
-from pairloom.llm.endings import COMPLETE, INCOMPLETE, ITEM, Endings
+from pairloom.llm.endings import COMPLETE, INCOMPLETE, ITEM, Endings, Tally
 
 AT = dt.datetime(2026, 1, 1)
 OPEN = ["Good question.", "Of course.", "Thank you for asking."]
@@ -149,6 +149,42 @@ def test_a_block_keeps_words_that_recur_once_and_a_step_takes_little_memory():
     assert np.allclose(block.keys.back(miss, size), want, atol=1e-6) and g.emit.shape == w.emit.shape
 
 
+def test_a_block_scores_clauses_that_are_alike_once():
+    """A step takes time by the different clauses; there were as many scores as clauses."""
+    rng = np.random.default_rng(8)
+    kinds, keys = [[0], [0, 1]], [[2, 3], [4], []]
+    lengths = rng.integers(1, 5, 400)
+    n = int(lengths.sum())
+    kind, key, tags, weight = rng.integers(0, 2, n), rng.integers(0, 3, n), rng.integers(0, 5, n), rng.random(400)
+    block = crf.Block.of(kinds, keys, kind, key, lengths, tags, weight)
+    assert len(block.kind) == len(block.key) == 6
+    w = crf.Chain(rng.normal(size=(5, 5)), rng.normal(size=(5, 5)), rng.normal(size=5))
+    want, at = 0.0, 0
+    for size, u in zip(lengths, weight):
+        own = [w.emit[kinds[kind[k]] + keys[key[k]]].sum(axis=0) for k in range(at, at + size)]
+        t, alpha = tags[at : at + size], w.start + own[0]
+        gold = w.start[t[0]] + sum(x[y] for x, y in zip(own, t)) + w.move[t[:-1], t[1:]].sum()
+        for x in own[1:]:
+            alpha = np.logaddexp.reduce(alpha[:, None] + w.move, axis=0) + x
+        want, at = want + u * (gold - np.logaddexp.reduce(alpha)), at + size
+    assert np.isclose(block.gradient(w)[0], want)
+
+
+def test_clauses_with_other_numbers_are_looked_at_once():
+    """Each had been looked at by itself; what depends on the numbers still does."""
+    d = defects.Describer(Endings())
+    told = defects.normal("is table 12 free at 19 30 today".split())
+    one, other = ("Is table 12 free at 19:30 today?", "Is table 14 free at 21:45 today?")
+    marks = [d.describe(t, told, 0, 0, False) for t in (one, other, one)]
+    assert len(d.known) == 1 and marks[0] == marks[2] and marks[0][1] == marks[1][1] == ["is table 0 free at 0 0 today"]
+    assert marks[0][0][0] & defects.MARK["echo"] and not marks[1][0][0] & defects.MARK["echo"]
+    assert [d.describe(t, told, 0, 0, False)[1] for t in ("Row 12b is free.", "Row 13b is free.")] == [["row 12b is free"], ["row 13b is free"]]
+    tally = Tally(["Call #"])
+    for t in ("Call 5. Take room 12. Bye.", "Call 7. Take room 34. Bye."):
+        tally.add(t)
+    assert len(tally.seen) == 3 and {k[1]: n for k, n in tally.n.items()} == {"Call ": 2, "room #": 2, "call #": 2}
+
+
 def test_words_of_keys_are_counted_once_a_key():
     names = ["the soup the soup", "", "soup", "a b a b"]
     said = defects.Said.of(names)
